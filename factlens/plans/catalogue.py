@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["probe"]
+MODULES = ["probe", "prompts"]
 
 
 def _load():

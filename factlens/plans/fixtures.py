@@ -94,3 +94,68 @@ def count_scorer_logits(examples: DataFrame, facts: DataFrame) -> DataFrame:
     j = examples.select("uuid", "rel").join(cands, "rel")
     return j.select("uuid", "token", (F.log(F.lit(1.0) + F.col("cnt"))
                                       + h32(F.col("uuid"), F.col("token")) / F.lit(TWO_POW_32)).alias("logit"))
+
+
+# fixed values: BATS category initials (inflection, derivation, lexicography, encyclopedia)
+BATS_INITIALS = ["I", "D", "L", "E"]
+MAX_NATIONS = 100_000
+
+
+def bats_raw(spark: SparkSession, d: str) -> DataFrame:
+    """BATS-shaped multi-answer rows: a supplier and every brand it shipped
+    (quantity 50; odd part keys give the lower-cased brand), category named
+    like a BATS file from the supplier's nation."""
+    li = table(spark, d, "lineitem").filter(F.col("l_quantity") == 50).select("l_partkey", "l_suppkey")
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    sup = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    nation = bounded_broadcast(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), MAX_NATIONS)
+    j = (li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+           .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+           .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+    ans = F.when(F.pmod(F.col("l_partkey"), F.lit(2)) == 0, F.col("p_brand")).otherwise(F.lower("p_brand"))
+    cat = F.concat(F.element_at(F.array(*[F.lit(x) for x in BATS_INITIALS]),
+                                (F.pmod(F.col("n_regionkey"), F.lit(4)) + 1).cast("int")),
+                   F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    g = j.groupBy(cat.alias("rel"), F.col("s_name").alias("subj")).agg(
+        F.array_sort(F.collect_set(ans)).alias("answers"))
+    return g.withColumn("uuid", F.concat_ws("_", "rel", "subj")).withColumn("x", F.col("subj"))
+
+
+def bats_examples(spark: SparkSession, d: str, vocab_df: DataFrame | None = None) -> DataFrame:
+    """Answers kept when in the vocabulary or its lower-cased copy (the answer
+    itself is not lower-cased); a row stays even if no answer is left.
+    Adds ``y`` (kept answers, in list order) and ``solvable``."""
+    raw = bats_raw(spark, d)
+    v = vocab_df if vocab_df is not None else vocab(spark, d)
+    allowed = v.select("token").union(v.select(F.lower("token").alias("token"))).distinct() \
+        .withColumn("_ok", F.lit(True))
+    allowed = bounded_broadcast(allowed, MAX_CANDIDATES)
+    ex = raw.select("rel", "subj", F.posexplode_outer("answers").alias("pos", "a"))
+    ex = ex.join(allowed, F.col("a") == F.col("token"), "left")
+    kept = ex.groupBy("rel", "subj").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_ok"), F.struct("pos", "a")))).alias("_k"))
+    out = raw.join(kept, ["rel", "subj"]).withColumn("y", F.col("_k.a")).drop("_k")
+    return out.withColumn("solvable", F.size("y") > 0)
+
+
+# fixed values: Google-RE style relations and their cloze sentences
+GRE_TEMPLATES = [
+    ("place_of_birth", "{} was born in [MASK]."),
+    ("date_of_birth", "{} (born [MASK])."),
+    ("place_of_death", "{} died in [MASK]."),
+]
+
+
+def gre_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Google-RE shaped facts: a customer, a path-like predicate, an object."""
+    cust = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nation = bounded_broadcast(table(spark, d, "nation").select("n_nationkey", "n_name"), MAX_NATIONS)
+    j = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    names = F.array(*[F.lit(r) for r, _ in GRE_TEMPLATES])
+    pred = F.concat(F.lit("/people/person/"),
+                    F.element_at(names, (F.pmod(F.col("c_custkey"), F.lit(3)) + 1).cast("int")))
+    return j.select(F.concat(F.lit("gre_"), F.col("c_custkey").cast("string")).alias("uuid"),
+                    pred.alias("pred"), F.col("c_name").alias("subj"),
+                    F.when(pred.endswith("date_of_birth"),
+                           (F.lit(1900) + F.pmod(F.col("c_custkey"), F.lit(100))).cast("string"))
+                     .otherwise(F.col("n_name")).alias("obj"))
