@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["probe", "prompts"]
+MODULES = ["probe", "prompts", "neighbours"]
 
 
 def _load():
