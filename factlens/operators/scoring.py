@@ -37,13 +37,14 @@ def masked_topk(logits: DataFrame, vocab: DataFrame | None, k: int = 20,
     ``rank <= k`` filter becomes a WindowGroupLimit that also cuts map-side.
     """
     a = allowed_logits(logits, vocab)
-    w = Window.partitionBy(*keys)
-    a = a.withColumn("_m", F.max("logit").over(w))
-    a = a.withColumn("_e", F.exp(F.col("logit") - F.col("_m")))
-    a = a.withColumn("prob", F.col("_e") / F.sum("_e").over(w))
-    ranked = a.withColumn("rank", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.col("logit").desc(), F.col("token").asc())))
-    return ranked.filter(F.col("rank") <= k).select(*keys, "rank", "token", "logit", "prob")
+    # one ordering for all three window functions: a single sort per partition
+    w = Window.partitionBy(*keys).orderBy(F.col("logit").desc(), F.col("token").asc())
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = a.withColumn("_m", F.max("logit").over(whole))
+    a = a.withColumn("_z", F.sum(F.exp(F.col("logit") - F.col("_m"))).over(whole))
+    a = a.withColumn("rank", F.row_number().over(w))
+    ranked = a.filter(F.col("rank") <= k).withColumn("prob", F.exp(F.col("logit") - F.col("_m")) / F.col("_z"))
+    return ranked.select(*keys, "rank", "token", "logit", "prob")
 
 
 def prediction_arrays(topk: DataFrame, keys: tuple[str, ...] = ("uuid",)) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["probe", "prompts", "neighbours"]
+MODULES = ["probe", "prompts", "neighbours", "runs"]
 
 
 def _load():

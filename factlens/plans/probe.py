@@ -11,6 +11,10 @@ from factlens.operators import scoring as sc
 from factlens.plans import fixtures as fx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
+from factlens.sources.tables import table_path
+from factlens.store import stored
+
+FACT_TABLES = ["nation", "region", "customer", "part", "supplier", "lineitem"]
 
 QUERIES = {}
 ORACLE = {}
@@ -30,12 +34,13 @@ class Probe:
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
-        self.facts = fx.raw_facts(spark, d)
+        inputs = [table_path(d, t) for t in FACT_TABLES]
+        self.facts = stored(spark, "facts", inputs, lambda: fx.raw_facts(spark, d))
         self.relations = fx.relations(spark)
-        self.vocab = fx.vocab(spark, d, self.facts)
+        self.vocab = stored(spark, "vocab", inputs, lambda: fx.vocab(spark, d, self.facts))
         self.filled = ex.fill_templates(self.facts, self.relations)
         self.dedup = ex.dedup_examples(self.filled)
-        self.examples = ex.valid_examples(self.dedup, self.vocab)
+        self.examples = stored(spark, "examples", inputs, lambda: ex.valid_examples(self.dedup, self.vocab))
 
     def topk(self, k: int = 20) -> DataFrame:
         logits = fx.count_scorer_logits(self.examples, self.facts)

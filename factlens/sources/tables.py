@@ -12,7 +12,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+_SCANS: dict = {}
+
+
+def table_path(sf_dir: str, name: str) -> str:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Lazy scan of one table; the scan object is reused within a session so
+    the file listing and footer reads happen once."""
+    path = table_path(sf_dir, name)
+    key = (id(spark), path)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _SCANS[key] = df
+    return df
