@@ -113,9 +113,7 @@ def bats_raw(spark: SparkSession, d: str) -> DataFrame:
            .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
            .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
     ans = F.when(F.pmod(F.col("l_partkey"), F.lit(2)) == 0, F.col("p_brand")).otherwise(F.lower("p_brand"))
-    cat = F.concat(F.element_at(F.array(*[F.lit(x) for x in BATS_INITIALS]),
-                                (F.pmod(F.col("n_regionkey"), F.lit(4)) + 1).cast("int")),
-                   F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    cat = bats_category_code(F.col("n_regionkey"), F.col("n_nationkey"))
     g = j.groupBy(cat.alias("rel"), F.col("s_name").alias("subj")).agg(
         F.array_sort(F.collect_set(ans)).alias("answers"))
     return g.withColumn("uuid", F.concat_ws("_", "rel", "subj")).withColumn("x", F.col("subj"))
@@ -159,3 +157,16 @@ def gre_facts(spark: SparkSession, d: str) -> DataFrame:
                     F.when(pred.endswith("date_of_birth"),
                            (F.lit(1900) + F.pmod(F.col("c_custkey"), F.lit(100))).cast("string"))
                      .otherwise(F.col("n_name")).alias("obj"))
+
+
+def bats_category_code(regionkey: F.Column, nationkey: F.Column) -> F.Column:
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in BATS_INITIALS]),
+                                 (F.pmod(regionkey, F.lit(4)) + 1).cast("int")),
+                    F.lpad(nationkey.cast("string"), 2, "0"))
+
+
+def bats_category_names(spark: SparkSession, d: str) -> DataFrame:
+    """Full category names, as a BATS directory listing would give them."""
+    n = table(spark, d, "nation")
+    code = bats_category_code(F.col("n_regionkey"), F.col("n_nationkey"))
+    return n.select(code.alias("category"), F.concat_ws(" ", code, F.col("n_name")).alias("name"))

@@ -238,3 +238,179 @@ FROM summary"""
 def adjusted_scores(spark, d):
     a = rn.adjust_p1(summary(spark, d))
     return rounded(a.select("data", *CFG, "p_at_1", "p_at_1_adj"), ["p_at_1", "p_at_1_adj"])
+
+
+# ---------------------------------------------------------------- reports
+from factlens.operators import reports as rp  # noqa: E402
+
+
+def _v(x):
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, (int, float)):
+        return repr(x)
+    return "'" + str(x).replace("'", "''") + "'"
+
+
+CELLS_CTE = ("cells(row_idx, corpus, slice, data_label, col_idx, label, model, num_examples, use_close_examples, "
+             "only_seed, const) AS (SELECT * FROM (VALUES " + ", ".join(
+                 "(" + ", ".join(_v(x) for x in c) + ")" for c in rp.table_cells()) + "))")
+CELLS_TYPED = """tcells AS (
+  SELECT CAST(row_idx AS BIGINT) AS row_idx, corpus, slice, data_label, CAST(col_idx AS BIGINT) AS col_idx, label,
+         CAST(model AS VARCHAR) AS model, CAST(num_examples AS BIGINT) AS num_examples,
+         CAST(use_close_examples AS BOOLEAN) AS use_close_examples, CAST(only_seed AS BIGINT) AS only_seed,
+         CAST(const AS DOUBLE) AS const FROM cells
+)"""
+
+PIVOT_SQL = sq.with_(*RUNS_CTES, CELLS_CTE, CELLS_TYPED, """j AS (
+  SELECT c.row_idx, c.col_idx, s.p_at_1 AS v FROM summary s
+  JOIN tcells c ON s.data = c.data_label AND s.model = c.model AND s.num_examples = c.num_examples
+       AND s.use_close_examples = c.use_close_examples
+  WHERE s.priming_type = 'nl' AND (c.only_seed IS NULL OR c.only_seed = s.random_seed)
+)""", """agg AS (SELECT row_idx, col_idx, avg(v) AS mean, stddev_samp(v) AS sd, count(v) AS n_runs FROM j GROUP BY row_idx, col_idx)""",
+                     """full_t AS (
+  SELECT c.row_idx, c.corpus, c.slice, c.col_idx, c.label, coalesce(c.const, a.mean) AS value,
+         CASE WHEN a.n_runs > 1 THEN a.sd END AS std, coalesce(a.n_runs, 0) AS n_runs
+  FROM tcells c LEFT JOIN agg a ON c.row_idx = a.row_idx AND c.col_idx = a.col_idx
+)""", """ext AS (
+  SELECT *, max(value) OVER (PARTITION BY row_idx) AS mx,
+         min(CASE WHEN value > 0 THEN value END) OVER (PARTITION BY row_idx) AS mn FROM full_t
+)""") + f"""SELECT row_idx, corpus, slice, col_idx, label, round(value, 6) AS value, round(std, 6) AS std,
+       CAST(n_runs AS BIGINT) AS n_runs, coalesce(value = mx, false) AS is_best,
+       round(CASE WHEN {rp.SHADE_TOP}e0 * mx - mn <> 0 THEN (value - mn) / ({rp.SHADE_TOP}e0 * mx - mn) END, 6) AS shade
+FROM ext"""
+
+
+@register("results_pivot", PIVOT_SQL)
+def results_pivot(spark, d):
+    t = rp.results_table(spark, summary(spark, d))
+    den = F.lit(rp.SHADE_TOP) * F.max("value").over(Window.partitionBy("row_idx"))
+    t = t.withColumn("shade", F.when(den - F.min(F.when(F.col("value") > 0, F.col("value"))).over(
+        Window.partitionBy("row_idx")) != 0, F.col("shade")))
+    return rounded(t.select("row_idx", "corpus", "slice", "col_idx", "label", "value", "std", "n_runs",
+                            "is_best", "shade"), ["value", "std", "shade"])
+
+
+FACET_SQL = sq.with_(*RUNS_CTES, f"""adj AS (
+  SELECT *, CASE WHEN model LIKE 't5%' AND data = 'TREx' THEN p_at_1 * {rn.T5_FACTORS['TREx']}e0
+                 WHEN model LIKE 't5%' AND data = 'ConceptNet' THEN p_at_1 * {rn.T5_FACTORS['ConceptNet']}e0
+                 ELSE p_at_1 END AS v FROM summary
+)""", """series AS (
+  SELECT data, priming_type, use_close_examples, model, num_examples, avg(v) AS mean_p1, stddev_samp(v) AS std_p1,
+         count(*) AS n_runs FROM adj GROUP BY data, priming_type, use_close_examples, model, num_examples
+)""", """base AS (
+  SELECT data, priming_type, use_close_examples, model, arg_min(v, random_seed) AS baseline_p1
+  FROM adj WHERE num_examples = 0 GROUP BY data, priming_type, use_close_examples, model
+)""", """xmin AS (SELECT data, priming_type, use_close_examples, model, min(num_examples) AS x_min FROM adj
+  GROUP BY data, priming_type, use_close_examples, model)""",
+                     """xmax AS (SELECT data, priming_type, use_close_examples, max(num_examples) AS x_max FROM adj
+  GROUP BY data, priming_type, use_close_examples)""") + """SELECT s.data, s.priming_type, s.use_close_examples, s.model,
+  CAST(s.num_examples AS BIGINT) AS num_examples, round(s.mean_p1, 6) AS mean_p1, round(s.std_p1, 6) AS std_p1,
+  CAST(s.n_runs AS BIGINT) AS n_runs, round(b.baseline_p1, 6) AS baseline_p1, CAST(m.x_min AS BIGINT) AS x_min,
+  CAST(x.x_max AS BIGINT) AS x_max
+FROM series s
+LEFT JOIN base b ON s.data = b.data AND s.priming_type = b.priming_type
+     AND s.use_close_examples = b.use_close_examples AND s.model = b.model
+JOIN xmin m ON s.data = m.data AND s.priming_type = m.priming_type
+     AND s.use_close_examples = m.use_close_examples AND s.model = m.model
+JOIN xmax x ON s.data = x.data AND s.priming_type = x.priming_type AND s.use_close_examples = x.use_close_examples
+WHERE EXISTS (SELECT 1 FROM base b2 WHERE b2.data = s.data AND b2.priming_type = s.priming_type
+              AND b2.use_close_examples = s.use_close_examples)"""
+
+
+@register("facet_series", FACET_SQL)
+def facet_series(spark, d):
+    f = rp.facet_series(summary(spark, d))
+    return rounded(f.select("data", "priming_type", "use_close_examples", "model", "num_examples", "mean_p1",
+                            "std_p1", F.col("n_runs").cast("bigint").alias("n_runs"), "baseline_p1", "x_min",
+                            "x_max"), ["mean_p1", "std_p1", "baseline_p1"])
+
+
+GAIN_RUN = ("bert-large-cased", "nl", True, 0)
+GAIN_KS = (0, 1, 3, 10)
+GAINS_SQL = sq.with_(*RUNS_CTES, f"""rm AS (
+  SELECT rel, num_examples, p_at_1 FROM relm
+  WHERE data = '{fx.DATASET}' AND model = '{GAIN_RUN[0]}' AND priming_type = '{GAIN_RUN[1]}'
+    AND use_close_examples = {str(GAIN_RUN[2]).lower()} AND random_seed = {GAIN_RUN[3]}
+)""", "piv AS (SELECT rel, " + ", ".join(
+    f"max(p_at_1) FILTER (WHERE num_examples = {k}) AS k{k}" for k in GAIN_KS) + " FROM rm GROUP BY rel)",
+                     """g AS (
+  SELECT p.rel, replace(replace(r.template, '[X]', '[s]'), '[Y]', '[o]') AS template, """ + ", ".join(
+    f"k{k} - k0 AS gain_{k}" for k in GAIN_KS[1:]) + """
+  FROM piv p LEFT JOIN relations r ON p.rel = r.rel
+)""") + "SELECT rel, template, " + ", ".join(f"round(gain_{k}, 6) AS gain_{k}" for k in GAIN_KS[1:]) + \
+    ", CAST(row_number() OVER (ORDER BY round(gain_10, 9) DESC NULLS LAST, rel) AS BIGINT) AS gain_rank FROM g"
+
+
+@register("relation_gains", GAINS_SQL)
+def relation_gains(spark, d):
+    m, p, ce, s = GAIN_RUN
+    rm = relation_summary(spark, d).filter(
+        (F.col("data") == fx.DATASET) & (F.col("model") == m) & (F.col("priming_type") == p)
+        & (F.col("use_close_examples") == ce) & (F.col("random_seed") == s) & F.col("num_examples").isin(*GAIN_KS))
+    out = rp.relation_gains(rm, fx.relations(spark), GAIN_KS)
+    return rounded(out.select("rel", "template", *[f"gain_{k}" for k in GAIN_KS[1:]], "gain_rank"),
+                   [f"gain_{k}" for k in GAIN_KS[1:]])
+
+
+CONTRAST_RUNS = [(0, "nl", True), (1, "nl", False), (1, "nl", True), (3, "rarr", False)]
+CONTRAST_MODEL = "bert-large-cased"
+CONTRAST_SQL = sq.with_(*RUNS_CTES, f"""rp AS (
+  SELECT p.*, x.targets[1] AS y FROM gpreds p JOIN all_ex x ON p.data = x.data AND p.uuid = x.uuid
+  WHERE p.data = '{fx.DATASET}' AND p.model = '{CONTRAST_MODEL}' AND p.random_seed = 0
+)""", *[f"""r{i} AS (SELECT uuid, y, preds AS p{i}, probs AS q{i} FROM rp
+  WHERE num_examples = {k} AND priming_type = '{pt}' AND use_close_examples = {str(ce).lower()})"""
+        for i, (k, pt, ce) in enumerate(CONTRAST_RUNS)]) + """SELECT r0.uuid, r0.y, e.x, """ + ", ".join(
+    f"array_to_string(p{i}[1:3], '|') AS top3_{i}, round(q{i}[1], 6) AS prob1_{i}" for i in range(4)) + """
+FROM r0 JOIN r1 ON r0.uuid = r1.uuid JOIN r2 ON r0.uuid = r2.uuid JOIN r3 ON r0.uuid = r3.uuid
+JOIN examples e ON e.uuid = r0.uuid
+WHERE NOT coalesce(list_contains(p0[1:3], r0.y), false) AND coalesce(list_position(p1, r0.y), 0) = 2
+  AND coalesce(list_position(p2, r0.y), 0) = 1 AND coalesce(list_position(p3, r0.y), 0) = 1"""
+
+
+@register("run_contrast", CONTRAST_SQL)
+def run_contrast(spark, d):
+    r = run_predictions(spark, d).filter((F.col("data") == fx.DATASET) & (F.col("model") == CONTRAST_MODEL)
+                                         & (F.col("random_seed") == 0))
+    runs = [r.filter((F.col("num_examples") == k) & (F.col("priming_type") == pt) & (F.col("use_close_examples") == ce))
+             .select("uuid", F.get("targets", 0).alias("y"), "preds", "probs") for k, pt, ce in CONTRAST_RUNS]
+    c = rp.contrast(runs).join(Probe(spark, d).examples.select("uuid", "x"), "uuid")
+    out = c.select("uuid", "y", "x", *[x for i in range(4) for x in (
+        F.array_join(F.slice(f"p{i}", 1, 3), "|").alias(f"top3_{i}"), F.get(f"q{i}", 0).alias(f"prob1_{i}"))])
+    return rounded(out, [f"prob1_{i}" for i in range(4)])
+
+
+CATEGORY_RUN = ("albert-xxlarge-v2", 10, "par", False)
+CAT_CODE_SQL = ("CASE n_regionkey % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'D' WHEN 2 THEN 'L' ELSE 'E' END"
+                " || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')")
+CATEGORY_SQL = sq.with_(*RUNS_CTES, f"""mrows AS (
+  SELECT string_split(data, '_')[-1] AS category, model, p_at_1 FROM summary
+  WHERE starts_with(data, '{fx.BATS_DATASET}_') AND model = '{CATEGORY_RUN[0]}' AND num_examples = {CATEGORY_RUN[1]}
+    AND priming_type = '{CATEGORY_RUN[2]}' AND use_close_examples = {str(CATEGORY_RUN[3]).lower()}
+)""", "glove(category, hits) AS (VALUES " + ", ".join(f"('{c}', {h})" for c, h in rp.GLOVE_HITS) + ")",
+                        f"""crows AS (
+  SELECT category, model, p_at_1 FROM mrows
+  UNION ALL SELECT category, 'GloVe', hits / {float(rp.GLOVE_DENOMINATOR)!r}e0 FROM glove
+)""", f"""names AS (SELECT {CAT_CODE_SQL} AS category, {CAT_CODE_SQL} || ' ' || n_name AS name FROM nation)""",
+                        """solv AS (SELECT rel AS category, avg(CASE WHEN solvable THEN 1.0e0 ELSE 0.0e0 END) AS share
+  FROM bats GROUP BY rel)""") + f"""SELECT r.category, coalesce(n.name, r.category) AS name, r.model,
+  round(r.p_at_1, 6) AS p_at_1,
+  round(CASE WHEN r.model = '{CATEGORY_RUN[0]}' THEN coalesce(s.share, 0.0e0) ELSE 0.0e0 END, 6) AS solvable_share,
+  CAST(coalesce(list_position(['I', 'D', 'L', 'E'], substr(r.category, 1, 1)), 0) AS BIGINT) AS order_idx
+FROM crows r LEFT JOIN names n ON r.category = n.category LEFT JOIN solv s ON r.category = s.category"""
+
+
+@register("category_compare", CATEGORY_SQL)
+def category_compare(spark, d):
+    m, k, pt, ce = CATEGORY_RUN
+    s = summary(spark, d).filter(F.col("data").startswith(fx.BATS_DATASET + "_") & (F.col("model") == m)
+                                 & (F.col("num_examples") == k) & (F.col("priming_type") == pt)
+                                 & (F.col("use_close_examples") == ce))
+    rows = s.select(F.element_at(F.split("data", "_"), -1).alias("category"), "model", "p_at_1")
+    names = fx.bats_category_names(spark, d)
+    b = fx.bats_examples(spark, d, Probe(spark, d).vocab)
+    solv = b.groupBy(F.col("rel").alias("category")).agg(F.avg(F.col("solvable").cast("double")).alias("share"))
+    out = rp.category_compare(spark, rows, names, solv, m)
+    return rounded(out, ["p_at_1", "solvable_share"])
