@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["probe", "prompts", "neighbours", "runs"]
+MODULES = ["probe", "prompts", "neighbours", "runs", "parsing"]
 
 
 def _load():
