@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["probe", "prompts", "neighbours", "runs", "parsing"]
+MODULES = ["probe", "prompts", "neighbours", "runs", "parsing", "embeddings"]
 
 
 def _load():
