@@ -208,13 +208,13 @@ def nearest_name(spark, d):
     return out.withColumn("distance", F.col("distance").cast("bigint"))
 
 
-@register("adaptive_priming", sq.with_(CAT_CTE, ATT_CTE, """objs AS (SELECT DISTINCT scene, obj FROM att)""",
-                                       """conts AS (SELECT DISTINCT scene, container FROM att)""", """cand AS (
+ADAPTIVE_CTES = [CAT_CTE, ATT_CTE, """objs AS (SELECT DISTINCT scene, obj FROM att)""",
+                 """conts AS (SELECT DISTINCT scene, container FROM att)""", """cand AS (
   SELECT c.scene, k.name AS pobj, c.container FROM conts c
   JOIN (SELECT name, unnest(locations) AS container FROM catalogue) k ON k.container = c.container
   WHERE NOT EXISTS (SELECT 1 FROM objs o WHERE o.scene = c.scene AND o.obj = k.name)
-)""", f"""opts AS (SELECT scene, pobj, list_sort(list(DISTINCT container)) AS opts FROM cand GROUP BY scene, pobj)""",
-                                       f"""pool AS (
+)""", """opts AS (SELECT scene, pobj, list_sort(list(DISTINCT container)) AS opts FROM cand GROUP BY scene, pobj)""",
+                 f"""pool AS (
   SELECT scene, pobj, opts[{sq.HS("'loc'", 'scene', 'pobj', str(SEED))} % len(opts) + 1] AS ploc,
          row_number() OVER (PARTITION BY scene ORDER BY pobj) - 1 AS idx FROM opts
 )""", """sizes AS (SELECT scene, count(*) AS n FROM pool GROUP BY scene)""", f"""dr AS (
@@ -225,10 +225,15 @@ def nearest_name(spark, d):
          p.pobj || ' -> ' || p.ploc AS line
   FROM dr d JOIN sizes s ON d.scene = s.scene
   JOIN pool p ON p.scene = d.scene AND p.idx = {sq.HS("'draw'", 'd.scene', 'd.obj', 'd.j', str(SEED))} % s.n
-)""", """agg AS (SELECT scene, obj, string_agg(line, chr(10) ORDER BY perm, j) AS body, count(*) AS n FROM dl GROUP BY scene, obj)""") + """
-SELECT o.scene, o.obj, CAST(coalesce(a.n, 0) AS BIGINT) AS n_examples,
-       CASE WHEN a.body IS NULL THEN trim(o.obj || ' -> ') ELSE a.body || chr(10) || trim(o.obj || ' -> ') END AS prompt
-FROM objs o LEFT JOIN agg a ON o.scene = a.scene AND o.obj = a.obj""")
+)""", """agg AS (SELECT scene, obj, string_agg(line, chr(10) ORDER BY perm, j) AS body, count(*) AS n FROM dl GROUP BY scene, obj)""",
+                 """ap AS (
+  SELECT o.scene, o.obj, CAST(coalesce(a.n, 0) AS BIGINT) AS n_examples,
+         CASE WHEN a.body IS NULL THEN trim(o.obj || ' -> ') ELSE a.body || chr(10) || trim(o.obj || ' -> ') END AS prompt
+  FROM objs o LEFT JOIN agg a ON o.scene = a.scene AND o.obj = a.obj
+)"""]
+
+
+@register("adaptive_priming", sq.with_(*ADAPTIVE_CTES) + "SELECT scene, obj, n_examples, prompt FROM ap")
 def adaptive_priming(spark, d):
     tpl = bl.TEMPLATES[PRIMING_TEMPLATE]
     out = bl.adaptive_priming(_objects(spark, d), _containers(spark, d), catalogue(spark), PRIMING_N, tpl, SEED)
