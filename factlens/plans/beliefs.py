@@ -15,7 +15,7 @@ from factlens.operators import beliefs as bl
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
 from factlens.plans.parsing import episode_lines, parse_episode_log, KV_SQL
-from factlens.sources.tables import table
+from factlens.sources.tables import spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -55,7 +55,7 @@ def catalogue(spark):
 
 
 def attempts(spark, d):
-    e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    e = spread(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"))
     obj = F.element_at(F.array(*[F.lit(o) for o in OBJECT_NAMES]),
                        (F.pmod(F.col("event_id"), F.lit(len(OBJECT_NAMES))) + 1).cast("int"))
     return e.select(F.col("user_id").alias("scene"), "event_id", "ts", obj.alias("obj"),

@@ -91,7 +91,10 @@ def count_scorer_logits(examples: DataFrame, facts: DataFrame) -> DataFrame:
     is broadcast after a size check, so the example side never shuffles.
     """
     cands = bounded_broadcast(candidate_counts(facts), MAX_CANDIDATES)
-    j = examples.select("uuid", "rel").join(cands, "rel")
+    # spread by uuid first: candidates multiply the rows, and the uuid
+    # partitioning is the one the per-example top-k window needs anyway
+    n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = examples.select("uuid", "rel").repartition(n, "uuid").join(cands, "rel")
     return j.select("uuid", "token", (F.log(F.lit(1.0) + F.col("cnt"))
                                       + h32(F.col("uuid"), F.col("token")) / F.lit(TWO_POW_32)).alias("logit"))
 

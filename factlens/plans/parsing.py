@@ -9,7 +9,7 @@ from factlens.functions import parsing as ps
 from factlens.functions.text import words
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
-from factlens.sources.tables import table
+from factlens.sources.tables import spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -35,7 +35,7 @@ def _pick(values, idx):
 def run_paths(spark, d):
     """A results folder listing: one run file per order, plus a summary file
     for pending orders (which must not be taken for a run)."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     run = F.concat(F.lit("out/results/"), _pick(DATAS, F.pmod(k, F.lit(4))), F.lit("/"),
                    _pick(MODELS, F.pmod(c, F.lit(4))), F.lit("/pe-"), F.pmod(k, F.lit(21)).cast("string"),
@@ -84,7 +84,7 @@ FROM w"""
 
 @register("list_literal_parse", LIST_SQL)
 def list_literal_parse(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", words(F.col("text")).alias("w"))
+    c = spread(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", words(F.col("text")).alias("w"))
     lit_words = ps.render_list(F.col("w"))
     lit_probs = F.concat(F.lit("["), F.array_join(F.transform("w", lambda t: (F.length(t) / F.lit(100.0))
                                                                .cast("string")), ", "), F.lit("]"))
@@ -104,7 +104,7 @@ TEMPLATES = ["arrow", "nl", "semicolon"]
 def episode_lines(spark, d):
     """Episode log lines 'games:..,agent:..,lm:..,priming_template:..,
     num_priming_examples:..,score:..,steps:..' rendered from events."""
-    e = table(spark, d, "events").select("event_id", "user_id", "value", "props")
+    e = spread(table(spark, d, "events").select("event_id", "user_id", "value", "props"))
     k = F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(31))
     line = F.concat(F.lit("games:games/twc/hard/test,agent:"), _pick(AGENTS, F.pmod(F.col("user_id"), F.lit(3))),
                     F.lit(",lm:albert-xxlarge-v2,priming_template:"), _pick(TEMPLATES, F.pmod(F.col("event_id"), F.lit(3))),

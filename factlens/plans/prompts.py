@@ -13,7 +13,7 @@ from factlens.plans import fixtures as fx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
 from factlens.plans.probe import BASE, Probe
-from factlens.sources.tables import table
+from factlens.sources.tables import spread, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -165,7 +165,7 @@ FROM r"""
 
 @register("prompt_prepare", PREPARE_SQL)
 def prompt_prepare(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w"))
     n = F.size("w")
     u = F.when(n > 0, F.pmod(h32(F.concat(F.lit("doc|"), F.col("doc_id").cast("string"))), n))
     x = F.array_join(F.transform("w", lambda t, i: F.when(i == u, F.lit(pp.MASK)).otherwise(t)), " ")
@@ -191,7 +191,7 @@ def prompt_length(spark, d):
     def mean(df, src):
         return df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("t").alias("mean_tokens")) \
                  .select(F.lit(src).alias("source"), "n_rows", "mean_tokens")
-    docs = table(spark, d, "documents").select(token_count(F.col("text")).alias("t"))
+    docs = spread(table(spark, d, "documents").select("text")).select(token_count(F.col("text")).alias("t"))
     # a conversation's prompt is its turns joined by newlines: its token count is the sum over turns
     conv = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(token_count(F.col("text"))).alias("t"))
     bench = table(spark, d, "benchmark").select(token_count(F.col("text")).alias("t"))

@@ -14,7 +14,7 @@ from factlens.operators import textops as tx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
 from factlens.session import bounded_broadcast
-from factlens.sources.tables import table
+from factlens.sources.tables import spread, table
 
 QUERIES, ORACLE = {}, {}
 CAP_K, SEED = 10, 0
@@ -87,7 +87,7 @@ FROM h"""
 
 @register("command_filter", COMMAND_SQL)
 def command_filter(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", words(F.col("text")).alias("w"))
+    t = spread(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", words(F.col("text")).alias("w"))
     prev = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("stored"))
     c = t.join(prev, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "w", commands_of(F.col("w")).alias("cmds"),
@@ -131,7 +131,7 @@ FROM p"""
 
 @register("text_cleanup", TEXT_SQL)
 def text_cleanup(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    t = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
     descr = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     obs = tx.clean_observation(F.col("text"), descr)
     items = tx.inventory_items(F.col("text"))
@@ -149,7 +149,7 @@ SELECT page_id, CAST(length(obs) AS BIGINT) AS obs_len, md5(obs) AS obs_md5, low
 
 @register("page_cleanup", PAGE_SQL)
 def page_cleanup(spark, d):
-    p = table(spark, d, "pages").select("page_id", "html", F.regexp_extract("html", TITLE, 1).alias("descr"))
+    p = spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", "html", F.regexp_extract("html", TITLE, 1).alias("descr"))
     obs = F.when(F.length("descr") > 0, tx.clean_observation(F.col("html"), F.col("descr"))).otherwise(F.col("html"))
     return p.select("page_id", F.length(obs).cast("bigint").alias("obs_len"), F.md5(obs).alias("obs_md5"),
                     F.lower(F.btrim("descr", F.lit("=- "))).alias("location"))

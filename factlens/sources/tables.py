@@ -31,3 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = spark.read.parquet(path)
         _SCANS[key] = df
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster's cores when it yields fewer input
+    partitions than that (a single-file table); a no-op for inputs that
+    are already split, as any large table is.  Filters and column pruning
+    still reach the parquet reader below the repartition."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
