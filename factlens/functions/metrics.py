@@ -17,23 +17,35 @@ def _lower_all(c: Column) -> Column:
     return F.transform(c, lambda x: F.lower(x))
 
 
-def precision_at(preds: Column, targets: Column, k: int) -> Column:
-    """True when any target is among the first k predictions."""
-    return F.coalesce(F.arrays_overlap(F.slice(_lower_all(preds), 1, k), _lower_all(targets)),
-                      F.lit(False))
+def precision_at(preds: Column, targets: Column, k: int, lowered: bool = False) -> Column:
+    """True when any target is among the first k predictions
+    (``lowered``: ``preds`` is already lower-cased)."""
+    p = preds if lowered else _lower_all(preds)
+    return F.coalesce(F.arrays_overlap(F.slice(p, 1, k), _lower_all(targets)), F.lit(False))
 
 
-def reciprocal_rank(preds: Column, targets: Column) -> Column:
+def reciprocal_rank(preds: Column, targets: Column, lowered: bool = False) -> Column:
     """Max over found targets of 1/(first position); 0 when none is found."""
-    p = _lower_all(preds)
+    p = preds if lowered else _lower_all(preds)
     rr = F.transform(_lower_all(targets), lambda t: F.when(F.array_position(p, t) > 0,
                      F.lit(1.0) / F.array_position(p, t)).otherwise(F.lit(0.0)))
     return F.coalesce(F.array_max(rr), F.lit(0.0))
 
 
-def target_likelihood(preds: Column, probs: Column, targets: Column) -> Column:
+def target_likelihood(preds: Column, probs: Column, targets: Column, lowered: bool = False) -> Column:
     """Max over found targets of the probability at its first position; else 0."""
-    p = _lower_all(preds)
+    p = preds if lowered else _lower_all(preds)
     lk = F.transform(_lower_all(targets), lambda t: F.when(F.array_position(p, t) > 0,
                      F.element_at(probs, F.array_position(p, t).cast("int"))).otherwise(F.lit(0.0)))
     return F.coalesce(F.array_max(lk), F.lit(0.0))
+
+
+def single_target_metrics(preds_l: Column, probs: Column, target: Column, ks=METRIC_KS) -> dict:
+    """The same metrics for exactly one target, without per-element lambdas
+    (``preds_l`` lower-cased; ``target`` a string)."""
+    t = F.lower(target)
+    pos = F.array_position(preds_l, t)
+    out = {f"p_at_{k}": (pos > 0) & (pos <= k) for k in ks}
+    out["mrr"] = F.when(pos > 0, F.lit(1.0) / pos).otherwise(F.lit(0.0))
+    out["target_likelihood"] = F.when(pos > 0, F.element_at(probs, pos.cast("int"))).otherwise(F.lit(0.0))
+    return out

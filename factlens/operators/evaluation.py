@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.functions.metrics import METRIC_KS, precision_at, reciprocal_rank, target_likelihood
+from factlens.functions.metrics import (METRIC_KS, precision_at, reciprocal_rank, single_target_metrics,
+                                        target_likelihood)
 from factlens.session import bounded_broadcast
 
 METRIC_COLS = [f"p_at_{k}" for k in METRIC_KS] + ["mrr", "target_likelihood"]
@@ -16,14 +17,19 @@ def example_metrics(preds: DataFrame, targets_col: str = "targets") -> DataFrame
     """Adds p_at_k (boolean), mrr and target_likelihood to rows holding
     ``preds, probs`` and an array of targets.  Rows without predictions
     (NULL arrays) score 0 everywhere."""
-    p = F.coalesce(F.col("preds"), F.array().cast("array<string>"))
+    lowered = "preds_l" in preds.columns
+    p = F.coalesce(F.col("preds_l" if lowered else "preds"), F.array().cast("array<string>"))
     pr = F.coalesce(F.col("probs"), F.array().cast("array<double>"))
     t = F.coalesce(F.col(targets_col), F.array().cast("array<string>"))
-    out = preds
-    for k in METRIC_KS:
-        out = out.withColumn(f"p_at_{k}", precision_at(p, t, k))
-    return (out.withColumn("mrr", reciprocal_rank(p, t))
-               .withColumn("target_likelihood", target_likelihood(p, pr, t)))
+    general = {f"p_at_{k}": precision_at(p, t, k, lowered) for k in METRIC_KS}
+    general["mrr"] = reciprocal_rank(p, t, lowered)
+    general["target_likelihood"] = target_likelihood(p, pr, t, lowered)
+    if not lowered:
+        return preds.select("*", *[c.alias(n) for n, c in general.items()])
+    # one answer (the usual case): position lookups instead of lambdas
+    single = single_target_metrics(p, pr, F.get(t, 0))
+    one = F.size(t) == 1
+    return preds.select("*", *[F.when(one, single[n]).otherwise(general[n]).alias(n) for n in general])
 
 
 def relation_metrics(metrics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

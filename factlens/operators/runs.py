@@ -8,12 +8,14 @@ keys.  All runs of one scorer are therefore one Spark plan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlens.operators import evaluation as ev
 from factlens.operators import scoring as sc
-from factlens.session import bounded_broadcast
+from factlens.session import bounded_broadcast, row_count_at_most
 
 CONFIG_COLS = ["model", "num_examples", "priming_type", "use_close_examples", "random_seed"]
 RUN_KEY = ["data"] + CONFIG_COLS
@@ -65,43 +67,61 @@ def with_config(df: DataFrame, configs: list[tuple]) -> DataFrame:
         *[F.col("_c." + c).alias(c) for c in CONFIG_COLS], *[c for c in df.columns if c != "run_id"])
 
 
-def spread(examples: DataFrame) -> DataFrame:
-    """Hash-partition examples by uuid before they are multiplied by the grid.
-
-    Exploding runs multiplies every row by the grid size, so the input must
-    be spread first; partitioning on uuid also satisfies the later
-    (run_id, uuid) window, aggregation and join, which then need no shuffle.
-    """
-    n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return examples.repartition(n, "uuid")
+ROWS_PER_PARTITION = 25_000   # (run, example) pairs per task after the grid explosion
 
 
-def run_predictions(examples: DataFrame, candidates: DataFrame, vocab: DataFrame, configs: list[tuple],
-                    logit_fn, extra: dict | None = None, k: int = 20) -> DataFrame:
-    """Top-k predictions of every (run, example): run_id, uuid, preds, probs.
+def spread(examples: DataFrame, n_configs: int = 1, key: str = "uuid") -> DataFrame:
+    """Hash-partition examples by ``key`` before they are multiplied by the grid.
 
-    ``candidates`` is (rel, token, cnt); ``logit_fn()`` returns the logit
-    column for a row holding uuid, token, cnt and the ``extra`` per-run
-    literals.  The candidate table is bounded by the vocabulary and is
-    broadcast after a size check, so examples never shuffle for it.
+    Exploding runs multiplies every row by the grid size, so the input is
+    spread first, over enough partitions for the exploded volume (at least
+    the session's shuffle partitions).  Partitioning on the example key also
+    satisfies the later (run_id, key) window, aggregation and join, which
+    then need no shuffle of their own.
     """
-    cands = bounded_broadcast(sc.allowed_logits(candidates, vocab), MAX_CANDIDATES)
-    e = explode_runs(spread(examples.select("uuid", "rel")), configs, extra)
-    logits = e.join(cands, "rel").select("run_id", "uuid", "token", logit_fn().alias("logit"))
-    top = sc.masked_topk(logits, None, k, keys=("run_id", "uuid"))
-    return sc.prediction_arrays(top, keys=("run_id", "uuid"))
+    base = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cap = base * 1024
+    n = max(base, math.ceil(row_count_at_most(examples, cap * ROWS_PER_PARTITION) * n_configs / ROWS_PER_PARTITION))
+    return examples.repartition(n, key)
 
 
-def run_metrics(preds: DataFrame, examples: DataFrame, targets: F.Column, configs: list[tuple]) -> DataFrame:
+def run_predictions(examples: DataFrame, candidates: DataFrame, vocab: DataFrame, configs: list[tuple],
+                    logit_fn, extra: dict | None = None, k: int = 20, key: str = "eid",
+                    example_cols: dict | None = None, candidate_cols: dict | None = None) -> DataFrame:
+    """Top-k predictions of every (run, example): run_id, key, preds, probs.
+
+    The runs are crossed with the *candidates* (bounded by the vocabulary,
+    times the grid), not with the examples: ``candidates`` (rel, token, cnt)
+    is exploded once per run with the ``extra`` per-run values, size-checked
+    and broadcast, and each example meets all (run, candidate) rows of its
+    relation in one hash join.  ``example_cols`` adds per-example columns
+    (e.g. a hash of the uuid) and ``candidate_cols`` per-(run, candidate)
+    columns, each computed once on its own side before the join;
+    ``logit_fn()`` combines them.  ``key`` is a compact unique example id for sorting and joining.
+    """
+    cands = explode_runs(sc.allowed_logits(candidates, vocab), configs, extra)
+    for name, col in (candidate_cols or {}).items():
+        cands = cands.withColumn(name, col)
+    cands = bounded_broadcast(cands, MAX_CANDIDATES)
+    e = spread(examples.select(*dict.fromkeys([key, "uuid"]), "rel"), len(configs), key)
+    for name, col in (example_cols or {}).items():
+        e = e.withColumn(name, col)
+    logits = e.join(cands, "rel").select("run_id", key, "token", logit_fn().alias("logit"))
+    top = sc.masked_topk(logits, None, k, keys=("run_id", key))
+    return sc.prediction_arrays(top, keys=("run_id", key), k=k)
+
+
+def run_metrics(preds: DataFrame, examples: DataFrame, targets: F.Column, configs: list[tuple],
+                key: str = "eid") -> DataFrame:
     """Example metrics of every run, with its configuration columns.
 
-    Joined on uuid alone: the predictions keep the uuid partitioning of
-    ``run_predictions``, so only the (un-multiplied) example side moves.
+    Joined on the example key alone: the predictions keep the partitioning
+    of ``run_predictions``, so only the (un-multiplied) example side moves.
     Every example has predictions in every run when its relation has at
     least one allowed candidate (always true for the count scorer).
     """
-    ex = examples.select("uuid", "rel", targets.alias("targets"))
-    return with_config(ev.example_metrics(preds.join(ex, "uuid")), configs)
+    ex = examples.select(*dict.fromkeys([key, "uuid"]), "rel", targets.alias("targets"))
+    return with_config(ev.example_metrics(preds.join(ex, key)), configs)
 
 
 def summarize(metrics: DataFrame, relations: DataFrame | None, data: str, by: str = "type") -> DataFrame:

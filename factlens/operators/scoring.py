@@ -47,12 +47,20 @@ def masked_topk(logits: DataFrame, vocab: DataFrame | None, k: int = 20,
     return ranked.select(*keys, "rank", "token", "logit", "prob")
 
 
-def prediction_arrays(topk: DataFrame, keys: tuple[str, ...] = ("uuid",)) -> DataFrame:
-    """Collapse the long top-k to ``keys..., preds, probs`` in rank order
-    (the group size is bounded by k)."""
-    g = topk.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("rank", "token", "prob"))).alias("_p"))
-    return g.select(*keys, F.col("_p.token").alias("preds"), F.col("_p.prob").alias("probs"))
+def prediction_arrays(topk: DataFrame, keys: tuple[str, ...] = ("uuid",), k: int = 20) -> DataFrame:
+    """Collapse the long top-k to ``keys..., preds, preds_l, probs`` in rank
+    order (``preds_l`` lower-cased, for the metrics).
+
+    The arrays are collected by a window with the same partitioning and
+    order as the ranking window, so the rows are already in place: no second
+    sort or shuffle, and a group holds at most k rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col("rank")).rowsBetween(Window.unboundedPreceding,
+                                                                       Window.unboundedFollowing)
+    item = F.struct("token", F.lower("token").alias("token_l"), "prob")
+    g = topk.withColumn("_p", F.collect_list(item).over(w)).filter(F.col("rank") == 1)
+    return g.select(*keys, F.col("_p.token").alias("preds"), F.col("_p.token_l").alias("preds_l"),
+                    F.col("_p.prob").alias("probs"))
 
 
 def score_prompts(prompts: DataFrame, scorer_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],

@@ -85,18 +85,21 @@ def candidate_counts(facts: DataFrame) -> DataFrame:
 
 def count_scorer_logits(examples: DataFrame, facts: DataFrame) -> DataFrame:
     """Stand-in for a masked LM: every object of the example's relation is a
-    candidate, logit = ln(1 + frequency) + hash noise in [0, 1).
+    candidate, logit = ln(1 + frequency) + noise in [0, 1), where the noise
+    is h(uuid) XOR h(token) / 2^32: each side is hashed once (per example,
+    per candidate) and combined per row with one integer operation.
 
     The candidate table is bounded by the object domain of each relation and
     is broadcast after a size check, so the example side never shuffles.
     """
-    cands = bounded_broadcast(candidate_counts(facts), MAX_CANDIDATES)
+    cands = bounded_broadcast(candidate_counts(facts).withColumn("_ht", h32(F.col("token"))), MAX_CANDIDATES)
     # spread by uuid first: candidates multiply the rows, and the uuid
     # partitioning is the one the per-example top-k window needs anyway
     n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    j = examples.select("uuid", "rel").repartition(n, "uuid").join(cands, "rel")
-    return j.select("uuid", "token", (F.log(F.lit(1.0) + F.col("cnt"))
-                                      + h32(F.col("uuid"), F.col("token")) / F.lit(TWO_POW_32)).alias("logit"))
+    e = examples.select("uuid", "rel").repartition(n, "uuid").withColumn("_he", h32(F.col("uuid")))
+    j = e.join(cands, "rel")
+    noise = F.col("_he").bitwiseXOR(F.col("_ht")) / F.lit(TWO_POW_32)
+    return j.select("uuid", "token", (F.log(F.lit(1.0) + F.col("cnt")) + noise).alias("logit"))
 
 
 # fixed values: BATS category initials (inflection, derivation, lexicography, encyclopedia)

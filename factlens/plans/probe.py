@@ -40,7 +40,9 @@ class Probe:
         self.vocab = stored(spark, "vocab", inputs, lambda: fx.vocab(spark, d, self.facts))
         self.filled = ex.fill_templates(self.facts, self.relations)
         self.dedup = ex.dedup_examples(self.filled)
-        self.examples = stored(spark, "examples", inputs, lambda: ex.valid_examples(self.dedup, self.vocab))
+        # eid: dense example id, fixed once the table is written (compact join/sort key)
+        self.examples = stored(spark, "examples", inputs, lambda: ex.valid_examples(self.dedup, self.vocab)
+                               .withColumn("eid", F.monotonically_increasing_id()))
 
     def topk(self, k: int = 20) -> DataFrame:
         logits = fx.count_scorer_logits(self.examples, self.facts)

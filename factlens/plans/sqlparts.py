@@ -75,7 +75,7 @@ EXAMPLES_CTE = f"""examples AS (
 
 LOGITS_CTE = f"""cands AS (SELECT rel, obj AS token, count(*) AS cnt FROM raw_facts GROUP BY rel, obj),
 logits AS (
-  SELECT e.uuid, c.token, ln(1.0e0 + c.cnt) + {HS('e.uuid', 'c.token')} / 4294967296.0e0 AS logit
+  SELECT e.uuid, c.token, ln(1.0e0 + c.cnt) + xor({H('e.uuid')}, {H('c.token')}) / 4294967296.0e0 AS logit
   FROM examples e JOIN cands c ON e.rel = c.rel
 )"""
 

@@ -53,12 +53,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_ROW_BOUNDS: dict = {}
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> int:
+    """min(row count, max_rows + 1), computed with ``limit(max_rows + 1)``
+    (stops reading once the bound is exceeded) and remembered per session
+    and plan, so a table checked once is not re-counted by later operators."""
+    key = (id(df.sparkSession), df.semanticHash(), df.schema.simpleString(), max_rows)
+    n = _ROW_BOUNDS.get(key)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
+        _ROW_BOUNDS[key] = n
+    return n
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The proof is a ``limit(max_rows + 1).count()``, which stops reading as
-    soon as the bound is exceeded.  Above the bound the frame is returned
-    unchanged and the join planner (with AQE skew handling) shuffles it.
+    The proof is ``row_count_at_most``.  Above the bound the frame is
+    returned unchanged and the join planner (with AQE skew handling)
+    shuffles it.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if row_count_at_most(df, max_rows) <= max_rows else df
+
+
+def literal_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a table built from a Python literal on the driver (its size
+    is the literal's, known by construction)."""
+    return F.broadcast(df)
