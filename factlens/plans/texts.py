@@ -203,21 +203,24 @@ def candidate_prompts(spark, d):
 
 
 def candidate_probs_frame(spark, d):
-    """Continuation probability of each candidate: its subwords are scored
-    at the mask of their prompts (each distinct prompt scored once), a
-    candidate takes its best subword, and candidates are normalised per
-    object.  The fixture scorer's vocabulary is the scene's candidate
-    subwords; logit = 4 * hash(prompt, token) / 2^32."""
-    cp = candidate_prompts_frame(spark, d)
-    prompts = cp.select("scene", "obj", "prompt").distinct()
-    vocab = cp.select("scene", "token").distinct()
-    lg = prompts.join(vocab, "scene").withColumn(
-        "logit", F.lit(LOGIT_SCALE) * h32(F.md5("prompt"), F.col("token")) / F.lit(TWO_POW_32))
-    w = Window.partitionBy("scene", "obj", "prompt")
-    lg = lg.withColumn("p", F.exp(F.col("logit") - F.max("logit").over(w)))
-    lg = lg.withColumn("p", F.col("p") / F.sum("p").over(w))
-    j = cp.join(lg.select("scene", "obj", "prompt", "token", "p"), ["scene", "obj", "prompt", "token"])
-    best = j.groupBy("scene", "obj", "candidate").agg(F.max("p").alias("best"))
+    """Continuation probability of each candidate: each subword is scored at
+    the mask of its prompt, a candidate takes its best subword, and
+    candidates are normalised per object.  The fixture scorer's vocabulary
+    is the scene's candidate subwords; logit = 4 * hash(md5(prompt), token)
+    / 2^32, bounded in [0, 4), so the softmax is one grouped aggregate
+    (sum of exp) with no max shift.  One pass over the prompts: the prompt
+    hash is computed once per prompt, the vocabulary comes from the scene's
+    containers."""
+    from factlens.plans import beliefs as pb
+    cp = candidate_prompts_frame(spark, d).withColumn("_pm", F.md5("prompt")).drop("prompt")
+    conts = pb._containers(spark, d).select("scene", F.col("name").alias("candidate"))
+    vocab = conts.select("scene", F.explode(F.regexp_extract_all("candidate", F.lit(SUBWORD), 1)).alias("v")) \
+        .distinct()
+    lg = cp.join(vocab, "scene").withColumn(
+        "_e", F.exp(F.lit(LOGIT_SCALE) * h32(F.col("_pm"), F.col("v")) / F.lit(TWO_POW_32)))
+    per = lg.groupBy("scene", "obj", "candidate", "pos").agg(
+        (F.max(F.when(F.col("v") == F.col("token"), F.col("_e"))) / F.sum("_e")).alias("p"))
+    best = per.groupBy("scene", "obj", "candidate").agg(F.max("p").alias("best"))
     return best.withColumn("prob", F.col("best") / F.sum("best").over(Window.partitionBy("scene", "obj"))) \
                .select("scene", "obj", "candidate", "prob")
 

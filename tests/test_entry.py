@@ -17,3 +17,16 @@ def test_queries_build_and_run_on_smallest_data(spark):
     qs = E.queries()
     for name in ("template_case", "prompt_length", "scene_entities", "kv_log_parse", "balanced_sample"):
         assert qs[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_modules_import_without_a_session():
+    """The driver may import the entry module before it creates a session."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import importlib, pkgutil, factlens\n"
+            "[importlib.import_module(m.name) for m in pkgutil.walk_packages(factlens.__path__, 'factlens.')]\n"
+            "import __spark_entry__ as E; assert len(E.queries()) == 46 and len(E.oracle_sql()) == 45")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    r = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]
