@@ -57,3 +57,13 @@ def render_list(items: Column) -> Column:
 def parse_kv_line(line: Column) -> Column:
     """'k1:v1,k2:v2' to a map (values may not contain ',' or ':')."""
     return F.str_to_map(line, F.lit(","), F.lit(":"))
+
+
+def first_of_batch(c: Column, kind: str = "array") -> Column:
+    """Batch-of-one unwrapping: the first element of an array, or, for a map
+    of arrays, the map of first elements."""
+    if kind == "array":
+        return F.get(c, 0)
+    if kind == "map":
+        return F.transform_values(c, lambda k, v: F.get(v, 0))
+    raise ValueError("kind must be 'array' or 'map'")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions.hashing import h32
 from factlens.operators.indexing import group_index
-from factlens.session import bounded_broadcast
+from factlens.session import bounded_broadcast, ensure_checkpoint_dir
 
 MASK = "[MASK]"
 MAX_RELATIONS = 100_000
@@ -45,7 +45,10 @@ def index_pool(pool: DataFrame) -> DataFrame:
     idx = group_index(pool, ["rel"], ["subj", "uuid"])
     sizes = bounded_broadcast(idx.groupBy("rel").agg(F.count(F.lit(1)).alias("n")), MAX_RELATIONS)
     runs = idx.groupBy("rel", "subj").agg(F.min("idx").alias("lo"), F.count(F.lit(1)).alias("own"))
-    return idx.join(sizes, "rel").join(runs, ["rel", "subj"])
+    # the numbered pool is read twice (draw bounds, row lookup): checkpoint it to
+    # the shared folder so it is computed once and survives executor loss
+    ensure_checkpoint_dir(pool.sparkSession)
+    return idx.join(sizes, "rel").join(runs, ["rel", "subj"]).checkpoint()
 
 
 def draw_random(examples: DataFrame, k: int, seed: int) -> DataFrame:

@@ -53,3 +53,9 @@ def first_position(tokens: Column, token: str) -> Column:
 
 def whitespace_tokens(x: Column) -> Column:
     return words(x)
+
+
+def generated_prediction(text: Column) -> Column:
+    """Prediction of a generation model: the text before the first '.',
+    stripped (its probability is not known: callers store NULL)."""
+    return F.trim(F.substring_index(text, ".", 1))

@@ -80,3 +80,19 @@ def score_prompts(prompts: DataFrame, scorer_factory: Callable[[], Callable[[pd.
                 yield out
 
     return prompts.select(key_col, text_col).mapInPandas(run, schema)
+
+
+def encode_subjects(subjects: DataFrame, encoder_factory, dim_schema: str = "subj string, emb array<double>",
+                    subj_col: str = "subj") -> DataFrame:
+    """Subject embeddings from a caller's batch encoder (``mapInPandas``):
+    ``encoder_factory()`` is called once per task and returns a function from
+    a pandas frame with column ``subj`` to a frame (subj, emb).  Distinct
+    subjects are encoded once."""
+    def run(batches):
+        enc = encoder_factory()
+        for pdf in batches:
+            out = enc(pdf)
+            if len(out):
+                yield out
+
+    return subjects.select(F.col(subj_col).alias("subj")).distinct().mapInPandas(run, dim_schema)
