@@ -184,3 +184,18 @@ def category_compare(spark: SparkSession, model_rows: DataFrame, names: DataFram
                     F.when(F.col("model") == share_model, F.coalesce(F.col("share"), F.lit(0.0)))
                      .otherwise(F.lit(0.0)).alias("solvable_share"),
                     order.cast("bigint").alias("order_idx"))
+
+
+# fixed values: display names of models, priming formats and metrics
+MODEL_LABELS = {"bert-base-cased": "bert-base", "bert-large-cased": "bert-large", "bert-base-uncased": "bert-base",
+                "bert-large-uncased": "bert-large", "albert-xxlarge-v2": "albert-xxlarge"}
+PRIMING_LABELS = {"nl": "NL Template", "Rarr": "[s] => [o]", "rarr": "[s] -> [o]", "par": "([s]; [o])"}
+METRIC_LABELS = {"p_at_1": "P@1", "mrr": "MRR", "target_likelihood": "Avg. Probability"}
+
+
+def display_label(c, mapping: dict, unknown: str = "keep"):
+    """Map names to display labels: unknown names stay as they are
+    (``unknown='keep'``, legends) or become '' (``unknown='empty'``, titles)."""
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    fallback = c if unknown == "keep" else F.lit("")
+    return F.coalesce(F.element_at(m, c), fallback)

@@ -73,3 +73,10 @@ def test_results_table_and_gains_rendering(spark):
     rels = spark.createDataFrame([("r1", "[X] in [Y] .", "N-1")], "rel string, template string, type string")
     line = rp.gains_lines(rp.relation_gains(rel, rels)).first().line
     assert line == "r1 & [s] in [o] . & 10.0 & 20.0 & 40.0 \\\\"
+
+
+def test_display_labels(spark):
+    df = spark.createDataFrame([("bert-base-cased",), ("t5-large",)], "m string")
+    keep = [r.l for r in df.select(rp.display_label(F.col("m"), rp.MODEL_LABELS).alias("l")).collect()]
+    empty = [r.l for r in df.select(rp.display_label(F.col("m"), rp.MODEL_LABELS, "empty").alias("l")).collect()]
+    assert keep == ["bert-base", "t5-large"] and empty == ["bert-base", ""]
