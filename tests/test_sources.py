@@ -68,3 +68,15 @@ def test_prediction_sink_partitions_by_run(spark):
     fl.write_predictions(df, f"{d}/preds")
     back = spark.read.parquet(f"{d}/preds").filter(F.col("num_examples") == 3)
     assert back.count() == 1 and os.path.isdir(f"{d}/preds/data=TREx/model=m/num_examples=3")
+
+
+def test_solvable_and_episode_sinks(spark):
+    d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp"))
+    counts = spark.createDataFrame([("I01", 40), ("D02", 0)], "rel string, n_solvable bigint")
+    fl.write_solvable(counts, f"{d}/solvable")
+    back = {r.category: r.share for r in fl.read_solvable(spark, f"{d}/solvable").collect()}
+    assert back == {"I01": 0.8, "D02": 0.0}
+    ep = spark.createDataFrame([("lmkb", 0.5)], "agent string, score double")
+    fl.append_episode_log(ep, f"{d}/episodes")
+    fl.append_episode_log(ep, f"{d}/episodes")
+    assert spark.read.parquet(f"{d}/episodes").count() == 2
