@@ -71,17 +71,20 @@ ROWS_PER_PARTITION = 25_000   # (run, example) pairs per task after the grid exp
 
 
 def spread(examples: DataFrame, n_configs: int = 1, key: str = "uuid") -> DataFrame:
-    """Hash-partition examples by ``key`` before they are multiplied by the grid.
+    """Hash-partition examples by ``key`` before they are multiplied.
 
-    Exploding runs multiplies every row by the grid size, so the input is
-    spread first, over enough partitions for the exploded volume (at least
-    the session's shuffle partitions).  Partitioning on the example key also
+    Exploding runs (or candidates) multiplies every row, so the input is
+    spread first over enough partitions for the exploded volume: one per
+    ROWS_PER_PARTITION output rows, at least one per core, at most 1024 per
+    configured shuffle partition.  Partitioning on the example key also
     satisfies the later (run_id, key) window, aggregation and join, which
     then need no shuffle of their own.
     """
-    base = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cap = base * 1024
-    n = max(base, math.ceil(row_count_at_most(examples, cap * ROWS_PER_PARTITION) * n_configs / ROWS_PER_PARTITION))
+    spark = examples.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions")) * 1024
+    rows = row_count_at_most(examples, cap * ROWS_PER_PARTITION)
+    n = min(cap, max(cores, math.ceil(rows * n_configs / ROWS_PER_PARTITION)))
     return examples.repartition(n, key)
 
 

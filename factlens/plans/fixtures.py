@@ -36,6 +36,7 @@ RELATIONS = [
     ("region_no", "[X] has the region code [Y] .", "1-1"),
 ]
 MAX_CANDIDATES = 5_000_000
+TYPICAL_CANDIDATES = 20  # candidates per example, for sizing partitions only
 
 
 def relations(spark: SparkSession) -> DataFrame:
@@ -95,8 +96,8 @@ def count_scorer_logits(examples: DataFrame, facts: DataFrame) -> DataFrame:
     cands = bounded_broadcast(candidate_counts(facts).withColumn("_ht", h32(F.col("token"))), MAX_CANDIDATES)
     # spread by uuid first: candidates multiply the rows, and the uuid
     # partitioning is the one the per-example top-k window needs anyway
-    n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = examples.select("uuid", "rel").repartition(n, "uuid").withColumn("_he", h32(F.col("uuid")))
+    from factlens.operators.runs import spread
+    e = spread(examples.select("uuid", "rel"), TYPICAL_CANDIDATES, "uuid").withColumn("_he", h32(F.col("uuid")))
     j = e.join(cands, "rel")
     noise = F.col("_he").bitwiseXOR(F.col("_ht")) / F.lit(TWO_POW_32)
     return j.select("uuid", "token", (F.log(F.lit(1.0) + F.col("cnt")) + noise).alias("logit"))
