@@ -15,7 +15,8 @@ from factlens.operators import beliefs as bl
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
 from factlens.plans.parsing import episode_lines, parse_episode_log, KV_SQL
-from factlens.sources.tables import spread, table
+from factlens.sources.tables import spread, table, table_path
+from factlens.store import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -76,12 +77,22 @@ def scene_facts(spark, d):
     return a.join(types, "obj", "left").select("scene", "event_id", facts.alias("facts"))
 
 
+def _entities(spark, d):
+    """Scene entities with their kind, written once per session and input
+    (several belief and candidate queries read them)."""
+    def build():
+        f = scene_facts(spark, d)
+        return bl.entities(f, bl.OBJECT_TYPES).withColumn("kind", F.lit("object")).unionByName(
+            bl.entities(f, bl.CONTAINER_TYPES).withColumn("kind", F.lit("container")))
+    return stored(spark, "scene-entities", [table_path(d, "events")], build)
+
+
 def _objects(spark, d):
-    return bl.entities(scene_facts(spark, d), bl.OBJECT_TYPES)
+    return _entities(spark, d).filter(F.col("kind") == "object").select("scene", "name", "type")
 
 
 def _containers(spark, d):
-    return bl.entities(scene_facts(spark, d), bl.CONTAINER_TYPES)
+    return _entities(spark, d).filter(F.col("kind") == "container").select("scene", "name", "type")
 
 
 def _scores(spark, d):
