@@ -51,10 +51,11 @@ def index_pool(pool: DataFrame) -> DataFrame:
     return idx.join(sizes, "rel").join(runs, ["rel", "subj"]).checkpoint()
 
 
-def draw_random(examples: DataFrame, k: int, seed: int) -> DataFrame:
+def draw_random(examples: DataFrame, k: int, seed: int, index: DataFrame | None = None) -> DataFrame:
     """Draws ``(uuid, rel, subj, y, j, idx)``: slot j of an example points to
-    pool row idx of its relation."""
-    ix = index_pool(examples)
+    pool row idx of its relation.  ``index`` is a precomputed
+    ``index_pool(examples)`` (e.g. a stored table shared by several runs)."""
+    ix = index if index is not None else index_pool(examples)
     m = F.col("n") - F.col("own")
     d = ix.select("uuid", "rel", "subj", "y", "lo", "own", m.alias("m"),
                   F.explode(slots(F.least(F.lit(k), m))).alias("j"))
@@ -86,14 +87,15 @@ def nl_line(x: Column, y: Column) -> Column:
         F.raise_error(F.concat(F.lit("no mask in pool example: "), x)))
 
 
-def prime_random(examples: DataFrame, k: int, seed: int, priming: str = "nl") -> DataFrame:
+def prime_random(examples: DataFrame, k: int, seed: int, priming: str = "nl",
+                 index: DataFrame | None = None) -> DataFrame:
     """``x_primed`` for every example, pool = same relation, other subjects.
 
     ``priming`` is 'nl' (natural-language statements, then the own prompt)
     or a two-slot format such as '{} -> {}' (pairs, then subject -> [MASK]
     and a trailing newline).  ``y`` may be a string or an array of answers.
     """
-    draws, ix = draw_random(examples, k, seed)
+    draws, ix = draw_random(examples, k, seed, index)
     pool = ix.select("rel", "idx", F.col("subj").alias("p_subj"), F.col("y").alias("p_y"),
                      F.col("x").alias("p_x"), F.col("uuid").alias("p_uuid"))
     j = draws.join(pool, ["rel", "idx"])

@@ -12,8 +12,9 @@ from factlens.operators import prompts as pp
 from factlens.plans import fixtures as fx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
-from factlens.plans.probe import BASE, Probe
-from factlens.sources.tables import spread, table
+from factlens.plans.probe import BASE, FACT_TABLES, Probe
+from factlens.sources.tables import spread, table, table_path
+from factlens.store import stored
 
 QUERIES, ORACLE = {}, {}
 
@@ -52,16 +53,26 @@ SELECT e.uuid, e.rel, e.subj, e.y, CAST(coalesce(a.n_primes, 0) AS BIGINT) AS n_
 FROM examples e LEFT JOIN agg a ON e.uuid = a.uuid"""
 
 
+def _pool(spark, d):
+    """Examples and their numbered relation pool (stored once; it depends
+    only on the examples, not on k, the seed or the priming format)."""
+    e = Probe(spark, d).examples
+    ix = stored(spark, "pool-index", [table_path(d, t) for t in FACT_TABLES],
+                lambda: pr.index_pool(e.select("uuid", "rel", "subj", "y", "x")))
+    return e, ix
+
+
 @register("priming_random", _priming_sql(3, 0, None))
 def priming_random(spark, d):
-    e = Probe(spark, d).examples
-    return pr.prime_random(e, k=3, seed=0, priming="nl").select("uuid", "rel", "subj", "y", "n_primes", "x_primed")
+    e, ix = _pool(spark, d)
+    return pr.prime_random(e, k=3, seed=0, priming="nl", index=ix).select(
+        "uuid", "rel", "subj", "y", "n_primes", "x_primed")
 
 
 @register("priming_symbolic", _priming_sql(5, 1, "{} -> {}"))
 def priming_symbolic(spark, d):
-    e = Probe(spark, d).examples
-    return pr.prime_random(e, k=5, seed=1, priming="{} -> {}").select(
+    e, ix = _pool(spark, d)
+    return pr.prime_random(e, k=5, seed=1, priming="{} -> {}", index=ix).select(
         "uuid", "rel", "subj", "y", "n_primes", "x_primed")
 
 
