@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from factlens.operators import neighbours as nb
 from factlens.operators import priming as pr
 from factlens.plans.common import rounded
-from factlens.sources.tables import table
+from factlens.sources.tables import table, table_path
+from factlens.store import stored
 
 QUERIES, ORACLE = {}, {}
 TOPK, POOL, PRIME_K, PRIME_SEED = 301, 20, 3, 2
@@ -26,6 +27,13 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
+def _topk(spark, d):
+    """The neighbour index, computed once per embeddings input and kept in the
+    store (the reference's neighbour cache, keyed by input and code)."""
+    return stored(spark, f"neighbours-top{TOPK}", [table_path(d, "embeddings")],
+                  lambda: nb.projection_topk(_vectors(spark, d), k=TOPK))
+
+
 def _members(spark, d):
     return table(spark, d, "embeddings").select(F.concat(F.lit("g"), F.col("label").cast("string")).alias("rel"),
                                                 F.col("vec_id").alias("id"))
@@ -57,8 +65,7 @@ def neighbour_topk(spark, d):
 
 @register("close_pool", f"WITH {TOPK_CTE},\n{CLOSE_CTE}\nSELECT rel, subj, cand, CAST(pos AS BIGINT) AS pos FROM close")
 def close_pool(spark, d):
-    topk = nb.projection_topk(_vectors(spark, d), k=TOPK)
-    return nb.close_subjects(topk, _members(spark, d), n=POOL, k=TOPK)
+    return nb.close_subjects(_topk(spark, d), _members(spark, d), n=POOL, k=TOPK)
 
 
 def _embedding_examples(spark, d):
@@ -101,8 +108,7 @@ FROM ex e LEFT JOIN agg a ON e.uuid = a.uuid"""
 
 @register("priming_close", PRIME_CLOSE_SQL)
 def priming_close(spark, d):
-    topk = nb.projection_topk(_vectors(spark, d), k=TOPK)
-    close = nb.close_subjects(topk, _members(spark, d), n=POOL, k=TOPK)
+    close = nb.close_subjects(_topk(spark, d), _members(spark, d), n=POOL, k=TOPK)
     v = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
     pool_subjects = close.select("rel", v("subj").alias("subj"), v("cand").alias("cand"), "pos")
     ex = _embedding_examples(spark, d)
