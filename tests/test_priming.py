@@ -55,3 +55,15 @@ def test_priming_is_partitioning_invariant(spark):
     a = pr.prime_random(e.repartition(1), k=3, seed=2).select("uuid", "x_primed").collect()
     b = pr.prime_random(e.repartition(7), k=3, seed=2).select("uuid", "x_primed").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_group_index_with_a_hot_group(spark):
+    rows = [("hot", f"s{i % 97:03d}", f"u{i:05d}") for i in range(3000)]
+    rows += [("cold", f"s{i}", f"c{i}") for i in range(7)]
+    df = spark.createDataFrame(rows, "rel string, subj string, uuid string").repartition(16)
+    got = group_index(df, ["rel"], ["subj", "uuid"]).select("rel", "uuid", "idx")
+    want = df.select("rel", "uuid", (F.row_number().over(Window.partitionBy("rel").orderBy("subj", "uuid")) - 1)
+                     .alias("idx"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    hot = sorted(r.idx for r in got.filter(F.col("rel") == "hot").collect())
+    assert hot == list(range(3000))
