@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from factlens.llm.common import Shared, struct_udf, without
 
 LONG_PIECE = 256
 MATRIX_CELLS = 1 << 19
-KNOWN_CHUNKS = 300_000
+KNOWN_CHUNKS = 150_000
 CHUNK_CHARS = 64
 NO_RANK = np.int32(2**31 - 1)
 _FREE = np.uint64(2**64 - 1)
@@ -89,10 +90,12 @@ class ByteBPE:
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
             raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
-        self.tokens = {i: t for t, i in ranks.items()}
-        pairs = [(a, b, i) for t, i in ranks.items() for k in range(1, len(t))
-                 if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
-        self.pairs = PairTable(*np.array(pairs or np.empty((0, 3)), np.int64).reshape(-1, 3).T)
+        pairs = array("l")
+        for t, i in ranks.items():
+            for k in range(1, len(t)):
+                if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None:
+                    pairs.extend((a, b, i))
+        self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
         self.known: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -199,6 +202,13 @@ class ByteBPE:
                 del self.known[c]
         return out
 
+
+class Decoder:
+    """Token ids -> bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {i: t for t, i in ranks.items()}
+
     def decode(self, ids: bytes | None) -> bytes | None:
         if ids is None:
             return None
@@ -208,6 +218,10 @@ class ByteBPE:
             return None
 
 
+def _decoder(sent: tuple[bytes, str]) -> Decoder:
+    return Decoder(parse_ranks(sent[0]))
+
+
 def _model(sent: tuple[bytes, str]) -> ByteBPE:
     lines, pattern = sent
     return ByteBPE(parse_ranks(lines), pattern)
@@ -237,13 +251,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") ->
     return without(done, "token_ids", "n_tokens").select("*", "_bpe.token_ids", "_bpe.n_tokens").drop("_bpe")
 
 
-def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids") -> DataFrame:
+def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
     """``df`` with ``decoded`` (binary: the tokens' bytes in order)."""
-    shared = _shared(df.sparkSession, vocabulary, pattern)
+    shared = _shared(df.sparkSession, vocabulary, "")
     schema = StructType([StructField("decoded", BinaryType())])
 
     def make():
-        model = shared.build(_model)
+        model = shared.build(_decoder)
         return lambda rows: [pa.array([model.decode(x) for x in rows], pa.binary())]
 
     done = df.withColumn("_bpe", struct_udf(schema, make)(F.col(ids)))

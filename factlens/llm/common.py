@@ -59,12 +59,10 @@ def struct_udf(schema: StructType, make: Callable[[], Callable[[list], list]]) -
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
         for texts in batches:
-            parts = []
             for part in slices(texts):
                 cols = fn(part.to_pylist())
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
-                parts.append(pa.StructArray.from_arrays(cols, fields=list(arrow)))
-            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+                yield pa.StructArray.from_arrays(cols, fields=list(arrow))
 
     return F.arrow_udf(run, schema, F.ArrowUDFType.SCALAR_ITER)
 

@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import bpe, decontam, langid, line_dedup, simhash
+from factlens.llm import bpe, chat, decontam, langid, line_dedup, multiset, simhash
 from factlens.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multiset.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", "edited_sha256", F.col("own.fingerprint").alias("fingerprint"),
+                        F.col("edited_digest.fingerprint").alias("edited_fingerprint"),
+                        multiset.likeness("own", "edited_digest").alias("near_edited"),
+                        multiset.likeness("own", "next_digest").alias("near_next"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits(F.col("simhash")).alias("fingerprint"), "component_id")
@@ -40,15 +48,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    done = chat.format_conversations(chat.threads(rows.unionByName(more)))
+    said = done.select(F.col("tree").alias("conv_id"), chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.read_loss(F.col("formatted"), F.col("loss")).alias("learnt"), "formatted")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return said.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                       F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text")
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.decode(ids, path).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_dedup, op5_decontamination, op6_language_id, op7_line_dedup, op10_byte_bpe)}
+    f.__name__: f for f in (
+        op2_multiset_hash, op4_simhash_dedup, op5_decontamination, op6_language_id, op7_line_dedup, op8_chat_format,
+        op10_byte_bpe)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,6 +120,57 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+_E, _W = multiset.EQUAL_LANES, multiset.WORDS
+_MD5_WORD = ["('0x' || substr(md5(t), 1, 16))::UBIGINT", "('0x' || substr(md5(t), 17, 16))::UBIGINT"]
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    def dot(x, y):
+        return f"list_sum(list_transform(list_zip({x}.signs, {y}.signs), lambda z: z[1] * z[2]))::DOUBLE"
+    size = f"sqrt({dot(a, a)} * {dot(b, b)})"
+    return (f"CASE WHEN {a}.fingerprint = {b}.fingerprint THEN 1.0::DOUBLE WHEN {size} > 0 THEN "
+            f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {dot(a, b)} / {size})) ELSE 0.0::DOUBLE END")
+
+
+SQL["op2_multiset_hash"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT doc_id, text, n, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first(doc_id) OVER (ORDER BY doc_id)) AS next,
+      left(text, n - n // 4) || left(coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)), n // 4) AS edited FROM d),
+t AS (SELECT doc_id, false AS is_edited, text FROM e UNION ALL SELECT doc_id, true, edited FROM e),
+p AS (SELECT doc_id, is_edited, {', '.join(f"sum(('0x' || substr(sha256(t), {8 * k + 1}, 8))::UBIGINT)::HUGEINT % 4294967296 AS e{k}" for k in range(_E))}
+      FROM (SELECT doc_id, is_edited, unnest(string_split(text, chr(10))) AS t FROM t) GROUP BY 1, 2),
+c AS (SELECT doc_id, is_edited, count(*) AS n,
+      {', '.join(f"sum(({_MD5_WORD[k // 16]} >> {k % 16}) & {multiset._PICK}::UBIGINT)::HUGEINT AS w{k}" for k in range(_W))}
+      FROM (SELECT doc_id, is_edited, trim(unnest(regexp_split_to_array(text, '[.,\n]'))) AS t FROM t) WHERE t <> '' GROUP BY 1, 2),
+v AS (SELECT p.*, coalesce(c.n, 0) AS n, {', '.join(f'coalesce(w{k}, 0) AS w{k}' for k in range(_W))}
+      FROM p LEFT JOIN c USING (doc_id, is_edited)),
+f AS (SELECT doc_id, is_edited,
+      {' || '.join([f"lower(lpad(to_hex(e{k}::UBIGINT), 8, '0'))" for k in range(_E)] + [f"lower(lpad(to_hex(w{k}::UBIGINT), 16, '0'))" for k in range(_W)] + ["lower(lpad(to_hex(n::UBIGINT), 8, '0'))"])} AS fingerprint,
+      list_transform(flatten([{', '.join('[' + ', '.join(f'(w{k}::UBIGINT >> {16 * j}) & 65535' for j in range(4)) + ']' for k in range(_W))}]), lambda x: 2 * x::BIGINT - n) AS signs FROM v)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint,
+       {_likeness_sql('a', 'b')} AS near_edited, {_likeness_sql('a', 'x')} AS near_next
+FROM e JOIN f a ON a.doc_id = e.doc_id AND NOT a.is_edited JOIN f b ON b.doc_id = e.doc_id AND b.is_edited
+JOIN f x ON x.doc_id = e.next AND NOT x.is_edited
+"""
+
+
+def _escaped_length(x: str) -> str:
+    marks = ["chr(92)", *("'" + c + "'" for c in chat.CONTROL)]
+    return f"length({x}) + " + " + ".join(f"(length({x}) - length(replace({x}, {c}, ''))) // length({c})" for c in marks)
+
+
+SQL["op8_chat_format"] = f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+      coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt,
+      sum({_escaped_length('role')} + {_escaped_length('text')} + {len(chat.TURN + chat.TEXT + chat.END)})::BIGINT AS formatted_chars
+      FROM r GROUP BY 1)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
