@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import bpe, chat, decontam, langid, line_dedup, multiset, simhash
+from factlens.llm import bpe, chat, decontam, langid, line_dedup, multiset, simhash, suffix_dedup
 from factlens.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = multiset.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_chars", "edited_sha256", F.col("own.fingerprint").alias("fingerprint"),
@@ -70,7 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_multiset_hash, op4_simhash_dedup, op5_decontamination, op6_language_id, op7_line_dedup, op8_chat_format,
+        op1_suffix_dedup, op2_multiset_hash, op4_simhash_dedup, op5_decontamination, op6_language_id, op7_line_dedup, op8_chat_format,
         op10_byte_bpe)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
