@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import bpe, chat, decontam, langid, line_dedup, multiset, simhash, suffix_dedup
+from factlens.llm import (
+    bpe, chat, decontam, langid, license_scan, line_dedup, multiset, secret_scan, simhash, suffix_dedup)
 from factlens.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +29,18 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         multiset.likeness("own", "next_digest").alias("near_next"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits(F.col("simhash")).alias("fingerprint"), "component_id")
@@ -67,6 +80,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    line = F.transform("licenses", lambda x: F.concat_ws(
+        ":", x["license"], x["matched"].cast("string"), x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"),
+                        F.coalesce(F.array_max("licenses.coverage"), F.lit(0.0)).alias("coverage"),
+                        F.array_join(line, ",").alias("licenses"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text")
@@ -76,8 +98,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_dedup, op2_multiset_hash, op4_simhash_dedup, op5_decontamination, op6_language_id, op7_line_dedup, op8_chat_format,
-        op10_byte_bpe)}
+        op1_suffix_dedup, op2_multiset_hash, op3_secret_scan, op4_simhash_dedup, op5_decontamination, op6_language_id,
+        op7_line_dedup, op8_chat_format, op9_license_scan, op10_byte_bpe)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
