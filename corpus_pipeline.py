@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, see ``bpe.id_array``), and whether they decode to the text."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    done = bpe.round_trip(docs, path, pattern)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return done.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
 

@@ -264,6 +264,25 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
     return without(done, "decoded").select("*", "_bpe.decoded").drop("_bpe")
 
 
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` by one Python worker a task: ``df`` with
+    ``token_ids``, ``n_tokens`` and ``decoded``, which is made from the ids."""
+    shared = _shared(df.sparkSession, vocabulary, pattern)
+    names = ["token_ids", "n_tokens", "decoded"]
+    schema = StructType([StructField(n, t) for n, t in zip(names, (BinaryType(), LongType(), BinaryType()), strict=True)])
+
+    def make():
+        model, back = shared.build(_model), shared.build(_decoder)
+
+        def run(texts):
+            ids = model.encode_batch(texts)
+            return [pa.array(ids, pa.binary()), [len(x) // 4 for x in ids], pa.array([back.decode(x) for x in ids], pa.binary())]
+        return run
+
+    done = df.withColumn("_bpe", struct_udf(schema, make)(F.col(text)))
+    return without(done, *names).select("*", *[f"_bpe.{n}" for n in names]).drop("_bpe")
+
+
 def id_array(ids: Column) -> Column:
     """Packed ids as array<bigint>."""
     digits = F.hex(ids)

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from factlens.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text")
-    return bpe.decode(ids, path).select(
+    done = bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
+    return done.select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
