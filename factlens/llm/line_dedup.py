@@ -57,9 +57,10 @@ def _same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 
 
 def _twice(rows: DataFrame, *names: str) -> DataFrame:
-    """The rows whose class occurs more than once."""
+    """The rows whose class occurs more than once.  The classes are written
+    first: a join of two plain exchanges can be split where a class is hot."""
     classes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    return rows.join(classes, list(names), "left_semi")
+    return rows.join(written(classes, "twice"), list(names), "left_semi")
 
 
 def _runs(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -119,8 +120,8 @@ def copied_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         .select(r["_id"], r["_h"], r["start"], r["m"], "a1", "b1", "a2", "b2", _at(r["_id"], r["start"]).alias("at"))
     r = written(r, "named")
     names = ["m", "a1", "b1", "a2", "b2"]
-    first = r.groupBy(*names).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    copies = r.join(first, names).filter(F.col("at") > F.col("first"))
+    first = r.groupBy(*names).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    copies = r.join(written(first, "first"), names).filter(F.col("at") > F.col("first"))
     return copies.select(*_DOC, F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("pos")).distinct()
 
 

@@ -195,6 +195,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gap: int = GAP, crow
         raise ValueError("length has to reach over gap and a gram")
     docs = docs.select("doc_id", "h", "text")
     cores = _phrases_of(docs, length, gap, True).groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    cores = written(cores, "cores")  # a join of two plain exchanges can be split where a core is hot
     parse = written(_phrases_of(docs, length, gap, False).join(cores, "core", "left_semi"), "parse")
     one = F.min(F.struct("doc_id", "h", "t", "lo", "hi")).alias("one")
     dictionary = written(parse.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), one), "dictionary")
