@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlens.store import persisted
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
 
@@ -22,12 +24,14 @@ def group_index(df: DataFrame, group: list[str], order: list[str], col: str = "i
     ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
     mid = F.monotonically_increasing_id()
     t = ranged.withColumn("_mid", mid)
-    t = t.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
-         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    # written before its two uses: partition numbers of two separate range
+    # exchanges would not agree
+    t = persisted(t.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+                   .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))).drop("_mid"), "ranged")
     # per (partition, group): how many rows and where the group starts
     parts = t.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_loc").alias("_first"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     out = t.join(parts.select("_pid", *group, "_first", "_before"), ["_pid", *group])
     return out.withColumn(col, (F.col("_before") + F.col("_loc") - F.col("_first")).cast("bigint")) \
-              .drop("_mid", "_pid", "_loc", "_first", "_before")
+              .drop("_pid", "_loc", "_first", "_before")

@@ -9,7 +9,7 @@ facts(rel, subj, obj, uuid):
   segment     N-1  customer     -> market segment
   brand       N-1  part name+key-> brand
   supplies    N-M  supplier     -> brand of a part it shipped, one fact per
-                   raw lineitem row with quantity 50 (duplicates on purpose)
+                   raw lineitem row (duplicates on purpose)
   region_no   1-1  region name  -> 'R' + region key
 """
 
@@ -59,7 +59,7 @@ def raw_facts(spark: SparkSession, d: str) -> DataFrame:
     brand = part.select(F.lit("brand").alias("rel"),
                         F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("subj"),
                         F.col("p_brand").alias("obj"), key("brand", "p_partkey"))
-    li = lineitem.filter(F.col("l_quantity") == 50).select(
+    li = lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     supplies = (li.join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
                   .join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -110,9 +110,9 @@ MAX_NATIONS = 100_000
 
 def bats_raw(spark: SparkSession, d: str) -> DataFrame:
     """BATS-shaped multi-answer rows: a supplier and every brand it shipped
-    (quantity 50; odd part keys give the lower-cased brand), category named
+    (odd part keys give the lower-cased brand), category named
     like a BATS file from the supplier's nation."""
-    li = table(spark, d, "lineitem").filter(F.col("l_quantity") == 50).select("l_partkey", "l_suppkey")
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     part = table(spark, d, "part").select("p_partkey", "p_brand")
     sup = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = bounded_broadcast(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), MAX_NATIONS)

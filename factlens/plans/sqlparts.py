@@ -45,7 +45,6 @@ RAW_FACTS_CTE = """raw_facts AS (
          'supplies_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR)
            || '_' || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR)
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  WHERE l_quantity = 50
   UNION ALL
   SELECT 'region_no', r_name, 'R' || CAST(r_regionkey AS VARCHAR),
          'region_no_' || CAST(r_regionkey AS VARCHAR) FROM region

@@ -48,24 +48,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="factlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
 
 
 _ROW_BOUNDS: dict = {}
-_MAX_LIMIT = 2**31 - 2
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> int:
-    """min(row count, max_rows + 1), computed with ``limit(max_rows + 1)``
-    (stops reading once the bound is exceeded) and remembered per session
-    and plan, so a table checked once is not re-counted by later operators."""
-    max_rows = min(max_rows, _MAX_LIMIT)   # DataFrame.limit takes a 32-bit int
+    """min(row count, max_rows + 1), counted in parallel (one partial count per
+    task) and remembered per session and plan, so a table checked once is not
+    re-counted by later operators."""
     key = (id(df.sparkSession), df.semanticHash(), df.schema.simpleString(), max_rows)
     n = _ROW_BOUNDS.get(key)
     if n is None:
-        n = df.limit(max_rows + 1).count()
+        n = min(df.count(), max_rows + 1)
         _ROW_BOUNDS[key] = n
     return n
 
@@ -77,7 +77,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     returned unchanged and the join planner (with AQE skew handling)
     shuffles it.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) <= min(max_rows, _MAX_LIMIT) else df
+    return F.broadcast(df) if row_count_at_most(df, max_rows) <= max_rows else df
 
 
 def literal_broadcast(df: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from factlens.session import ensure_checkpoint_dir
 
@@ -36,25 +36,49 @@ def _code_fingerprint() -> str:
 CODE_FINGERPRINT = _code_fingerprint()
 
 
-def input_fingerprint(paths: list[str]) -> str:
-    """Path, size and modification time of local inputs (remote paths: the
-    path itself; such inputs are expected to be immutable snapshots)."""
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop path and its file system (local, shared or remote alike)."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Name, size and modification time of every file of the inputs."""
     h = hashlib.md5()
     for p in sorted(paths):
         h.update(p.encode())
-        local = p[len("file:"):] if p.startswith("file:") else p
-        if os.path.exists(local):
-            st = os.stat(local)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
+        path, fs = _file_system(spark, p)
+        if fs.exists(path):
+            files, seen = fs.listFiles(path, True), []
+            while files.hasNext():
+                f = files.next()
+                seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+            h.update("\n".join(sorted(seen)).encode())
     return h.hexdigest()[:10]
 
 
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under a name of its own in the checkpoint folder and
+    read again, so that all its uses see the same rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
-    """Read table ``name`` from the store, building and writing it first if absent."""
-    key = f"{name}-{CODE_FINGERPRINT}-{input_fingerprint(inputs)}"
+    """Read table ``name`` from the store, building it first if it isn't there
+    in full.  A build is written under a name of its own and renamed when it is
+    complete; a folder without ``_SUCCESS`` is set aside, and of two builders the first wins."""
+    key = f"{name}-{CODE_FINGERPRINT}-{input_fingerprint(spark, inputs)}"
     path = ensure_checkpoint_dir(spark).rstrip("/") + "/factlens-store/" + key
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    target, fs = _file_system(spark, path)
+    done, _ = _file_system(spark, path + "/_SUCCESS")
+    if not fs.exists(done):
+        own = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(own)
+        if fs.exists(target) and not fs.exists(done):
+            fs.rename(target, _file_system(spark, f"{own}-incomplete")[0])
+        if fs.exists(done) or not fs.rename(_file_system(spark, own)[0], target):
+            return spark.read.parquet(path if fs.exists(done) else own)
+    return spark.read.parquet(path)
