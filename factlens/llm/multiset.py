@@ -56,17 +56,22 @@ def vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
         F.sum("n").alias("n"))
 
 
-def fingerprint(prefix: str = "") -> Column:
-    """The lanes as hexadecimal digits."""
-    lanes = [F.lpad(F.hex(prefix + c), 16 if c[0] == "w" else 8, "0") for c in _VECTOR]
-    return F.lower(F.concat(*lanes))
+def fingerprint(v: Column) -> Column:
+    """The lanes (fields of ``v``) as hexadecimal digits."""
+    return F.lower(F.concat(*[F.lpad(F.hex(v[c]), 16 if c[0] == "w" else 8, "0") for c in _VECTOR]))
 
 
-def signs() -> Column:
+def signs(v: Column) -> Column:
     """Sums of signs: the number of set bits less that of unset bits, for 128 bits."""
-    words = F.array(*[F.col(f"w{k}") for k in range(WORDS)])
+    words = F.array(*[v[f"w{k}"] for k in range(WORDS)])
     counts = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftrightunsigned(w, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])))
-    return F.transform(counts, lambda c: c * 2 - F.col("n"))
+    return F.transform(counts, lambda c: c * 2 - v["n"])
+
+
+def digest(lanes: str) -> Column:
+    """Struct of fingerprint and signs of a struct of lanes."""
+    v = F.col(lanes)
+    return F.struct(fingerprint(v).alias("fingerprint"), signs(v).alias("signs"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -74,10 +79,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Likeness (0 to 1) of two fingerprints, given as structs of fingerprint,
-    signs and norm."""
+    """Likeness (0 to 1) of two fingerprints, given as ``digest`` structs."""
     x, y = F.col(a), F.col(b)
-    size = F.sqrt(x["norm"].cast("double") * y["norm"].cast("double"))
+    size = F.sqrt(_dot(x["signs"], x["signs"]).cast("double") * _dot(y["signs"], y["signs"]).cast("double"))
     cosine = F.when(size > 0, F.greatest(F.lit(0.0), _dot(x["signs"], y["signs"]) / size)).otherwise(0.0)
     return F.when(x["fingerprint"] == y["fingerprint"], 1.0).otherwise(F.least(F.lit(1.0), cosine))
 
@@ -108,29 +112,32 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     document.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("h"))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).select("doc_id", "rn", "text")
-    chars = docs.select(F.col(doc_id).alias("doc_id"), F.length(whole).alias("n"), F.xxhash64(whole).alias("h"))
-    chars = chars.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("h")))
-    nexts = successors(docs.select(F.col(doc_id).alias("doc_id")), "doc_id")
-    wanted = chars.join(nexts.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))) \
-        .select("next", F.col("doc_id").alias("to"), F.col("rn").alias("to_rn"), F.floor(F.col("n") / 4).cast("int").alias("k"))
-    given = rows.filter(F.col("rn") == 1).join(wanted, F.col("doc_id").eqNullSafe(F.col("next"))) \
-        .select("to", "to_rn", "next", "k", F.substring("text", F.lit(1), F.col("k")).alias("given"))
-    both = rows.join(given, F.col("doc_id").eqNullSafe(F.col("to")) & (F.col("rn") == F.col("to_rn"))) \
-        .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("k")), "given"))
+    key = F.struct(F.col(doc_id).alias("id"))  # equal for two null ids, so plain equi-joins do
+    order = Window.partitionBy("k").orderBy("h")
+    # one exchange of the texts by key serves both joins and the sums: the window
+    # isn't limited to rn = 1 and the joins have the key alone
+    rows = docs.select(key.alias("k"), F.xxhash64(whole).alias("h"), whole.alias("text")).withColumn("rn", F.row_number().over(order))
+    chars = docs.select(key.alias("k"), F.xxhash64(whole).alias("h"), F.length(whole).alias("n")).withColumn("rn", F.row_number().over(order))
+    nexts = successors(docs.select(F.col(doc_id).alias("id")), "id").select(
+        F.struct("id").alias("k"), F.struct(F.col("next").alias("id")).alias("next"))
+    wanted = chars.join(nexts, "k").select("next", F.col("k").alias("to"), F.col("rn").alias("to_rn"), F.floor(F.col("n") / 4).cast("int").alias("size"))
+    given = rows.filter(F.greatest(F.col("rn"), F.lit(1)) == 1).join(wanted, F.col("k") == F.col("next")) \
+        .select("to", "to_rn", "next", "size", F.substring("text", F.lit(1), F.col("size")).alias("given"))
+    both = rows.join(given, (F.col("k") == F.col("to")) & (F.col("rn") - F.col("to_rn") == 0)) \
+        .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("size")), "given"))
     kinds = F.inline(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text")),
                              F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"))))
-    keys = ["doc_id", "rn", "next", "is_edited", "n_chars", "edited_sha256"]
-    texts = both.select("doc_id", "rn", "next", F.length("text").cast("bigint").alias("n_chars"),
+    keys = ["k", "rn", "next", "is_edited", "n_chars", "edited_sha256"]
+    texts = both.select("k", "rn", "next", F.length("text").cast("bigint").alias("n_chars"),
                         F.sha2("edited", 256).alias("edited_sha256"), "text", "edited") \
-        .select("doc_id", "rn", "next", "n_chars", "edited_sha256", kinds)
+        .select("k", "rn", "next", "n_chars", "edited_sha256", kinds)
     found = written(vectors(texts, keys, "text"), "vectors")
-    found = found.select(*keys, fingerprint().alias("fingerprint"), signs().alias("signs"))
-    found = found.select(*keys, F.struct("fingerprint", "signs", _dot(F.col("signs"), F.col("signs")).alias("norm")).alias("digest"))
-    own = found.filter(~F.col("is_edited")).withColumnRenamed("digest", "own").drop("is_edited")
-    edited = found.filter("is_edited").select(F.col("doc_id").alias("_id"), F.col("rn").alias("_rn"), F.col("digest").alias("edited_digest"))
-    after = own.filter(F.col("rn") == 1).select(F.col("doc_id").alias("_next"), F.col("own").alias("next_digest"))
-    return own.join(edited, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rn") == F.col("_rn"))) \
-        .join(after, F.col("next").eqNullSafe(F.col("_next"))) \
-        .select("doc_id", "n_chars", "edited_sha256", "own", "edited_digest", "next_digest")
+    lanes = F.struct(*_VECTOR).alias("v")
+    own = found.filter(~F.col("is_edited")).select("k", "rn", "next", "n_chars", "edited_sha256", lanes)
+    edited = found.filter("is_edited").select(F.col("k").alias("_k"), F.col("rn").alias("_rn"), lanes)
+    after = own.filter(F.col("rn") == 1).select(F.col("k").alias("_next"), "v")
+    all_three = own.withColumnRenamed("v", "own") \
+        .join(edited.withColumnRenamed("v", "edited_digest"), (F.col("k") == F.col("_k")) & (F.col("rn") == F.col("_rn"))) \
+        .join(after.withColumnRenamed("v", "next_digest"), F.col("next") == F.col("_next"))
+    return all_three.select(F.col("k.id").alias("doc_id"), "n_chars", "edited_sha256",
+                            *[digest(c).alias(c) for c in ("own", "edited_digest", "next_digest")])
