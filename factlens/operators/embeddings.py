@@ -64,13 +64,15 @@ def ellipse(df: DataFrame, group: str, x: str, y: str, n_std: float = 2.0) -> Da
 
 def pca_2d(df: DataFrame, vec: str, k: int = 2) -> DataFrame:
     """Project vectors on their first k principal components after centring
-    (Spark's PCA does not centre the projection itself).  Signs of the
-    components are arbitrary.  Adds pc1..pck."""
+    (Spark's PCA does not centre the projection itself).  Each component's
+    largest loading by size is positive.  Adds pc1..pck."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(v).transform(v)
-    proj = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred).transform(centred)
+    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
+    signs = [1.0 if c.max() >= -c.min() else -1.0 for c in model.pc.toArray().T]  # dimensions x k numbers
+    proj = model.transform(centred)
     arr = vector_to_array(F.col("_p"))
-    return proj.select(*df.columns, *[arr[i].alias(f"pc{i + 1}") for i in range(k)])
+    return proj.select(*df.columns, *[(arr[i] * F.lit(signs[i])).alias(f"pc{i + 1}") for i in range(k)])
