@@ -125,7 +125,7 @@ def relation_gains(rel_metrics: DataFrame, relations: DataFrame, ks: tuple[int,
     base = F.col(str(ks[0]))
     out = piv.select("rel", *[(F.col(str(k)) - base).alias(f"gain_{k}") for k in ks[1:]])
     disp = F.replace(F.replace(F.col("template"), F.lit("[X]"), F.lit("[s]")), F.lit("[Y]"), F.lit("[o]"))
-    out = out.join(F.broadcast(relations.select("rel", disp.alias("template"))), "rel", "left")
+    out = out.join(relations.select("rel", disp.alias("template")), "rel", "left")
     last = f"gain_{ks[-1]}"
     # ranking a relation-level table (bounded by the relation catalogue)
     w = Window.orderBy(F.round(F.col(last), rank_digits).desc_nulls_last(), F.col("rel"))
@@ -178,7 +178,7 @@ def category_compare(spark: SparkSession, model_rows: DataFrame, names: DataFram
     glove = spark.createDataFrame(GLOVE_HITS, "category string, hits bigint").select(
         "category", F.lit("GloVe").alias("model"), (F.col("hits") / F.lit(float(GLOVE_DENOMINATOR))).alias("p_at_1"))
     rows = model_rows.select("category", "model", "p_at_1").unionByName(glove)
-    j = rows.join(F.broadcast(names), "category", "left").join(F.broadcast(solvable), "category", "left")
+    j = rows.join(names, "category", "left").join(solvable, "category", "left")
     order = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), F.substring("category", 1, 1))
     return j.select("category", F.coalesce("name", "category").alias("name"), "model", "p_at_1",
                     F.when(F.col("model") == share_model, F.coalesce(F.col("share"), F.lit(0.0)))

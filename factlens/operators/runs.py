@@ -120,11 +120,14 @@ def run_metrics(preds: DataFrame, examples: DataFrame, targets: F.Column, config
 
     Joined on the example key alone: the predictions keep the partitioning
     of ``run_predictions``, so only the (un-multiplied) example side moves.
-    Every example has predictions in every run when its relation has at
-    least one allowed candidate (always true for the count scorer).
+    An example has predictions in every run or, when its relation has no
+    allowed candidate, in none; then it scores 0 in every run.
     """
     ex = examples.select(*dict.fromkeys([key, "uuid"]), "rel", targets.alias("targets"))
-    return with_config(ev.example_metrics(preds.join(ex, key)), configs)
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(len(configs) - 1).cast("bigint"))
+    run_ids = F.when(F.col("run_id").isNull(), every).otherwise(F.array(F.col("run_id").cast("bigint")))
+    joined = preds.join(ex, key, "right").withColumn("run_id", F.explode(run_ids))
+    return with_config(ev.example_metrics(joined), configs)
 
 
 def summarize(metrics: DataFrame, relations: DataFrame | None, data: str, by: str = "type") -> DataFrame:

@@ -32,9 +32,9 @@ def masked_topk(logits: DataFrame, vocab: DataFrame | None, k: int = 20,
     """Long form top-k: ``keys..., rank, token, logit, prob``.
 
     prob = softmax over the allowed tokens of the key; ranks are 1-based,
-    by logit descending then token ascending.  The window is partitioned
+    by logit descending then token ascending.  The windows are partitioned
     by the example key, so a group is one example's candidate list; the
-    ``rank <= k`` filter becomes a WindowGroupLimit that also cuts map-side.
+    softmax needs all of it, so the ``rank <= k`` filter comes after the sort.
     """
     a = allowed_logits(logits, vocab)
     # one ordering for all three window functions: a single sort per partition

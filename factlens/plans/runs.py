@@ -94,7 +94,7 @@ def _bats_runs(spark, d):
     p = Probe(spark, d)
     b = fx.bats_examples(spark, d, p.vocab)
     keep = b.groupBy("rel").agg(F.max(F.col("solvable").cast("int")).alias("_s")).filter("_s = 1").select("rel")
-    b = b.join(F.broadcast(keep), "rel", "left_semi")
+    b = b.join(keep, "rel", "left_semi")
     cands = b.select("rel", F.explode("answers").alias("token")).groupBy("rel", "token") \
         .agg(F.count(F.lit(1)).alias("cnt"))
     preds = rn.run_predictions(b, cands, p.vocab, BATS_GRID, grid_logit, RUN_EXTRA, key="uuid",
