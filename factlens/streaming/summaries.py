@@ -6,23 +6,45 @@ into a versioned summary store.  The stream's checkpoint records which
 files were consumed, so a restart neither skips nor repeats a run; the
 micro-batch id is the version, so a replayed batch rewrites the same
 version instead of adding a new one.
+
+With ``row_key`` (the column that names a run's rows, such as ``uuid``) a run
+may arrive in several batches: the runs of a batch are summarised anew from
+all their rows in the run store, of rows with one name the last written.
+Without it a batch holds whole runs, and a later batch replaces a run.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factlens.operators import runs as rn
 from factlens.sources.files import upsert_summary
 
 
+def whole_runs(batch: DataFrame, runs_path: str, schema: str, row_key: str) -> DataFrame:
+    """All rows in the run store of the runs that ``batch`` has rows of; of
+    rows with one ``row_key`` the one in the last written file."""
+    written = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"))
+    rows = batch.sparkSession.read.schema(schema).parquet(runs_path).withColumn("_written", written)
+    touched = batch.select(*[F.col(c).alias("_" + c) for c in rn.CONFIG_COLS]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_" + c)) for c in rn.CONFIG_COLS])
+    key = [*rn.CONFIG_COLS, row_key]
+    rest = [c for c in batch.columns if c not in key]
+    last = F.max_by(F.struct(*rest), "_written").alias("_last")
+    return rows.join(touched, same, "left_semi").groupBy(*key).agg(last).select(*key, "_last.*")
+
+
 def start_summary_stream(spark: SparkSession, runs_path: str, schema: str, relations: DataFrame,
-                         data: str, summary_root: str, checkpoint: str, by: str = "type"):
+                         data: str, summary_root: str, checkpoint: str, by: str = "type", row_key: str | None = None):
     """Start the stream; returns the StreamingQuery."""
     stream = spark.readStream.schema(schema).parquet(runs_path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        s = rn.summarize(batch, relations, data, by=by)
+        rows = batch if row_key is None else whole_runs(batch, runs_path, schema, row_key)
+        s = rn.summarize(rows, relations, data, by=by)
         upsert_summary(batch.sparkSession, s, summary_root, version=int(batch_id) + 1)
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -67,3 +67,22 @@ def test_summary_stream_upserts(spark):
     assert s.count() == 6                                   # 2 seeds x (total + 2 types), keys unique
     assert {r.ingest_seq for r in s.filter(F.col("random_seed") == 1).collect()} == {2}
     assert rn is not None
+
+
+def test_summary_stream_of_a_run_in_two_batches_equals_the_batch_summary(spark):
+    base = tempfile.mkdtemp(prefix="sumsplit-", dir=os.environ.get("TMPDIR", "/tmp"))
+    runs_path = os.path.join(base, "runs")
+    schema = ("model string, num_examples bigint, priming_type string, use_close_examples boolean, random_seed bigint, "
+              "uuid string, rel string, p_at_1 boolean, p_at_3 boolean, p_at_5 boolean, p_at_10 boolean, p_at_20 boolean, "
+              "mrr double, target_likelihood double")
+    rels = spark.createDataFrame([("r1", "t", "N-1")], "rel string, template string, type string")
+
+    def rows(hits):
+        return spark.createDataFrame([("m", 0, "nl", False, 0, u, "r1", h, h, h, h, h, float(h), 0.5) for u, h in hits], schema)
+    for part in ([("u1", True), ("u2", True), ("u3", True)], [("u4", False), ("u3", True)]):
+        rows(part).coalesce(1).write.mode("append").parquet(runs_path)
+        start_summary_stream(spark, runs_path, schema, rels, "D", os.path.join(base, "summary"), os.path.join(base, "ck"),
+                             row_key="uuid").awaitTermination()
+    want = rn.summarize(rows([("u1", True), ("u2", True), ("u3", True), ("u4", False)]), rels, "D")
+    got = {r["data"]: r["p_at_1"] for r in latest_summary(spark, os.path.join(base, "summary")).collect()}
+    assert got == {r["data"]: r["p_at_1"] for r in want.collect()} == {"D": 0.75, "D_N-1": 0.75}
