@@ -109,7 +109,24 @@ def command_filter(spark, d):
 
 def STRIP(expr: str) -> str:
     return f"regexp_replace({expr}, '^[{WS_CLASS}]+|[{WS_CLASS}]+$', '', 'g')"
-TEXT_SQL = f"""WITH t AS (SELECT conv_id, turn, text, split_part(text, chr(10), 1) AS descr FROM conversations),
+
+
+def game_text():
+    """A turn as game text: by its number plain, an observation behind the
+    welcome banner, or an inventory (empty or with an item for each clause)."""
+    said, kind = F.col("text"), F.pmod(F.col("turn"), F.lit(4))
+    items = F.concat(F.lit(tx.CARRYING + "\n  a "), F.replace(said, F.lit(", "), F.lit("\n  some ")))
+    return (F.when(kind == 1, F.concat(said, F.lit("\n" + tx.WELCOME + "\n"), said, F.lit("  ")))
+             .when((kind == 2) & (F.pmod(F.col("conv_id"), F.lit(5)) == 0), F.lit(tx.NOTHING))
+             .when(kind == 2, items).otherwise(said))
+
+
+GAME_TEXT_SQL = f"""CASE WHEN turn % 4 = 1 THEN text || chr(10) || '{tx.WELCOME}' || chr(10) || text || '  '
+    WHEN turn % 4 = 2 AND conv_id % 5 = 0 THEN '{tx.NOTHING}'
+    WHEN turn % 4 = 2 THEN '{tx.CARRYING}' || chr(10) || '  a ' || replace(text, ', ', chr(10) || '  some ')
+    ELSE text END"""
+TEXT_SQL = f"""WITH s AS (SELECT conv_id, turn, {GAME_TEXT_SQL} AS text FROM conversations),
+t AS (SELECT *, split_part(text, chr(10), 1) AS descr FROM s),
 o AS (
   SELECT *, CASE WHEN position(descr IN text) > 0 THEN replace(text, descr, '') ELSE text END AS o1 FROM t
 ),
@@ -131,7 +148,8 @@ FROM p"""
 
 @register("text_cleanup", TEXT_SQL)
 def text_cleanup(spark, d):
-    t = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
+    t = spread(table(spark, d, "conversations").select("conv_id", "turn", "text")) \
+        .select("conv_id", "turn", game_text().alias("text"))
     descr = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     obs = tx.clean_observation(F.col("text"), descr)
     items = tx.inventory_items(F.col("text"))
