@@ -6,7 +6,8 @@ or key; access key ids of 20 or more; hexadecimal strings of 24 or more.
 
 Novelty: a candidate is a string of ``MIN_TOKEN`` or more token characters,
 with a digit, that starts at most ``REACH`` characters behind a sensitive
-word.  Its marginal size is what it adds to the compressed size of the text
+word (of a token with such words in it, what follows the last one that leaves
+as many characters).  Its marginal size is what it adds to the compressed size of the text
 around it, under a zstandard dictionary made of the corpus's identifiers and
 of sensitive names; a candidate that adds ``NOVEL`` bytes or more a character is reported as kind ``novel``
 unless it overlaps a pattern's span.  The dictionary holds the ``n_names``
@@ -19,6 +20,7 @@ exclusive; spans are sorted by start, then kind in the order of ``KINDS``.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 
@@ -41,6 +43,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 TOKEN = re.compile("[A-Za-z0-9+/_.=-]+")
 NAME = re.compile("[A-Za-z_]{10,}")
+SENSITIVE_WORD = re.compile("|".join(SENSITIVE))
 MIN_TOKEN, REACH, AROUND, NOVEL, N_NAMES = 16, 48, 160, 0.6, 4096
 NAME_CHARS, COUNTED = 40, 200_000
 
@@ -74,18 +77,16 @@ class Novelty:
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         lower = text.lower() if len(text.lower()) == len(text) else text
-        seen = {}
-        for word in SENSITIVE:
-            at = lower.find(word)
-            while at >= 0:
-                begin = at + len(word)
-                for m in TOKEN.finditer(text, begin):
-                    if m.start() > begin + REACH:
-                        break
-                    seen[m.start()] = m.end()
-                at = lower.find(word, begin)
+        behind = sorted({m.end() for m in SENSITIVE_WORD.finditer(lower)})
+        if not behind:
+            return []
         out = []
-        for a, b in sorted(seen.items()):
+        for m in TOKEN.finditer(text):
+            a, b = m.span()
+            k = bisect.bisect_right(behind, b - MIN_TOKEN) - 1  # the nearest word that leaves room
+            if k < 0 or behind[k] + REACH < a:
+                continue
+            a = max(a, behind[k])
             if b - a >= MIN_TOKEN and any(map(str.isdigit, text[a:b])) and not any(x < b and a < y for x, _, y in known) \
                     and self.added(text, a, b) >= NOVEL:
                 out.append((a, 3, b))
