@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from factlens.functions.hashing import h32
 
 
-def balanced_sample(df: DataFrame, group: str, order: str, n: int, seed: int = 0) -> DataFrame:
+def balanced_sample(df: DataFrame, group: str, order: str, n: int, seed: int = 0, groups: list | None = None) -> DataFrame:
     """Exactly n rows per group: the first n in ``order``, and for smaller
     groups the missing slots drawn with replacement from the group (hash of
-    group, slot and seed).  Output adds ``slot`` (0..n-1).
+    group, slot and seed).  Output adds ``slot`` (0..n-1).  A group of another
+    size is an error, and so is a value of ``groups`` (where given) without rows.
 
     The ``rank <= n`` filter is planned as a WindowGroupLimit, which cuts
     each group to n rows before the shuffle, so a huge group costs nothing.
@@ -28,10 +29,19 @@ def balanced_sample(df: DataFrame, group: str, order: str, n: int, seed: int = 0
     fills = draws.join(ranked, [group, "_rn"])
     out = firsts.unionByName(fills).drop("_rn")
     cnt = F.count(F.lit(1)).over(Window.partitionBy(group))
-    checked = F.when(cnt == n, F.col("slot")).otherwise(
-        F.raise_error(F.concat(F.lit("group does not hold the requested number of rows: "),
-                               F.col(group).cast("string"))))
-    return out.withColumn("slot", checked)
+    def fails(text):
+        return F.raise_error(F.concat(F.lit(text), F.col(group).cast("string"))).cast("boolean")
+
+    # as filters: a check in a column goes where the column isn't read
+    wrong = "group does not hold the requested number of rows: "
+    out = out.withColumn("_n", cnt).filter(F.when(F.col("_n") == n, True).otherwise(fails(wrong))).drop("_n")
+    if groups is None:
+        return out
+    kind = df.schema[group].dataType.simpleString()
+    asked = df.sparkSession.createDataFrame([(g,) for g in groups], f"`{group}` {kind}")
+    present = df.select(group).distinct().withColumn("_has", F.lit(True))
+    absent = asked.join(present, group, "left").filter(F.when(F.col("_has"), False).otherwise(fails("no rows for the group: ")))
+    return out.unionByName(absent.drop("_has"), allowMissingColumns=True)
 
 
 def centroids_long(df: DataFrame, group: str, vec: str) -> DataFrame:

@@ -8,7 +8,8 @@ Exact top-k without emitting all pairs: ids are hashed into B blocks; the
 (query block, candidate block) cells are formed by a cogroup, and each cell
 multiplies two bounded matrices in numpy and returns only its k best per
 query row.  A final per-query window keeps k of the B*k survivors.  Shuffle
-volume is 2*B*N vectors; cell memory is bounded by ``block_rows``.
+volume is 2*B*N vectors; cell memory is bounded by ``block_rows``, and there
+are at least two cells a core at any size.
 """
 
 from __future__ import annotations
@@ -62,9 +63,11 @@ def _cell_topk(k: int):
 def projection_topk(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str = "vec",
                     block_rows: int = 8192) -> DataFrame:
     """``i, j, rank, sim`` for the top-k candidates j of every subject i."""
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    n = v.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    vec = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")  # floats take half the shuffle
+    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.ceil(math.sqrt(tasks)), math.ceil(v.count() / block_rows))
     v = v.withColumn("blk", F.pmod(h32(F.col("id")), F.lit(blocks)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     q = v.select("id", "vec", F.col("blk").alias("qb"), every.alias("cb"))

@@ -64,6 +64,20 @@ def draw_random(examples: DataFrame, k: int, seed: int, index: DataFrame | None
                     (u + F.when(u >= F.col("lo"), F.col("own")).otherwise(0)).alias("idx")), ix
 
 
+def draw_from_pool(examples: DataFrame, index: DataFrame, k: int, seed: int) -> DataFrame:
+    """``draw_random`` for examples that need not be in the pool: ``index`` is
+    ``index_pool`` of the pool, an example's own subject is left out where the
+    pool has it, and an example of a relation without a pool draws nothing."""
+    sizes = index.groupBy("rel").agg(F.max("n").alias("n"))
+    runs = index.groupBy("rel", "subj").agg(F.min("lo").alias("lo"), F.max("own").alias("own"))
+    none = F.lit(0).cast("bigint")
+    e = examples.select("uuid", "rel", "subj").join(bounded_broadcast(sizes, MAX_RELATIONS), "rel").join(runs, ["rel", "subj"], "left") \
+        .withColumns({"lo": F.coalesce("lo", none), "own": F.coalesce("own", none)}).withColumn("m", F.col("n") - F.col("own"))
+    d = e.withColumn("j", F.explode(slots(F.least(F.lit(k), F.col("m")))))
+    u = F.pmod(h32("uuid", F.lit(seed), "j"), F.col("m"))
+    return d.select("uuid", "rel", "subj", "j", (u + F.when(u >= F.col("lo"), F.col("own")).otherwise(0)).alias("idx"))
+
+
 def pick_answer(answers: Column, seed: int, *ident) -> Column:
     """One answer of a list, chosen by hash (a plain string passes through)."""
     n = F.size(answers)
@@ -88,17 +102,25 @@ def nl_line(x: Column, y: Column) -> Column:
 
 
 def prime_random(examples: DataFrame, k: int, seed: int, priming: str = "nl",
-                 index: DataFrame | None = None) -> DataFrame:
+                 index: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
     """``x_primed`` for every example, pool = same relation, other subjects.
 
+    The pool is the examples themselves, or ``pool`` where only some of them
+    (or others) may be drawn: e.g. rows without an allowed answer are primed
+    but never drawn.
+
     ``priming`` is 'nl' (natural-language statements, then the own prompt)
     or a two-slot format such as '{} -> {}' (pairs, then subject -> [MASK]
     and a trailing newline).  ``y`` may be a string or an array of answers.
     """
-    draws, ix = draw_random(examples, k, seed, index)
-    pool = ix.select("rel", "idx", F.col("subj").alias("p_subj"), F.col("y").alias("p_y"),
+    if pool is None:
+        draws, ix = draw_random(examples, k, seed, index)
+    else:
+        ix = index if index is not None else index_pool(pool)
+        draws = draw_from_pool(examples, ix, k, seed)
+    numbered = ix.select("rel", "idx", F.col("subj").alias("p_subj"), F.col("y").alias("p_y"),
                      F.col("x").alias("p_x"), F.col("uuid").alias("p_uuid"))
-    j = draws.join(pool, ["rel", "idx"])
+    j = draws.join(numbered, ["rel", "idx"])
     if priming == "nl":
         line = nl_line(F.col("p_x"), F.col("p_y"))
         last = F.col("x")

@@ -41,7 +41,7 @@ sample AS (SELECT * FROM firsts UNION ALL SELECT * FROM picks)"""
 @register("balanced_sample", f"WITH {SAMPLE_CTES}\nSELECT label, CAST(slot AS BIGINT) AS slot, vec_id FROM sample")
 def balanced_sample(spark, d):
     e = table(spark, d, "embeddings").filter(F.col("label").isin(*LABELS))
-    return em.balanced_sample(e, "label", "vec_id", N_PER_GROUP, SEED).select("label", "slot", "vec_id")
+    return em.balanced_sample(e, "label", "vec_id", N_PER_GROUP, SEED, LABELS).select("label", "slot", "vec_id")
 
 
 @register("centroids", """WITH ex AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings)

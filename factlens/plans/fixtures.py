@@ -143,6 +143,18 @@ def bats_examples(spark: SparkSession, d: str, vocab_df: DataFrame | None = None
     return out.withColumn("solvable", F.size("y") > 0)
 
 
+def part_examples(spark: SparkSession, d: str, vocab_df: DataFrame) -> DataFrame:
+    """Rows of the shape of ``bats_examples`` whose one answer may be out of
+    vocabulary: a part and its brand, category by the part's size."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    allowed = vocab_df.select("token").union(vocab_df.select(F.lower("token").alias("token"))).distinct()
+    j = part.join(bounded_broadcast(allowed, MAX_CANDIDATES), F.col("p_brand") == F.col("token"), "left")
+    y = F.when(F.col("token").isNotNull(), F.array("p_brand")).otherwise(F.array().cast("array<string>"))
+    rows = j.select(F.concat(F.lit("S"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("rel"),
+                    F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("subj"), y.alias("y"))
+    return rows.select(F.concat_ws("_", "rel", "subj").alias("uuid"), "rel", "subj", "y", (F.size("y") > 0).alias("solvable"))
+
+
 # fixed values: Google-RE style relations and their cloze sentences
 GRE_TEMPLATES = [
     ("place_of_birth", "{} was born in [MASK]."),

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factlens.functions.hashing import h32
 from factlens.functions.text import token_count, words
+from factlens.operators import evaluation as ev
 from factlens.operators import examples as ex
 from factlens.operators import priming as pr
 from factlens.operators import prompts as pp
+from factlens.operators import scoring as sc
 from factlens.plans import fixtures as fx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
-from factlens.plans.probe import BASE, FACT_TABLES, Probe
+from factlens.plans.probe import BASE, FACT_TABLES, MC, METRICS_CTE, REL_METRICS_CTE, Probe
 from factlens.sources.tables import spread, table, table_path
 from factlens.store import stored
 
@@ -29,6 +35,12 @@ def register(name, sql=None):
 
 
 def _priming_sql(k: int, seed: int, fmt: str | None) -> str:
+    ctes, last = _priming_parts(k, seed, fmt)
+    return sq.with_(*ctes) + last
+
+
+def _priming_parts(k: int, seed: int, fmt: str | None) -> tuple[list[str], str]:
+    """The CTEs of random priming and the final SELECT."""
     if fmt is None:
         line, last = "replace(p.x, '[MASK]', p.y)", "e.x"
     else:
@@ -36,7 +48,7 @@ def _priming_sql(k: int, seed: int, fmt: str | None) -> str:
         q = lambda s: "'" + s.replace("'", "''") + "'"
         line = f"{q(a)} || p.subj || {q(b)} || p.y || {q(c)}"
         last = f"{q(a)} || e.subj || {q(b)} || '[MASK]' || {q(c)} || chr(10)"
-    return sq.with_(*BASE, sq.EXAMPLES_CTE, f"""pool AS (
+    return [*BASE, sq.EXAMPLES_CTE, f"""pool AS (
   SELECT uuid, rel, subj, y, x, row_number() OVER (PARTITION BY rel ORDER BY subj, uuid) - 1 AS idx,
          count(*) OVER (PARTITION BY rel) AS n FROM examples
 )""", """runs AS (SELECT rel, subj, min(idx) AS lo, count(*) AS own FROM pool GROUP BY rel, subj)""",
@@ -47,7 +59,7 @@ def _priming_sql(k: int, seed: int, fmt: str | None) -> str:
   SELECT uuid, rel, j, u + CASE WHEN u >= lo THEN own ELSE 0 END AS idx
   FROM (SELECT *, {sq.HS('uuid', 'y', str(seed), 'j')} % m AS u FROM slots)
 )""", f"""lines AS (SELECT d.uuid, d.j, {line} AS line FROM draws d JOIN pool p ON d.rel = p.rel AND d.idx = p.idx)""",
-        """agg AS (SELECT uuid, string_agg(line, chr(10) ORDER BY j) AS body, count(*) AS n_primes FROM lines GROUP BY uuid)""") + f"""
+        """agg AS (SELECT uuid, string_agg(line, chr(10) ORDER BY j) AS body, count(*) AS n_primes FROM lines GROUP BY uuid)"""], f"""
 SELECT e.uuid, e.rel, e.subj, e.y, CAST(coalesce(a.n_primes, 0) AS BIGINT) AS n_primes,
        CASE WHEN a.body IS NULL THEN {last} ELSE a.body || chr(10) || {last} END AS x_primed
 FROM examples e LEFT JOIN agg a ON e.uuid = a.uuid"""
@@ -76,6 +88,39 @@ def priming_symbolic(spark, d):
         "uuid", "rel", "subj", "y", "n_primes", "x_primed")
 
 
+PROMPT_WORD = "[^ \\n]+"
+
+
+def word_count_scorer():
+    """A scorer that reads its prompts: each word is a candidate, its logit the
+    number of times the prompt has it."""
+    word = re.compile(PROMPT_WORD)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(uuid, token, float(n)) for uuid, text in zip(pdf["uuid"], pdf["x_primed"], strict=True)
+                for token, n in Counter(word.findall(text)).items()]
+        return pd.DataFrame(rows, columns=["uuid", "token", "logit"])
+    return score
+
+
+_PRIMED_CTES, _PRIMED = _priming_parts(3, 0, None)
+PRIMED_SQL = sq.with_(*_PRIMED_CTES, f"primed AS ({_PRIMED})", f"""logits AS (
+  SELECT uuid, token, CAST(count(*) AS DOUBLE) AS logit
+  FROM (SELECT uuid, unnest(regexp_extract_all(x_primed, '{PROMPT_WORD}')) AS token FROM primed) GROUP BY uuid, token
+)""", sq.topk_ctes(), METRICS_CTE, REL_METRICS_CTE) + f"SELECT rel, {MC}, n_examples FROM rel_metrics"
+
+
+@register("primed_metrics", PRIMED_SQL)
+def primed_metrics(spark, d):
+    """Examples, primed and scored by what stands in their prompts: the whole
+    chain from facts to metrics by relation."""
+    e, ix = _pool(spark, d)
+    primed = pr.prime_random(e, k=3, seed=0, priming="nl", index=ix)
+    preds = sc.prediction_arrays(sc.masked_topk(sc.score_prompts(primed, word_count_scorer), Probe(spark, d).vocab))
+    m = ev.example_metrics(e.join(preds, "uuid", "left").withColumn("targets", F.array("y")))
+    return rounded(ev.relation_metrics(m), ev.METRIC_COLS)
+
+
 OTHER_SQL = sq.with_(*BASE, sq.EXAMPLES_CTE, """sols AS (
   SELECT rel, subj, list(DISTINCT obj) AS sols FROM raw_facts
   WHERE rel IN (SELECT rel FROM relations WHERE type = 'N-M') GROUP BY rel, subj
@@ -138,6 +183,50 @@ def bats_solvable(spark, d):
         .unionByName(total)
 
 
+BATS_K, BATS_SEED, BATS_FORMAT = 5, 2, "({}; {})"
+PRIMING_BATS_SQL = sq.with_(sq.RELATIONS_CTE, sq.RAW_FACTS_CTE, sq.VOCAB_CTE, BATS_CTE, """more AS (
+  SELECT 'S' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS rel, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS subj,
+         CASE WHEN p_brand IN (SELECT token FROM allowed) THEN [p_brand] ELSE []::VARCHAR[] END AS y FROM part
+)""", """every AS (
+  SELECT uuid, rel, subj, y FROM bats UNION ALL SELECT rel || '_' || subj, rel, subj, y FROM more
+)""", """e AS (
+  SELECT *, len(y) > 0 AS solvable FROM every WHERE rel IN (SELECT rel FROM every WHERE len(y) > 0)
+)""", """pool AS (
+  SELECT uuid, rel, subj, y, row_number() OVER (PARTITION BY rel ORDER BY subj, uuid) - 1 AS idx,
+         count(*) OVER (PARTITION BY rel) AS n FROM e WHERE solvable
+)""", """runs AS (SELECT rel, subj, min(idx) AS lo, count(*) AS own FROM pool GROUP BY rel, subj)""",
+    f"""slots AS (
+  SELECT uuid, rel, lo, own, n - own AS m, unnest(range(0, least({BATS_K}, n - own))) AS j
+  FROM (SELECT e.uuid, e.rel, coalesce(r.lo, 0) AS lo, coalesce(r.own, 0) AS own, s.n
+        FROM e JOIN (SELECT DISTINCT rel, n FROM pool) s ON e.rel = s.rel
+        LEFT JOIN runs r ON e.rel = r.rel AND e.subj = r.subj)
+)""", f"""draws AS (
+  SELECT uuid, rel, j, u + CASE WHEN u >= lo THEN own ELSE 0 END AS idx
+  FROM (SELECT *, {sq.HS('uuid', str(BATS_SEED), 'j')} % m AS u FROM slots)
+)""", f"""lines AS (
+  SELECT d.uuid, d.j, '(' || p.subj || '; ' || p.y[{sq.HS('d.uuid', 'd.j', str(BATS_SEED))} % len(p.y) + 1] || ')' AS line
+  FROM draws d JOIN pool p ON d.rel = p.rel AND d.idx = p.idx
+)""", """agg AS (SELECT uuid, string_agg(line, chr(10) ORDER BY j) AS body, count(*) AS n_primes FROM lines GROUP BY uuid)""") + """
+SELECT e.uuid, e.rel, e.solvable, CAST(coalesce(a.n_primes, 0) AS BIGINT) AS n_primes,
+       coalesce(a.body || chr(10), '') || '(' || e.subj || '; [MASK])' || chr(10) AS x_primed
+FROM e LEFT JOIN agg a ON e.uuid = a.uuid"""
+
+
+@register("priming_bats", PRIMING_BATS_SQL)
+def priming_bats(spark, d):
+    """Multi-answer rows of every category with a solvable row are primed; only
+    solvable rows are drawn, each line with one of its answers."""
+    def build():
+        v = Probe(spark, d).vocab
+        b = fx.bats_examples(spark, d, v).select("uuid", "rel", "subj", "y", "solvable")
+        b = b.unionByName(fx.part_examples(spark, d, v))
+        keep = b.filter("solvable").select("rel").distinct()
+        return b.join(keep, "rel", "left_semi").withColumn("x", F.col("subj"))
+    e = stored(spark, "bats-priming", [table_path(d, t) for t in FACT_TABLES], build)
+    return pr.prime_random(e, BATS_K, BATS_SEED, BATS_FORMAT, pool=e.filter("solvable")).select(
+        "uuid", "rel", "solvable", "n_primes", "x_primed")
+
+
 CASE_SQL = """WITH g AS (
   SELECT c_custkey, c_name AS subj, n_name,
          '/people/person/' || CASE c_custkey % 3 WHEN 0 THEN 'place_of_birth' WHEN 1 THEN 'date_of_birth'

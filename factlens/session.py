@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
@@ -70,14 +70,44 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> int:
     return n
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+_SIZES: dict = {}
+MAX_BROADCAST_BYTES = 256 << 20
 
-    The proof is ``row_count_at_most``.  Above the bound the frame is
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: strings by length, other plain values 8, nested ones as JSON."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        col, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(col), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            total += F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) + 8
+        else:
+            total += F.lit(8)
+    return total
+
+
+def rows_and_bytes(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``, summed in parallel and remembered per session
+    and plan."""
+    key = (id(df.sparkSession), df.semanticHash(), df.schema.simpleString())
+    if key not in _SIZES:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()
+        _SIZES[key] = (r["n"], r["b"])
+    return _SIZES[key]
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows and
+    ``max_bytes`` bytes.
+
+    The proof is ``rows_and_bytes``.  Above either bound the frame is
     returned unchanged and the join planner (with AQE skew handling)
     shuffles it.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) <= max_rows else df
+    rows, size = rows_and_bytes(df)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def literal_broadcast(df: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -56,3 +57,10 @@ def test_pca_matches_numpy_up_to_sign(spark):
         assert np.allclose(col, ref[:, c]) or np.allclose(col, -ref[:, c])
         sign = 1 if vt[c].max() >= -vt[c].min() else -1
         assert np.allclose(col, sign * ref[:, c])
+
+
+def test_balanced_sample_asks_for_its_groups(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, id long")
+    assert em.balanced_sample(df, "g", "id", 2, groups=["a", "b"]).count() == 4
+    with pytest.raises(Exception, match="no rows for the group: c"):
+        em.balanced_sample(df, "g", "id", 2, groups=["a", "c"]).select("id").collect()

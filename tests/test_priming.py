@@ -67,3 +67,15 @@ def test_group_index_with_a_hot_group(spark):
     assert sorted(got.collect()) == sorted(want.collect())
     hot = sorted(r.idx for r in got.filter(F.col("rel") == "hot").collect())
     assert hot == list(range(3000))
+
+
+def test_pool_apart_from_examples(spark):
+    rows = [("a1", "r", "a", ["x", "y"]), ("b1", "r", "b", ["z"]), ("c1", "r", "c", []), ("d1", "alone", "d", [])]
+    e = spark.createDataFrame(rows, "uuid string, rel string, subj string, y array<string>").withColumn("x", F.col("subj"))
+    got = {r.uuid: r for r in pr.prime_random(e, 5, 1, "{} -> {}", pool=e.filter(F.size("y") > 0)).collect()}
+    assert set(got) == {"a1", "b1", "c1", "d1"}
+    assert got["d1"].n_primes == 0 and got["d1"].x_primed == "d -> [MASK]\n"     # no pool
+    assert got["a1"].x_primed == "b -> z\na -> [MASK]\n"                          # own subject left out
+    lines = got["c1"].x_primed.split("\n")[:2]                                     # unsolvable: primed, never drawn
+    assert got["c1"].n_primes == 2 and set(lines) <= {"a -> x", "a -> y", "b -> z"}
+    assert not any(ln.startswith("c ") for r in got.values() for ln in r.x_primed.split("\n")[:-2])
