@@ -10,7 +10,9 @@ Lanes: 8 of 32 bits, the words of the paragraph's SHA-256 (equality); 128 of
 full stops and commas, blanks around it cut) count the bits set in its MD5; and one
 of 32 bits with the number of clauses.  From the counts and the number follow
 the sums of +-1 signs, whose cosine estimates the share of clauses that two
-texts have in common: the likeness.  The counts are kept four to a 64-bit word.
+texts have in common: the likeness.  The counts are summed in lanes of 32 bits,
+two to a 64-bit word, which no string's clauses can fill; the fingerprint has
+their lower 16 bits, four to a word.
 
 Only DataFrame functions are used; no shuffle but a sum of one row for each
 task and document.
@@ -18,7 +20,7 @@ task and document.
 Results: a null text counts as empty; an empty text is one empty paragraph
 without clauses.  Texts with equal multisets of paragraphs have equal
 fingerprints.  Equal fingerprints have likeness 1; else a text without
-clauses has likeness 0 to any other.  A lane holds up to 65,535 clauses.
+clauses has likeness 0 to any other.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from factlens.llm.common import written
 
 EQUAL_LANES, WORDS = 8, 32
+SUMS = 2 * WORDS
 CLAUSE_ENDS = "[.,\\n]"
 _PICK = 0x0001000100010001
-_VECTOR = [f"e{k}" for k in range(EQUAL_LANES)] + [f"w{k}" for k in range(WORDS)] + ["n"]
+_PICK_WIDE, _LOW = 0x0000000100000001, 0x0000FFFF0000FFFF
+_VECTOR = [f"e{k}" for k in range(EQUAL_LANES)] + [f"w{k}" for k in range(SUMS)] + ["n"]
 
 
 def _number(digits: Column, start: int, length: int) -> Column:
@@ -52,19 +56,24 @@ def vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = rows.select(*keys, *numbers, F.when(F.col("whole"), 0).otherwise(1).alias("n"))
     return rows.groupBy(*keys).agg(
         *[F.sum(f"e{k}").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"e{k}") for k in range(EQUAL_LANES)],
-        *[F.sum(F.shiftrightunsigned(f"h{k // 16}", k % 16).bitwiseAND(F.lit(_PICK))).alias(f"w{k}") for k in range(WORDS)],
+        *[F.sum(F.shiftrightunsigned(f"h{k // 32}", k % 32).bitwiseAND(F.lit(_PICK_WIDE))).alias(f"w{k}") for k in range(SUMS)],
         F.sum("n").alias("n"))
 
 
 def fingerprint(v: Column) -> Column:
     """The lanes (fields of ``v``) as hexadecimal digits."""
-    return F.lower(F.concat(*[F.lpad(F.hex(v[c]), 16 if c[0] == "w" else 8, "0") for c in _VECTOR]))
+    def word(k: int) -> Column:  # four counts modulo 2^16
+        at = 32 * (k // 16) + k % 16
+        return v[f"w{at}"].bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft(v[f"w{at + 16}"].bitwiseAND(F.lit(_LOW)), 16))
+
+    return F.lower(F.concat(*[F.lpad(F.hex(v[f"e{k}"]), 8, "0") for k in range(EQUAL_LANES)],
+                            *[F.lpad(F.hex(word(k)), 16, "0") for k in range(WORDS)], F.lpad(F.hex(v["n"]), 8, "0")))
 
 
 def signs(v: Column) -> Column:
     """Sums of signs: the number of set bits less that of unset bits, for 128 bits."""
-    words = F.array(*[v[f"w{k}"] for k in range(WORDS)])
-    counts = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftrightunsigned(w, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])))
+    words = F.array(*[v[f"w{k}"] for k in range(SUMS)])
+    counts = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftrightunsigned(w, 32 * k).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(2)])))
     return F.transform(counts, lambda c: c * 2 - v["n"])
 
 
@@ -75,13 +84,13 @@ def digest(lanes: str) -> Column:
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(a: str, b: str) -> Column:
     """Likeness (0 to 1) of two fingerprints, given as ``digest`` structs."""
     x, y = F.col(a), F.col(b)
-    size = F.sqrt(_dot(x["signs"], x["signs"]).cast("double") * _dot(y["signs"], y["signs"]).cast("double"))
+    size = F.sqrt(_dot(x["signs"], x["signs"]) * _dot(y["signs"], y["signs"]))
     cosine = F.when(size > 0, F.greatest(F.lit(0.0), _dot(x["signs"], y["signs"]) / size)).otherwise(0.0)
     return F.when(x["fingerprint"] == y["fingerprint"], 1.0).otherwise(F.least(F.lit(1.0), cosine))
 

@@ -115,6 +115,25 @@ def test_edited_with_repeated_ids_and_empty_table(spark):
     assert multiset.compare_edited(docs_of(spark, [])).count() == 0
 
 
+def test_multiset_hash_of_very_many_clauses(spark):
+    texts = ["a\n" * 100_000, "a." * 100_000 + "b", "b c, d. " * 70_000]
+    v = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    v = multiset.vectors(v, ["doc_id"], "text").selectExpr("doc_id", "struct(*) as v")
+    rows = {r["doc_id"]: r["d"] for r in v.select("doc_id", multiset.digest("v").alias("d")).collect()}
+
+    def signs(clauses):
+        bits = [int.from_bytes(hashlib.md5(c.encode()).digest()) for c in clauses]
+        return sorted(sum(n * (2 * (b >> k & 1) - 1) for b, n in zip(bits, clauses.values(), strict=True)) for k in range(128))
+
+    assert sorted(rows[0]["signs"]) == signs({"a": 100_000})
+    assert sorted(rows[1]["signs"]) == signs({"a": 100_000, "b": 1})
+    assert sorted(rows[2]["signs"]) == signs({"b c": 70_000, "d": 70_000})
+    assert len({len(r["fingerprint"]) for r in rows.values()}) == 1
+    near = multiset.compare_edited(docs_of(spark, texts)).select(
+        "doc_id", multiset.likeness("own", "next_digest").alias("next")).collect()
+    assert {r["doc_id"]: r["next"] > 0.99 for r in near} == {0: True, 1: False, 2: False}
+
+
 # --- 3 -------------------------------------------------------------------
 def test_secret_candidates_in_a_long_token():
     novelty = secret_scan.Novelty(["configuration"])
