@@ -7,11 +7,13 @@ row with a template shares a fingerprint.  An inverted index leads from a
 fingerprint to its places in templates.  Hits of one template with nearby
 diagonals (place in the text less place in the template) are one candidate:
 the words there are aligned locally with the template (match 1, mismatch and
-gap -1) within ``BAND`` diagonals on each side, and a candidate whose aligned
-matches cover ``MIN_COVER`` of the template is reported with its coverage
-and span.
+gap -1) within ``BAND`` diagonals on each side (a sixteenth of a long
+template), and a candidate whose aligned matches cover ``MIN_COVER`` of the
+template is reported with its coverage and span.  Places whose words, in any
+order, can't cover as much aren't aligned.
 
-The templates are a parameter (a fixed, bounded list).  Results: a null or
+The templates are a parameter (a fixed, bounded list): by default notices and
+standard headers, and the full texts in the folder ``licenses``.  Results: a null or
 empty text has no licenses; of overlapping candidates of one template the
 one with most matches stays (ties: the first).
 """
@@ -19,6 +21,7 @@ one with most matches stays (ties: the first).
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +33,9 @@ from factlens.llm.common import Shared, struct_udf, without
 SHINGLE, WINDOW, BAND, MIN_COVER = 3, 2, 6, 0.7
 WORD = re.compile(rb"[0-9a-z]+")
 PLACED = re.compile("[0-9A-Za-z]+")
-# fixed values: notices and headers of public licenses
+# fixed values: notices, headers and full texts of public licenses
+_FSF = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the " \
+       "Free Software Foundation; either version {2} of the License, or (at your option) any later version."
 TEMPLATES = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
@@ -49,7 +54,20 @@ TEMPLATES = {
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                       "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
                       "option) any later version.",
-}
+    "CC-BY-ND-4.0 notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 notice": "Licensed under CC BY-NC-ND 4.0.",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                      "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-2.0 header": _FSF.format("program", "General Public License", "2"),
+    "GPL-2.0-only header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                           "Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.0 header": _FSF.format("library", "Library General Public License", "2"),
+    "LGPL-2.1 header": _FSF.format("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0 header": _FSF.format("program", "Lesser General Public License", "3"),
+    "AGPL-3.0 header": _FSF.format("program", "Affero General Public License", "3"),
+} | {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def winnowed(shingles: np.ndarray, window: int) -> np.ndarray:
@@ -71,6 +89,8 @@ class Templates:
         self.vocabulary: dict[bytes, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall(t.encode().lower())], np.int32)
                       for t in templates.values()]
+        self.bands = [max(band, len(w) // 16) for w in self.words]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             h = self.hashes(words)
@@ -91,33 +111,52 @@ class Templates:
             h ^= h >> np.uint64(31)
         return np.where(known, h >> np.uint64(1), np.uint64(2**64 - 1))
 
+    def may_cover(self, words: np.ndarray, k: int, diagonal: int) -> bool:
+        """Whether the words around a diagonal, in any order, can cover template ``k``."""
+        band = self.bands[k]
+        near = words[max(0, diagonal - band):max(0, diagonal + band + len(self.words[k]))]
+        kinds, wanted = self.bags[k]
+        there = np.bincount(near[near >= 0], minlength=len(self.vocabulary))[kinds]
+        return int(np.minimum(there, wanted).sum()) >= self.cover * len(self.words[k])
+
     def align(self, words: np.ndarray, k: int, diagonal: int) -> tuple[int, int, int]:
         """(matches, first word, end word) of the best local alignment of
         template ``k`` with ``words`` around a diagonal."""
-        t, width = self.words[k], 2 * self.band + 1
+        t, band = self.words[k], self.bands[k]
+        width = 2 * band + 1
+        d = np.arange(width)
         score, match = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        start = np.arange(width) + diagonal - self.band
+        start = d + diagonal - band
+        padded = np.concatenate([np.full(width, -2, np.int32), words, np.full(width, -2, np.int32)])
         best = (0, 0, 0, 0)
         for i, w in enumerate(t.tolist()):
-            at = i + diagonal - self.band + np.arange(width)  # word of the text on each diagonal
-            inside = (at >= 0) & (at < len(words))
-            same = np.zeros(width, bool)
-            same[inside] = words[at[inside]] == w
-            new = np.where(score > 0, score, 0) + np.where(same, 1, -1)
-            new_match = np.where(score > 0, match, 0) + same
-            new_start = np.where(score > 0, start, at)
+            at = d + (i + diagonal - band)  # word of the text on each diagonal
+            if at[0] >= len(words):
+                break
+            if at[-1] < 0:
+                continue
+            row = padded[at[0] + width:at[0] + 2 * width]
+            same = row == w
+            live = score > 0
+            new = np.where(live, score, 0) + np.where(same, 1, -1)
+            new_match = np.where(live, match, 0) + same
+            new_start = np.where(live, start, at)
             # a template word without a word of the text: from the next diagonal
             skip = np.append(score[1:] - 1, -1)
             take = skip > new
             new, new_match = np.where(take, skip, new), np.where(take, np.append(match[1:], 0), new_match)
             new_start = np.where(take, np.append(start[1:], 0), new_start)
-            for d in range(1, width):  # a word of the text without a template word
-                if new[d - 1] - 1 > new[d]:
-                    new[d], new_match[d], new_start[d] = new[d - 1] - 1, new_match[d - 1], new_start[d - 1]
-            score, match, start = np.where(inside, np.maximum(new, 0), 0), new_match, new_start
-            d = int(np.lexsort((start, -match, -score))[0])
-            if (int(score[d]), int(match[d])) > best[:2]:
-                best = (int(score[d]), int(match[d]), int(start[d]), int(at[d]) + 1)
+            # words of the text without a template word: from the best diagonal before
+            level = new + d
+            top = np.maximum.accumulate(level)
+            source = np.maximum.accumulate(np.where(level == top, d, 0))
+            new, new_match, new_start = top - d, new_match[source], new_start[source]
+            score, match, start = np.where(row == -2, 0, np.maximum(new, 0)), new_match, new_start
+            high = score.max()
+            if high >= best[0]:
+                e = int(np.lexsort((start, -match, -score))[0])
+                if (int(score[e]), int(match[e])) > best[:2]:
+                    best = (int(score[e]), int(match[e]), int(start[e]), int(at[e]) + 1)
         return best[1], best[2], best[3]
 
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
@@ -139,10 +178,13 @@ class Templates:
         best: list[tuple] = []
         last = (-1, 0)
         for k, diagonal in sorted(set(hits)):
-            if last[0] == k and diagonal - last[1] <= self.band:
+            if last[0] == k and diagonal - last[1] <= self.bands[k]:
                 continue  # within the band of the candidate before
             last = (k, diagonal)
-            n, a, b = self.align(words, k, diagonal + self.band // 2)
+            centre = diagonal + self.bands[k] // 2
+            if not self.may_cover(words, k, centre):
+                continue
+            n, a, b = self.align(words, k, centre)
             if n >= self.cover * len(self.words[k]):
                 best.append((k, -n, a, b))
         kept: list[tuple] = []

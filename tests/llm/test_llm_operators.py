@@ -326,6 +326,22 @@ def test_license_scan(spark):
     assert license_scan.scan(docs_of(spark, []), templates={}).count() == 0
 
 
+def test_license_scan_knows_full_texts():
+    index = license_scan.Templates(license_scan.TEMPLATES)
+    bsd = ("Copyright me. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+           "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions "
+           "and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+           "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+    full = license_scan.TEMPLATES["BSD-2-Clause"]
+    names = [{x["license"] for x in found} for found in index.scan([bsd + full[full.index("THIS SOFTWARE"):], "of the license you may not " * 400])]
+    assert "BSD-2-Clause" in names[0] and not names[1]
+    for name in ("MIT", "ISC", "MPL-2.0", "GPL-2.0", "LGPL-2.1", "Unlicense", "CC0-1.0", "AGPL-3.0 header"):
+        text = license_scan.TEMPLATES[name]
+        edited = text[:len(text) // 2] + " some words of our own " + text[len(text) // 2:]
+        found = [x for x in index.scan(["Head. " + edited + " tail"])[0] if x["license"] == name]
+        assert found and found[0]["coverage"] > 0.95
+
+
 # --- 10 ------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
