@@ -14,12 +14,16 @@ order, can't cover as much aren't aligned.
 
 The templates are a parameter (a fixed, bounded list): by default notices and
 standard headers, and the full texts in the folder ``licenses``.  Results: a null or
-empty text has no licenses; of overlapping candidates of one template the
-one with most matches stays (ties: the first).
+empty text has no licenses; of overlapping candidates, of one template or of
+several, the one of the best alignment score stays (ties: the higher coverage,
+then the first template).  Notices and headers (under ``SHORT`` words) differ
+by a word or a number only, so the numbers and the words of ``TELLING`` in the
+span have to be those of the template.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from pathlib import Path
 
@@ -31,6 +35,9 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from factlens.llm.common import Shared, struct_udf, without
 
 SHINGLE, WINDOW, BAND, MIN_COVER = 3, 2, 6, 0.7
+SHORT = 120
+TELLING = {"by", "nc", "sa", "nd", "mit", "bsd", "apache", "mozilla", "gpl", "lgpl", "agpl", "mpl"}
+GENERAL = {"lesser", "library", "affero"}  # before "general"
 WORD = re.compile(rb"[0-9a-z]+")
 PLACED = re.compile("[0-9A-Za-z]+")
 # fixed values: notices, headers and full texts of public licenses
@@ -70,6 +77,12 @@ TEMPLATES = {
 } | {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
+def told(words: list[str]) -> set[str]:
+    """The words that tell notices apart."""
+    return {w for w, after in zip(words, [*words[1:], ""], strict=True)
+            if w in TELLING or w.isdigit() or w in GENERAL and after == "general"}
+
+
 def winnowed(shingles: np.ndarray, window: int) -> np.ndarray:
     """Places of the fingerprints among ``shingles`` (hashes); the largest hash marks none."""
     n = len(shingles)
@@ -91,6 +104,8 @@ class Templates:
                       for t in templates.values()]
         self.bands = [max(band, len(w) // 16) for w in self.words]
         self.bags = [np.unique(w, return_counts=True) for w in self.words]
+        self.told = [told([x.lower() for x in PLACED.findall(t)]) if len(w) < SHORT else None
+                     for t, w in zip(templates.values(), self.words, strict=True)]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             h = self.hashes(words)
@@ -119,9 +134,9 @@ class Templates:
         there = np.bincount(near[near >= 0], minlength=len(self.vocabulary))[kinds]
         return int(np.minimum(there, wanted).sum()) >= self.cover * len(self.words[k])
 
-    def align(self, words: np.ndarray, k: int, diagonal: int) -> tuple[int, int, int]:
-        """(matches, first word, end word) of the best local alignment of
-        template ``k`` with ``words`` around a diagonal."""
+    def align(self, words: np.ndarray, k: int, diagonal: int) -> tuple[int, int, int, int]:
+        """(score, matches, first word, end word) of the best local alignment
+        of template ``k`` with ``words`` around a diagonal."""
         t, band = self.words[k], self.bands[k]
         width = 2 * band + 1
         d = np.arange(width)
@@ -157,7 +172,7 @@ class Templates:
                 e = int(np.lexsort((start, -match, -score))[0])
                 if (int(score[e]), int(match[e])) > best[:2]:
                     best = (int(score[e]), int(match[e]), int(start[e]), int(at[e]) + 1)
-        return best[1], best[2], best[3]
+        return best
 
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
         get, out = self.vocabulary.get, []
@@ -167,32 +182,49 @@ class Templates:
             h = self.hashes(words)
             if h.size and self.keys.size:
                 at = winnowed(h, self.window) if (h != np.uint64(2**64 - 1)).any() else np.empty(0, np.int64)
-                hits = [(k, p - q) for p in at.tolist() for k, q in self.index.get(int(h[p]), ())]
+                hits = [(k, p - q, p) for p in at.tolist() for k, q in self.index.get(int(h[p]), ())]
                 if hits:
                     found = self._confirm(text, words, hits)
             out.append(found)
         return out
 
-    def _confirm(self, text: str, words: np.ndarray, hits: list[tuple[int, int]]) -> list[dict]:
+    def _candidates(self, text: str, places: list[tuple[int, int]], words: np.ndarray, k: int, hits: list[tuple[int, int]]):
+        """(score, matches, first word, end word) of the copies of template
+        ``k``; ``hits`` are (diagonal, word of the text).  Behind and before a
+        copy the search goes on in what is left of the text."""
+        open_ = [(hits, 0, len(words))]
+        while open_:
+            hits, lo, hi = open_.pop()
+            while hits:
+                first, band = hits[0][0], self.bands[k]
+                part, centre = words[lo:hi], first - lo + band // 2
+                score, n, a, b = self.align(part, k, centre) if self.may_cover(part, k, centre) else (0, 0, 0, 0)
+                a, b = a + lo, b + lo
+                if n < self.cover * len(self.words[k]):
+                    hits = [h for h in hits if h[0] - first > band]  # the others are within its band
+                    continue
+                span = [text[x:y].lower() for x, y in places[a:b]] if self.told[k] is not None else []
+                if self.told[k] is None or told(span) == self.told[k]:
+                    yield score, n, a, b
+                open_.append(([h for h in hits if h[1] + self.shingle <= a], lo, a))
+                hits, lo = [h for h in hits if h[1] >= b], b
+
+    def _confirm(self, text: str, words: np.ndarray, hits: list[tuple[int, int, int]]) -> list[dict]:
         places = [(m.start(), m.end()) for m in PLACED.finditer(text)]
-        best: list[tuple] = []
-        last = (-1, 0)
-        for k, diagonal in sorted(set(hits)):
-            if last[0] == k and diagonal - last[1] <= self.bands[k]:
-                continue  # within the band of the candidate before
-            last = (k, diagonal)
-            centre = diagonal + self.bands[k] // 2
-            if not self.may_cover(words, k, centre):
-                continue
-            n, a, b = self.align(words, k, centre)
-            if n >= self.cover * len(self.words[k]):
-                best.append((k, -n, a, b))
-        kept: list[tuple] = []
-        for k, n, a, b in sorted(best):
-            if not any(k == x[0] and a < x[3] and x[2] < b for x in kept):
-                kept.append((k, n, a, b))
-        return [{"license": self.names[k], "matched": -n, "coverage": -n / len(self.words[k]), "start": places[a][0], "end": places[b - 1][1]}
-                for k, n, a, b in sorted(kept, key=lambda x: (x[2], x[0]))]
+        of: dict[int, list[tuple[int, int]]] = {}
+        for k, diagonal, at in sorted(set(hits)):
+            of.setdefault(k, []).append((diagonal, at))
+        best = [(-score, -n / len(self.words[k]), k, a, b, n)
+                for k, some in of.items() for score, n, a, b in self._candidates(text, places, words, k, some)]
+        starts: list[int] = []  # of the kept spans, which don't overlap, in order
+        kept: list[tuple[int, int, int, int]] = []
+        for _, _, k, a, b, n in sorted(best):
+            i = bisect.bisect_left(starts, b)
+            if i == 0 or kept[i - 1][1] <= a:
+                starts.insert(i, a)
+                kept.insert(i, (a, b, k, n))
+        return [{"license": self.names[k], "matched": n, "coverage": n / len(self.words[k]), "start": places[a][0], "end": places[b - 1][1]}
+                for a, b, k, n in kept]
 
 
 def _templates(sent: dict) -> Templates:

@@ -342,6 +342,26 @@ def test_license_scan_knows_full_texts():
         assert found and found[0]["coverage"] > 0.95
 
 
+def test_license_scan_tells_licenses_apart():
+    index = license_scan.Templates(license_scan.TEMPLATES)
+
+    def names(text):
+        return [x["license"] for x in index.scan([text])[0]]
+
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        notice = f"Licensed under CC {kind} 4.0."
+        assert names(f"So. {notice} End") == [f"CC-{kind}-4.0 notice"]
+        assert names(f"{notice} {notice}\n{notice}") == [f"CC-{kind}-4.0 notice"] * 3
+    assert names("Released under the MIT License. " * 4) == ["MIT notice"] * 4
+    assert names("Released under the MIT License. Licensed under CC BY 4.0.") == ["MIT notice", "CC-BY-4.0 notice"]
+    assert names("Licensed under CC BY 3.0.") == names("licensed under the GNU General Public License, version 1.") == []
+    for name, text in license_scan.TEMPLATES.items():
+        if len(text) < 8000:
+            assert names("Intro: " + text) == [name]
+    for a, b in (("BSD-2-Clause", "BSD-3-Clause"), ("GPL-3.0 header", "GPL-2.0 header")):
+        assert names(license_scan.TEMPLATES[a] + "\n\n" + license_scan.TEMPLATES[b]) == [a, b]
+
+
 # --- 10 ------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
