@@ -21,9 +21,12 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts and texts without a letter."""
+    """Rejects documents without a language: null texts and texts without a letter,
+    whether or not any document has a label to learn from."""
     model = langid.train(docs.filter(~langid.held_out("doc_id")), "text", "lang", F.col("doc_id"))
-    return langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    # a model without labels knows no language: then the texts decide by themselves
+    known = F.col("lang_pred") != langid.UNKNOWN if model.labels else langid.has_letter("text")
+    return langid.predict(docs, model).filter(known).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,11 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     return without(done, "lang_pred", "score").select("*", "_lid.lang_pred", "_lid.score").drop("_lid")
 
 
+def has_letter(text: str = "text") -> Column:
+    """True where a text isn't null and has a letter, labels or not."""
+    return F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod 4 is 2; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2

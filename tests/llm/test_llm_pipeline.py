@@ -66,3 +66,11 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, empty, "/root/testdata/sf0.001")
         assert out.schema.simpleString() == empty.schema.simpleString(), name
         assert out.count() == 0
+
+
+def test_documents_without_any_label_are_kept(spark, tmp_path):
+    rows = [(1, "some words", None, "s", 10), (2, "Ελλάδα 漢", None, "s", 8), (3, None, None, "s", 0), (4, "12 !", None, "s", 4), (5, "", None, "s", 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, "quite another text of more than a few words to be found here")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == [1, 2]
