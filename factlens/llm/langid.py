@@ -7,8 +7,10 @@ of unit length.  Document frequencies and labels are counted over all
 training documents.  The weights are fitted by follow-the-regularised-leader
 (FTRL-proximal, per-coordinate rates, elastic net) on a sample of at most
 ``per_lang`` documents of each label, chosen by a hash of their key; a fifth
-of the sample is held back to calibrate one temperature.  The labels are
-bounded by ``max_labels`` (the most frequent ones, ties by name).
+of the sample is held back to calibrate one temperature.  Every label is
+learnt: with more than ``max_labels`` of them ``per_lang`` is lowered, so that
+the sample stays bounded; more than ``MOST_LABELS`` (the weights wouldn't fit)
+are an error.
 
 Results: text that is null or has no letter is ``und`` with score 0; without
 any training document every text is ``und``; with one label all texts get it
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ BUCKETS = 1 << 14
 MAX_GRAM = 3
 PER_LANG = 400
 MAX_LABELS = 200
+MOST_LABELS = 1000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
@@ -144,21 +146,27 @@ def _document_frequency(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: Column | None = None,
           per_lang: int = PER_LANG, max_labels: int = MAX_LABELS) -> LanguageModel:
-    """A model from the rows of ``docs`` whose text and label are not null."""
+    """A model from the rows of ``docs`` whose text and label are not null.
+    The sample has at most ``per_lang * max_labels`` rows."""
     key = F.xxhash64(text) if key is None else key
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"),
                        F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("at")) \
         .filter(F.col("text").isNotNull() & F.col("label").isNotNull())
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+    sizes = rows.groupBy("label").count().limit(MOST_LABELS + 1).collect()
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}: a model of them doesn't fit")
     labels = sorted(r["label"] for r in sizes)
+    number = {name: k for k, name in enumerate(labels)}
+    if len(labels) > max_labels:
+        per_lang = max(1, per_lang * max_labels // len(labels))
     if not labels:
         return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
     total, df = _document_frequency(rows.select("text"), "text")
     idf = np.log((1 + total) / (1 + df)) + 1
     # a share of each label by hash, somewhat more than wanted; then exactly the first by hash
-    wanted = reduce(lambda a, b: a | b, [
-        (F.col("label") == r["label"]) & (F.col("at") < int(min(1.0, 1.3 * (per_lang + 20) / r["count"]) * (1 << 40)))
-        for r in sizes])
+    shares = rows.sparkSession.createDataFrame(
+        [(r["label"], int(min(1.0, 1.3 * (per_lang + 20) / r["count"]) * (1 << 40))) for r in sizes], "label string, below long")
+    wanted = rows.join(F.broadcast(shares), "label").filter(F.col("at") < F.col("below"))  # MOST_LABELS rows at most
     schema = StructType([StructField("bucket", BinaryType()), StructField("count", BinaryType())])
 
     def pack(texts):
@@ -166,7 +174,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: Column
         at = [np.flatnonzero(c) for c in counts]
         return [[a.tobytes() for a in at], [c[a].tobytes() for a, c in zip(at, counts, strict=True)]]
 
-    sample = rows.filter(wanted).withColumn("f", struct_udf(schema, lambda: pack)(F.col("text"))) \
+    sample = wanted.withColumn("f", struct_udf(schema, lambda: pack)(F.col("text"))) \
         .select("label", "at", F.col("f.bucket").alias("bucket"), F.col("f.count").alias("count"))
     taken: dict[str, int] = {}
     fit, held = [], []
@@ -176,7 +184,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: Column
             continue
         counts = np.zeros(BUCKETS, np.int64)
         counts[np.frombuffer(r["bucket"], np.int64)] = np.frombuffer(r["count"], np.int64)
-        (held if k % 5 == 0 else fit).append((*tf_idf(counts, idf), labels.index(r["label"])))
+        (held if k % 5 == 0 else fit).append((*tf_idf(counts, idf), number[r["label"]]))
     weights = fit_ftrl(fit, len(labels))
     logits = np.array([x @ weights[at] for at, x, _ in held]).reshape(-1, len(labels))
     return LanguageModel(labels, idf, weights, fit_temperature(logits, np.array([y for *_, y in held], int)))
@@ -184,7 +192,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: Column
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the calibrated probability)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x max_labels numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MOST_LABELS numbers
     schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def make():

@@ -269,6 +269,18 @@ def test_language_model(spark):
     assert langid.predict(df.filter("doc_id = 1"), one).first()["score"] == 1.0
 
 
+def test_language_model_learns_every_label(spark, monkeypatch):
+    letters = "abcdefghijkl"
+    rows = [(k, "".join(letters[k % 6 * 2 + (k * j) % 2] for j in range(60)), f"l{k % 6}") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, per_lang=30, max_labels=3)
+    assert model.labels == [f"l{k}" for k in range(6)]
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(df, model).collect())
+    monkeypatch.setattr(langid, "MOST_LABELS", 5)
+    with pytest.raises(ValueError, match="more than 5 labels"):
+        langid.train(df)
+
+
 # --- 7 -------------------------------------------------------------------
 def test_line_dedup_against_all_runs(spark):
     rng = random.Random(4)
