@@ -4,12 +4,12 @@ Patterns (leftmost, not overlapping per kind; spans are whole matches):
 assignments of a value of 6 or more characters to a password, secret, token
 or key; access key ids of 20 or more; hexadecimal strings of 24 or more.
 
-Novelty: a candidate is a string of ``MIN_TOKEN`` or more token characters,
-with a digit, that starts at most ``REACH`` characters behind a sensitive
-word (of a token with such words in it, what follows the last one that leaves
-as many characters).  Its marginal size is what it adds to the compressed size of the text
+Novelty: tokens (strings of token characters) are cut at the sensitive words
+in them; a candidate is a part of any length that starts at most ``REACH`` characters behind a
+sensitive word or ends as near before one.  Its marginal size is what it adds to the compressed size of the text
 around it, under a zstandard dictionary made of the corpus's identifiers and
-of sensitive names; a candidate that adds ``NOVEL`` bytes or more a character is reported as kind ``novel``
+of sensitive names; a candidate that adds ``NOVEL`` bytes or more a character
+(of ``MIN_TOKEN`` characters, if it has fewer) is reported as kind ``novel``
 unless it overlaps a pattern's span.  The dictionary holds the ``n_names``
 identifiers (letters and underscores, 10 to 40 characters) that are most
 frequent over all documents, ties by name.
@@ -43,7 +43,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 TOKEN = re.compile("[A-Za-z0-9+/_.=-]+")
 NAME = re.compile("[A-Za-z_]{10,}")
-SENSITIVE_WORD = re.compile("|".join(SENSITIVE))
+SENSITIVE_WORD = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 MIN_TOKEN, REACH, AROUND, NOVEL, N_NAMES = 16, 48, 160, 0.6, 4096
 NAME_CHARS, COUNTED = 40, 200_000
 
@@ -76,20 +76,29 @@ class Novelty:
         return (self.size(before + text[start:end] + after) - self.size(before + after)) / (end - start)
 
     def spans(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        lower = text.lower() if len(text.lower()) == len(text) else text
-        behind = sorted({m.end() for m in SENSITIVE_WORD.finditer(lower)})
-        if not behind:
+        words = [m.span() for m in SENSITIVE_WORD.finditer(text)]
+        if not words:
             return []
-        out = []
+        starts, ends = [a for a, _ in words], [b for _, b in words]
+        taken: list[list[int]] = []  # the patterns' spans, united
+        for x, _, y in sorted(known):
+            if taken and x < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], y)
+            else:
+                taken.append([x, y])
+        firsts, out = [x for x, _ in taken], []
         for m in TOKEN.finditer(text):
-            a, b = m.span()
-            k = bisect.bisect_right(behind, b - MIN_TOKEN) - 1  # the nearest word that leaves room
-            if k < 0 or behind[k] + REACH < a:
-                continue
-            a = max(a, behind[k])
-            if b - a >= MIN_TOKEN and any(map(str.isdigit, text[a:b])) and not any(x < b and a < y for x, _, y in known) \
-                    and self.added(text, a, b) >= NOVEL:
-                out.append((a, 3, b))
+            lo, hi = m.span()
+            cuts = words[bisect.bisect_right(ends, lo):bisect.bisect_left(starts, hi)]
+            for a, b in zip([lo, *(y for _, y in cuts)], [*(x for x, _ in cuts), hi], strict=True):
+                if a >= b:
+                    continue
+                k, j = bisect.bisect_right(ends, a) - 1, bisect.bisect_left(starts, b)  # the nearest words
+                if (k < 0 or ends[k] + REACH < a) and (j == len(starts) or b + REACH < starts[j]):
+                    continue
+                i = bisect.bisect_left(firsts, b) - 1
+                if (i < 0 or taken[i][1] <= a) and self.added(text, a, b) * (b - a) >= NOVEL * max(b - a, MIN_TOKEN):
+                    out.append((a, 3, b))
         return out
 
 

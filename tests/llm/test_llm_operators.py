@@ -158,6 +158,21 @@ def test_secret_patterns_and_novelty(spark):
     assert secret_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_secret_candidates_on_both_sides_of_any_length_and_case():
+    novelty = secret_scan.Novelty(["configuration"])
+    keys = ["q9Zx8Lr2Vt7Bn4Kw1Pd6", "hGtRwQzXvBnMkLpYsDfJ", "Xk9!Wq"[:3] + "vRz7Tq2LmBn"]
+
+    def found(text):
+        return [text[a:b] for a, _, b in novelty.spans(text, [])]
+
+    for key in keys:
+        assert found(f"{key} is the password") == [key]
+        assert found(f"the Password is {key}") == found(f"\u0130 API_KEY {key}") == [key]
+    assert found(f"bearer.{keys[0]}.credential.{keys[1]}") == [f".{keys[0]}.", f".{keys[1]}"]
+    assert found(f"{keys[0]} " + "word " * 12 + "token") == []
+    assert found(f"{keys[0]} to\u212aen") == []
+
+
 # --- 4 -------------------------------------------------------------------
 def brute_components(prints, bound):
     root = list(range(len(prints)))
