@@ -1,8 +1,10 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
 A line is deleted if it lies in a run of consecutive lines of its document,
-of at least ``min_chars`` characters (each line counts one more for its end),
-that also occurs at an earlier place.  Places are ordered by (doc_id, line);
+of at least ``min_chars`` characters (each line counts one more for its end)
+or of at least ``min_words`` words, that also occurs at an earlier place.  A
+word is a Han, Hiragana or Katakana character, or a run of other characters
+between blanks and CJK punctuation.  Places are ordered by (doc_id, line);
 an occurrence may overlap its copy.
 
 Method: suffixes of the documents' line-id sequences are ranked by distributed
@@ -12,7 +14,8 @@ on to the next k.  The classes are the nested intervals of the suffix array in
 which neighbours share 2^k lines.  The interval for a common prefix of any m
 lines is named by the classes of the prefix's first and last 2^k lines
 (2^k <= m), which overlap.  For each suffix, m is the least number of lines
-that reaches ``min_chars``, likewise backwards from each line; every line of a
+that reaches ``min_chars`` (and the least that reaches ``min_words``, where
+words are so short that it can come first), likewise backwards from each line; every line of a
 maximal repeated run that is long enough lies in such a prefix, so overlapping
 ones unite to the maximal runs.  The array is kept by classes and not as one
 sorted list: no order between different lines is needed.
@@ -38,7 +41,9 @@ from pyspark.sql import functions as F
 
 from factlens.llm.common import without, written
 
-MIN_CHARS = 200
+MIN_CHARS, MIN_WORDS = 200, 50
+_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+_WORD = rf"[{_CJK}]|[^\s{_CJK}\u3000-\u303F\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F]+"
 _DOC = ["_id", "_h"]
 
 
@@ -63,24 +68,30 @@ def _twice(rows: DataFrame, *names: str) -> DataFrame:
     return rows.join(written(classes, "twice"), list(names), "left_semi")
 
 
-def _runs(lines: DataFrame, min_chars: int) -> DataFrame:
+def _runs(lines: DataFrame, min_chars: int, min_words: int) -> DataFrame:
     """(_id, _h, start, m): for each line the shortest run from it, and the
     shortest run up to it, with ``min_chars`` characters, within stretches of
-    repeated lines."""
+    repeated lines; likewise with ``min_words`` words, in stretches with a line
+    that reaches more of ``min_words`` than of ``min_chars`` (without one, no
+    run has the words before the characters)."""
     by_pos = Window.partitionBy(*_DOC).orderBy("pos")
-    stretch = lines.select(*_DOC, "pos", "size", (F.col("pos") - F.row_number().over(by_pos)).alias("g"))
+    stretch = lines.select(*_DOC, "pos", "size", "words", (F.col("pos") - F.row_number().over(by_pos)).alias("g"))
     part = Window.partitionBy(*_DOC, "g")
-    spans = stretch.withColumn("end", F.sum("size").over(part.orderBy("pos"))).withColumn("off", F.col("end") - F.col("size"))
+    wordy = F.max(F.col("words") * min_chars > F.col("size") * min_words).over(part)
+    stretch = written(stretch.withColumn("wordy", wordy), "stretches")
     out = []
-    # points before queries at equal values; the last point seen is the nearest
-    for point, query, order in (("end", F.col("off") + min_chars, F.desc), ("off", F.col("end") - min_chars, F.asc)):
-        both = spans.select(*_DOC, "g", F.col("pos"), F.inline(F.array(
-            F.struct(F.col(point).alias("v"), F.lit(0).alias("q")), F.struct(query.alias("v"), F.lit(1).alias("q")))))
-        near = F.last(F.when(F.col("q") == 0, F.col("pos")), ignorenulls=True).over(
-            part.orderBy(order("v"), "q").rowsBetween(Window.unboundedPreceding, 0))
-        found = both.withColumn("to", near).filter((F.col("q") == 1) & F.col("to").isNotNull())
-        out.append(found.select(*_DOC, F.least("pos", "to").alias("start"), (F.abs(F.col("to") - F.col("pos")) + 1).alias("m")))
-    return out[0].union(out[1]).distinct()
+    for rows, size, least in ((stretch, "size", min_chars), (stretch.filter("wordy"), "words", min_words)):
+        spans = rows.withColumn("end", F.sum(size).over(part.orderBy("pos"))).withColumn("off", F.col("end") - F.col(size))
+        # points before queries at equal values; the last point seen is the nearest
+        # (of lines without words, at one value, the one that makes the shorter run)
+        for point, query, order in (("end", F.col("off") + least, F.desc), ("off", F.col("end") - least, F.asc)):
+            both = spans.select(*_DOC, "g", F.col("pos"), F.inline(F.array(
+                F.struct(F.col(point).alias("v"), F.lit(0).alias("q")), F.struct(query.alias("v"), F.lit(1).alias("q")))))
+            near = F.last(F.when(F.col("q") == 0, F.col("pos")), ignorenulls=True).over(
+                part.orderBy(order("v"), "q", order("pos")).rowsBetween(Window.unboundedPreceding, 0))
+            found = both.withColumn("to", near).filter((F.col("q") == 1) & F.col("to").isNotNull())
+            out.append(found.select(*_DOC, F.least("pos", "to").alias("start"), (F.abs(F.col("to") - F.col("pos")) + 1).alias("m")))
+    return reduce(DataFrame.union, out).distinct()
 
 
 def _double(level: DataFrame, span: int) -> DataFrame:
@@ -91,15 +102,17 @@ def _double(level: DataFrame, span: int) -> DataFrame:
     return _twice(pairs.select(*_DOC, "pos", F.xxhash64("a", "a2").alias("a"), F.xxhash64("b", "b2").alias("b")), "a", "b")
 
 
-def copied_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def copied_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
+                 min_words: int = MIN_WORDS) -> DataFrame:
     """(_id, _h, pos): the lines (from 0) to delete."""
     line = F.col("line")
     lines = written(_keyed(docs.select(doc_id, text), doc_id, text).filter(F.col(text).isNotNull())
                     .select(*_DOC, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
                     .select(*_DOC, "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"),
-                            (F.length(line) + 1).alias("size")).distinct(), "lines")
+                            (F.length(line) + 1).alias("size"),
+                            F.regexp_count(line, F.lit(_WORD)).alias("words")).distinct(), "lines")
     lines = written(_twice(lines, "a", "b"), "repeated")
-    runs = written(_runs(lines, min_chars), "runs")
+    runs = written(_runs(lines, min_chars, min_words), "runs")
     longest = runs.agg(F.max("m")).first()[0] or 0
     level, levels, span = lines.select(*_DOC, "pos", "a", "b"), [], 1
     while span <= longest:
@@ -125,10 +138,11 @@ def copied_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     return copies.select(*_DOC, F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("pos")).distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS,
+                min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines deleted from ``text``, and ``n_lines`` (before)
     and ``n_removed``."""
-    gone = copied_lines(docs, doc_id, text, min_chars).groupBy(*_DOC).agg(F.collect_list("pos").alias("_gone"))
+    gone = copied_lines(docs, doc_id, text, min_chars, min_words).groupBy(*_DOC).agg(F.collect_list("pos").alias("_gone"))
     gone = gone.select(F.col("_id").alias("_gid"), F.col("_h").alias("_gh"), "_gone")
     rows = _keyed(without(docs, "n_lines", "n_removed"), doc_id, text)
     all_rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_h") == F.col("_gh")), "left")

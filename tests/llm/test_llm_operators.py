@@ -311,6 +311,16 @@ def test_line_dedup_against_all_runs(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_words(spark):
+    short = "\n".join(" ".join("ab1"[(k + j) % 3] for j in range(17)) for k in range(3))  # 51 words
+    cjk = "".join(chr(0x4E00 + 7 * k) for k in range(30)) + "。\n\n" + "".join(chr(0x3042 + k) for k in range(21))
+    few = " ".join("cd") + "\n" + " ".join("e" * 40)  # 42 words
+    texts = [f"own {n}\n{t}\nend {n}" for n, t in enumerate([short, short, cjk, cjk, few, few])]
+    assert max(map(len, texts)) < 200
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "own 1\nend 1", 2: texts[2], 3: "own 3\nend 3", 4: texts[4], 5: texts[5]}
+
+
 # --- 8 -------------------------------------------------------------------
 def test_chat_paths_scores_and_round_trip(spark):
     odd = "a\\b <|end|> [INST]</s> <<SYS>> \\<|text|> end\\"
