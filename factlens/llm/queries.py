@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.llm import (
-    bpe, chat, decontam, langid, license_scan, line_dedup, multiset, secret_scan, simhash, suffix_dedup)
+    bpe, chat, decontam, langid, license_scan, line_dedup, mixing, multiset, periodic, secret_scan, simhash, suffix_dedup,
+    trie)
 from factlens.llm.common import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -96,10 +97,49 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of each document whose id's crc32 is divisible by 10 and
+    that has words, the words from a on become a repeated piece of its text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, n = F.regexp_extract_all("text", F.lit(f"({periodic.WORD})"), F.lit(1)), F.size("_w")
+    cut = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, words).alias("_w"))
+    g = F.floor(F.col("_h") / 10)
+    a = F.when(n > 0, g % n).cast("int")
+    cut = cut.withColumn("_n", n).withColumn("_a", a).withColumn("_p", (F.lit(1) + F.floor((n - a) / (g % 8 + 3))).cast("int"))
+    tail = F.slice("_w", F.col("_a") + 1, F.col("_p"))
+    often = F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")
+    rebuilt = F.concat(F.slice("_w", F.lit(1), F.col("_a")),
+                       F.slice(F.flatten(F.array_repeat(tail, often)), F.lit(1), F.col("_n") - F.col("_a")))
+    return cut.select("doc_id", F.when(F.col("_n") > 0, F.array_join(rebuilt, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_period(documents(spark, sf_dir)))
+    best = F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.sign(b["length"] - a["length"]))
+                        .when(a["start"] != b["start"], F.sign(a["start"] - b["start"])).otherwise(F.sign(a["period"] - b["period"])).cast("int"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    first = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.get(best, F.lit(0)).alias("best"),
+                         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return first.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said, convs = trie.graft(trie.turns(rows))
+    return trie.prefix_trie(said, convs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_multiset_hash, op3_secret_scan, op4_simhash_dedup, op5_decontamination, op6_language_id,
-        op7_line_dedup, op8_chat_format, op9_license_scan, op10_byte_bpe)}
+        op7_line_dedup, op8_chat_format, op9_license_scan, op10_byte_bpe, op11_periodic_runs, op12_source_mix, op13_prefix_trie)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -199,6 +239,65 @@ FROM g
 """
 
 
+_BLANK_WORD = r"[^\x20\x09-\x0D]+"
+_N_WORDS = f"len(regexp_extract_all(coalesce(text, ''), '{_BLANK_WORD}'))::BIGINT"
+
+SQL["op12_source_mix"] = f"""
+WITH d AS (SELECT doc_id, source, {_N_WORDS} AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM s),
+w AS (SELECT *, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM r),
+closed AS (SELECT *, coalesce(sum(source_size) OVER o, 0)::DOUBLE AS words, coalesce(sum(weight) OVER o, 0) AS gone FROM w
+           WINDOW o AS (ORDER BY source_size / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT max((1.5::DOUBLE * (SELECT sum(size) FROM d)::DOUBLE - 2.0::DOUBLE * words) / ((SELECT sum(weight) FROM w) - gone)) AS l FROM closed),
+t AS (SELECT n, source, source_size, least(2.0::DOUBLE * source_size, weight * l) AS target FROM w, level),
+copy AS (SELECT d.doc_id, d.size, t.n, t.source_size, t.target, e.epoch,
+                ('0x' || substr(md5('{mixing.SEED}|' || e.epoch || '|' || d.doc_id), 1, 15))::BIGINT AS draw
+         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN (SELECT unnest([0, 1]) AS epoch) e
+         ON e.epoch = 0 OR t.target > t.source_size),
+served AS (SELECT *, sum(size) OVER (PARTITION BY n ORDER BY epoch, draw, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM copy),
+part AS (SELECT *, least(size, greatest(floor(target)::BIGINT - start, 0)) AS head FROM served),
+packet AS (SELECT doc_id, size, n, source_size, target, epoch, draw, start + head AS done, head AS words FROM part WHERE head > 0 OR size = 0
+           UNION ALL SELECT doc_id, size, n, source_size, target, epoch, draw, start + size, size - head FROM part WHERE head < size),
+placed AS (SELECT *, sum(words) OVER (ORDER BY CASE WHEN target > 0 THEN done / target ELSE 0 END, n, epoch, draw, doc_id ROWS UNBOUNDED PRECEDING) - words AS place FROM packet)
+SELECT doc_id, size, source_size, target,
+       sum(least(words, greatest(floor(1.5::DOUBLE * (SELECT sum(size) FROM d)) - place, 0)))::BIGINT AS taken
+FROM placed GROUP BY doc_id, size, source_size, target
+"""
+
+SQL["op13_prefix_trie"] = f"""
+WITH RECURSIVE raw AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT c, {_N_WORDS} AS w, length(role)::VARCHAR || ':' || role || text AS id,
+             row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(length(role)::VARCHAR || ':' || role || text)) AS d FROM raw),
+size AS (SELECT c, max(d) AS len FROM x GROUP BY 1),
+digit AS (SELECT c, len, c::VARCHAR AS s, 1 AS i, 4294967295::BIGINT AS crc FROM size UNION ALL
+          SELECT c, len, s, i + 1, {{step}} FROM digit WHERE i <= length(s)),
+hashed AS (SELECT c, len, xor(crc, 4294967295::BIGINT) % 4 AS h FROM digit WHERE i > length(s)),
+fit AS (SELECT a.c, a.h, a.c - (a.c % 20 + 20) % 20 AS base, least(a.h, coalesce(b.len, 0)) AS given
+        FROM hashed a LEFT JOIN size b ON b.c = a.c - (a.c % 20 + 20) % 20),
+told AS (SELECT f.c, x.d, x.w, x.id FROM fit f JOIN x ON x.c = f.base AND x.d <= f.given
+         UNION ALL SELECT f.c, x.d - f.h + f.given, x.w, x.id FROM fit f JOIN x ON x.c = f.c AND x.d > f.h),
+list AS (SELECT c, max(d) AS len, list(id ORDER BY d) AS ids, list(w ORDER BY d) AS ws FROM told GROUP BY 1),
+every AS (SELECT fit.c, coalesce(len, 0) AS len, coalesce(ids, []) AS ids, coalesce(ws, []) AS ws FROM fit LEFT JOIN list USING (c)),
+prefix AS (SELECT c, len, d, md5(list_slice(ids, 1, d)::VARCHAR) AS p, CASE WHEN d > 0 THEN md5(list_slice(ids, 1, d - 1)::VARCHAR) END AS up,
+                  coalesce(ws[d], 0) AS w FROM (SELECT *, unnest(generate_series(0, len)) AS d FROM every)),
+node AS (SELECT d, p, any_value(up) AS up, any_value(w) AS w, min(c) AS c, count(*) AS n,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '')) AS ends FROM prefix GROUP BY 1, 2),
+kid AS (SELECT d - 1 AS d, up AS p, count(*) AS kids FROM node WHERE d > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kid USING (d, p)),
+below AS (SELECT a.d, a.p, sum((y.n - 1) * y.w) AS saved, count(*) FILTER (y.kids = 0) AS leaves
+          FROM full_node y JOIN prefix a ON a.c = y.c AND a.d <= y.d GROUP BY 1, 2)
+SELECT f.c AS conv_id, f.d AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, b.leaves AS n_leaves,
+       b.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN below b USING (d, p) LEFT JOIN node u ON u.d = f.d - 1 AND u.p = f.up
+"""
+# one byte of crc32 (reflected polynomial, a fixed value), bit by bit
+_step = "xor(crc, ascii(substr(s, i, 1))::BIGINT)"
+for _ in range(8):
+    _step = f"(SELECT CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END FROM (SELECT {_step} AS v))"
+SQL["op13_prefix_trie"] = SQL["op13_prefix_trie"].replace("{step}", _step)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
