@@ -4,17 +4,31 @@ sim(i, j) = <s_i, s_j> / |s_j|^2 (the candidate's squared norm: not cosine,
 not symmetric).  Every subject keeps its top k (self included), ordered by
 similarity descending then id ascending.
 
-Exact top-k without emitting all pairs: ids are hashed into B blocks; the
-(query block, candidate block) cells are formed by a cogroup, and each cell
-multiplies two bounded matrices in numpy and returns only its k best per
-query row.  A final per-query window keeps k of the B*k survivors.  Shuffle
-volume is 2*B*N vectors; cell memory is bounded by ``block_rows``, and there
-are at least two cells a core at any size.
+Exact top-k without emitting all pairs: subjects are put into blocks of at
+most about ``block_rows``, and a cell of two blocks multiplies two bounded
+matrices in numpy.  <s_i, s_j> serves both subjects, so a cell finds the
+candidates of either block's rows in the other and B blocks make B (B + 1) / 2
+cells; a cell returns its k best for each row, and a window keeps k of them.
+
+Above ``prune_rows`` subjects the blocks are clusters: a subject goes to the
+pivot (a bounded hash sample of subjects) nearest by direction and norm, and a
+crowded pivot is split by hash.  A block knows the largest angle to its pivot
+and its norm interval, so a pair of blocks bounds all similarities in its cell
+(|s_i| cos(angle between the pivots less both radii) / |s_j|).  The first
+round forms the cells of the nearest blocks, as many as hold ``near`` * k
+subjects; the least k-th best of a block's rows so far is its threshold, and
+the second round forms those cells alone that can reach a threshold, where
+each row returns only what reaches its own k-th best.
+
+``extend_topk`` adds subjects to an index: only new x all cells are formed,
+and the old rows' k-th best are their thresholds.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,62 +37,264 @@ from pyspark.sql import functions as F
 
 from factlens.functions.hashing import h32
 from factlens.session import bounded_broadcast
+from factlens.store import persisted
 
 CHUNK_ROWS = 1024
 MAX_GROUPS = 1_000_000
+MAX_PIVOTS = 4096
+MAX_CELLS = 1_000_000
+PAIR_SCHEMA = "i long, j long, sim double"
+#: Relative room for the rounding of bounds and products.
+SLACK = 1e-9
+
+
+@dataclass
+class Search:
+    """``topk`` (i, j, rank, sim), and how many of the cells were formed."""
+
+    topk: DataFrame
+    cells: int
+    formed: int
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def _cell_topk(k: int):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"),
-                              "sim": pd.Series([], dtype="float64")})
-        if len(q) == 0 or len(c) == 0:
-            return empty
-        C = np.stack(c["vec"].to_numpy()).astype(np.float64)
-        cid = c["id"].to_numpy(dtype=np.int64)
-        nn = np.einsum("ij,ij->i", C, C)
-        inv = np.where(nn > 0, 1.0 / np.where(nn > 0, nn, 1.0), np.nan)
-        Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy(dtype=np.int64)
-        out = []
-        nc = len(cid)
-        for s in range(0, len(qid), CHUNK_ROWS):
-            S = (Q[s:s + CHUNK_ROWS] @ C.T) * inv[None, :]
-            S = np.where(np.isnan(S), -np.inf, S)
-            if nc > k:
-                kth = np.partition(S, nc - k, axis=1)[:, nc - k]
-                r, cc = np.nonzero(S >= kth[:, None])
-            else:
-                r, cc = np.nonzero(np.ones_like(S, dtype=bool))
-            sv = S[r, cc]
-            order = np.lexsort((cid[cc], -sv, r))
-            r, cc, sv = r[order], cc[order], sv[order]
-            pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-            keep = pos < k
-            out.append(pd.DataFrame({"i": qid[s:s + CHUNK_ROWS][r[keep]], "j": cid[cc[keep]], "sim": sv[keep]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+def _pairs(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[pd.DataFrame]:
+    """The k best candidates of each row of q in c that reach the row's ``floor``."""
+    C, Q = _matrix(c["vec"]), _matrix(q["vec"])
+    cid, qid = c["id"].to_numpy(dtype=np.int64), q["id"].to_numpy(dtype=np.int64)
+    nn = np.einsum("ij,ij->i", C, C)
+    inv = np.where(nn > 0, 1.0 / np.where(nn > 0, nn, 1.0), np.nan)
+    floor = q["floor"].to_numpy(dtype=np.float64)
+    floor = np.where(np.isnan(floor), -np.inf, floor - SLACK * np.abs(floor))
+    out = []
+    nc = len(cid)
+    for s in range(0, len(qid), CHUNK_ROWS):
+        S = (Q[s:s + CHUNK_ROWS] @ C.T) * inv[None, :]
+        S = np.where(np.isnan(S), -np.inf, S)
+        least = floor[s:s + CHUNK_ROWS]
+        if nc > k:
+            least = np.maximum(least, np.partition(S, nc - k, axis=1)[:, nc - k])
+        r, cc = np.nonzero(S >= least[:, None])
+        sv = S[r, cc]
+        order = np.lexsort((cid[cc], -sv, r))
+        r, cc, sv = r[order], cc[order], sv[order]
+        pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+        keep = pos < k
+        out.append(pd.DataFrame({"i": qid[s:s + CHUNK_ROWS][r[keep]], "j": cid[cc[keep]], "sim": sv[keep]}))
+    return out
+
+
+def _cell(k: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if rows["a"].iloc[0] == rows["b"].iloc[0]:
+            out = _pairs(one, one, k)
+        else:
+            out = _pairs(one, two, k) + _pairs(two, one, k) if len(one) and len(two) else []
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
+            {"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
     return run
 
 
-def projection_topk(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str = "vec",
-                    block_rows: int = 8192) -> DataFrame:
-    """``i, j, rank, sim`` for the top-k candidates j of every subject i."""
-    kind = vectors.schema[vec_col].dataType.simpleString()
-    vec = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")  # floats take half the shuffle
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
-    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
-    blocks = max(math.ceil(math.sqrt(tasks)), math.ceil(v.count() / block_rows))
-    v = v.withColumn("blk", F.pmod(h32(F.col("id")), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = v.select("id", "vec", F.col("blk").alias("qb"), every.alias("cb"))
-    c = v.select("id", "vec", F.col("blk").alias("cb"), every.alias("qb"))
-    cells = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
-        _cell_topk(k), "i long, j long, sim double")
+def _multiply(rows: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """``i, j, sim`` of the cells (a, b), a <= b: rows have block, id, vec, floor."""
+    sides = cells.select(F.col("a").alias("block"), "a", "b", F.lit(0).alias("side")).union(
+        cells.filter(F.col("a") < F.col("b")).select(F.col("b").alias("block"), "a", "b", F.lit(1).alias("side")))
+    dealt = rows.join(bounded_broadcast(sides, 2 * MAX_CELLS), "block").select("a", "b", "side", "id", "vec", "floor")
+    return dealt.groupBy("a", "b").applyInPandas(_cell(k), PAIR_SCHEMA)
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("i").orderBy(F.col("sim").desc(), F.col("j").asc())
-    return cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
                 .select("i", "j", F.col("rank").cast("bigint").alias("rank"), "sim")
 
 
+def _floors(topk: DataFrame, k: int) -> DataFrame:
+    """(id, floor): the k-th best similarity of each subject that has k."""
+    return topk.filter(F.col("rank") == k).select(F.col("i").alias("id"), F.col("sim").alias("floor"))
+
+
+def _vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    vec = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")  # floats take half the shuffle
+    return vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"))
+
+
+def _hash_blocks(v: DataFrame, blocks: int) -> DataFrame:
+    return v.withColumn("block", F.pmod(h32(F.col("id")), F.lit(blocks)).cast("int"))
+
+
+def _least_blocks(v: DataFrame) -> int:
+    """Blocks whose cells are at least two for each core."""
+    return math.ceil(math.sqrt(4 * v.sparkSession.sparkContext.defaultParallelism))
+
+
+def _all_cells(v: DataFrame, blocks: int) -> DataFrame:
+    every = F.sequence(F.col("a"), F.lit(blocks - 1))
+    return v.sparkSession.range(blocks).select(F.col("id").cast("int").alias("a")).select("a", F.explode(every).alias("b"))
+
+
+class _Clusters:
+    """Blocks around pivots, and the bounds of their cells."""
+
+    def __init__(self, v: DataFrame, n: int, block_rows: int):
+        spark = v.sparkSession
+        wanted = min(MAX_PIVOTS, max(_least_blocks(v), math.ceil(n / block_rows)))
+        sample = v.select("id", "vec").orderBy(h32(F.col("id")), "id").limit(wanted).collect()
+        dense = np.array([r["vec"] for r in sample], np.float64)
+        norms = np.linalg.norm(dense, axis=1)
+        self.unit, self.log = dense[norms > 0] / norms[norms > 0, None], np.log(norms[norms > 0])
+        sent = spark.sparkContext.broadcast((self.unit, self.log))
+
+        def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            unit, log = sent.value
+            for vecs in batches:
+                V = _matrix(vecs)
+                norm = np.linalg.norm(V, axis=1)
+                known = norm > 0
+                pivot, angle = np.full(len(V), len(unit)), np.full(len(V), np.pi)  # null vectors: a block without a bound
+                if len(unit) and known.any():
+                    cos = (V[known] / norm[known, None]) @ unit.T
+                    at = np.argmax(cos - (np.log(norm[known])[:, None] - log[None, :]) ** 2 / 2, axis=1)
+                    pivot[known] = at
+                    angle[known] = np.arccos(np.clip(cos[np.arange(len(at)), at], -1, 1))
+                yield pd.DataFrame({"pivot": pivot, "angle": angle, "norm": norm})
+
+        udf = F.pandas_udf(nearest, "pivot int, angle double, norm double", F.PandasUDFType.SCALAR_ITER)
+        near = persisted(v.withColumn("_p", udf("vec")).select("id", "vec", "_p.*"), "pivots")
+        parts = np.ones(len(self.unit) + 1, int)
+        for r in near.groupBy("pivot").count().collect():
+            parts[r["pivot"]] = math.ceil(r["count"] / block_rows)
+        first = np.concatenate([[0], np.cumsum(parts)])
+        # two literal arrays of at most MAX_PIVOTS + 1 numbers
+        at = F.element_at(F.lit(first[:-1].tolist()), F.col("pivot") + 1)
+        split = F.element_at(F.lit(parts.tolist()), F.col("pivot") + 1)
+        rows = near.withColumn("block", (at + F.pmod(h32(F.concat(F.lit("part"), F.col("id").cast("string"))), split)).cast("int"))
+        self.rows = rows.select("id", "vec", "block", "angle", "norm")
+        self.pivot = np.repeat(np.arange(len(parts)), parts)
+        self.blocks = len(self.pivot)
+        self.size, self.angle = np.zeros(self.blocks), np.zeros(self.blocks)
+        self.low, self.high = np.zeros(self.blocks), np.zeros(self.blocks)
+        # a few numbers for each block, of which there is one in block_rows subjects
+        for r in self.rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("x"), F.min("norm").alias("l"),
+                                                F.max("norm").alias("h")).collect():
+            self.size[r["block"]], self.angle[r["block"]], self.low[r["block"]], self.high[r["block"]] = r["n"], r["x"], r["l"], r["h"]
+
+    def bounds(self, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bounds of sim(a's rows, b's rows) and sim(b's, a's) for all blocks b."""
+        unit = np.vstack([self.unit, np.zeros((1, self.unit.shape[1]))]) if len(self.unit) else np.zeros((1, 1))
+        cos = unit[self.pivot] @ unit[self.pivot[a]]
+        gap = np.maximum(0.0, np.arccos(np.clip(cos, -1, 1)) - self.angle - self.angle[a])
+        c = np.where((self.pivot == self.pivot[a]) | (gap <= 0), 1.0, np.cos(gap))
+
+        def bound(q_low, q_high, c_low, c_high):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(c > 0, q_high * c / c_low, q_low * c / c_high)
+            return np.where((c_low > 0) & (q_low > 0), up + SLACK * np.abs(up), np.inf)
+
+        to = bound(self.low[a], self.high[a], self.low, self.high)
+        fro = bound(self.low, self.high, self.low[a], self.high[a])
+        full = self.size > 0
+        return np.where(full, to, -np.inf), np.where(full, fro, -np.inf)
+
+    def cells(self, choose) -> DataFrame:
+        """Cells (a, b), a <= b, of the blocks ``choose(self, a)`` for each block a."""
+        spark = self.rows.sparkSession
+        sent = spark.sparkContext.broadcast(_Bounds(self))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = sent.value
+            for batch in batches:
+                for a in batch["id"].tolist():
+                    b = choose(known, a) if known.size[a] else np.empty(0, int)
+                    yield pd.DataFrame({"a": np.minimum(a, b).astype("int32"), "b": np.maximum(a, b).astype("int32")})
+
+        tasks = min(self.blocks, 4 * spark.sparkContext.defaultParallelism)
+        return spark.range(0, self.blocks, 1, tasks).mapInPandas(run, "a int, b int").distinct()
+
+
+class _Bounds:
+    """What tasks need of ``_Clusters``."""
+
+    bounds = _Clusters.bounds
+
+    def __init__(self, known: _Clusters):
+        for name in ("unit", "pivot", "size", "angle", "low", "high"):
+            setattr(self, name, getattr(known, name))
+
+
+def _nearest_blocks(wanted: float):
+    def choose(known, a: int) -> np.ndarray:
+        to, _ = known.bounds(a)
+        order = np.lexsort((np.arange(len(to)) != a, -to))
+        order = np.concatenate([[a], order[order != a]])
+        order = order[known.size[order] > 0]
+        return order[:1 + int(np.searchsorted(np.cumsum(known.size[order]), wanted))]
+    return choose
+
+
+def _blocks_within(threshold: np.ndarray):
+    def choose(known, a: int) -> np.ndarray:
+        to, fro = known.bounds(a)
+        b = np.flatnonzero((known.size > 0) & ((to >= threshold[a]) | (fro >= threshold)))
+        return b[b >= a]
+    return choose
+
+
+def search(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str = "vec", block_rows: int = 8192,
+           prune_rows: int = 32_768, near: float = 4.0) -> Search:
+    """Top-k candidates j of every subject i, and the share of cells formed."""
+    v = _vectors(vectors, id_col, vec_col)
+    n = v.count()
+    if n <= prune_rows:
+        blocks = max(_least_blocks(v), math.ceil(n / block_rows))
+        rows = _hash_blocks(v, blocks).withColumn("floor", F.lit(None).cast("double"))
+        cells = blocks * (blocks + 1) // 2
+        return Search(_best(_multiply(rows, _all_cells(v, blocks), k), k), cells, cells)
+    known = _Clusters(v, n, block_rows)
+    rows = known.rows.select("id", "vec", "block")
+    first = persisted(known.cells(_nearest_blocks(near * k)), "cells")
+    best = persisted(_best(_multiply(rows.withColumn("floor", F.lit(None).cast("double")), first, k), k), "nearest")
+    floored = persisted(rows.join(_floors(best, k), "id", "left"), "floors")
+    threshold = np.full(known.blocks, -np.inf)
+    for r in floored.groupBy("block").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("t")).collect():
+        threshold[r["block"]] = r["t"] - SLACK * abs(r["t"]) if math.isfinite(r["t"]) else r["t"]
+    rest = persisted(known.cells(_blocks_within(threshold)).join(first, ["a", "b"], "left_anti"), "cells")
+    full = int((known.size > 0).sum())
+    formed = first.count() + rest.count()
+    both = best.select("i", "j", "sim").unionByName(_multiply(floored, rest, k))
+    return Search(_best(both, k), full * (full + 1) // 2, formed)
+
+
+def projection_topk(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str = "vec",
+                    block_rows: int = 8192, **options) -> DataFrame:
+    """``i, j, rank, sim`` for the top-k candidates j of every subject i."""
+    return search(vectors, k, id_col, vec_col, block_rows, **options).topk
+
+
+def extend_topk(topk: DataFrame, old: DataFrame, new: DataFrame, k: int = 301, id_col: str = "id", vec_col: str = "vec",
+                block_rows: int = 8192) -> DataFrame:
+    """The index ``topk`` of the subjects ``old``, extended by the subjects
+    ``new`` whose ids it lacks: equal to ``projection_topk`` of all of them, by
+    new x old and new x new products alone."""
+    o = _vectors(old, id_col, vec_col)
+    v = _vectors(new, id_col, vec_col).join(o.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    v = persisted(v, "new")
+    n_old, n_new = o.count(), v.count()
+    few = max(1, math.ceil(n_new / block_rows))
+    many = max(math.ceil(2 * o.sparkSession.sparkContext.defaultParallelism / few), math.ceil(n_old / block_rows))
+    rows = _hash_blocks(o, many).join(_floors(topk, k), "id", "left").unionByName(
+        _hash_blocks(v, few).withColumn("block", F.col("block") + many).withColumn("floor", F.lit(None).cast("double")))
+    fresh = o.sparkSession.range(many, many + few).select(F.col("id").cast("int").alias("b"))
+    cells = fresh.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("a"), "b")
+    pairs = topk.select("i", "j", "sim").unionByName(_multiply(rows, cells, k))
+    return _best(pairs, k)
+
+
 UNRANKED, SELF = 400, 1000
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factlens.functions.hashing import h32
 from factlens.operators import neighbours as nb
 from factlens.operators import priming as pr
 from factlens.plans.common import rounded
@@ -63,6 +64,17 @@ def neighbour_topk(spark, d):
     return rounded(nb.projection_topk(_vectors(spark, d), k=TOPK), ["sim"])
 
 
+@register("neighbour_update", ORACLE["neighbour_topk"])
+def neighbour_update(spark, d):
+    """The index of 99 % of the subjects, extended by the others (the
+    reference recomputes its cache when a subject is missing)."""
+    v = _vectors(spark, d)
+    late = F.pmod(h32(F.col("id")), F.lit(100)) == 0
+    old = v.filter(~late)
+    index = stored(spark, f"neighbours-old-top{TOPK}", [table_path(d, "embeddings")], lambda: nb.projection_topk(old, k=TOPK))
+    return rounded(nb.extend_topk(index, old, v.filter(late), k=TOPK), ["sim"])
+
+
 @register("close_pool", f"WITH {TOPK_CTE},\n{CLOSE_CTE}\nSELECT rel, subj, cand, CAST(pos AS BIGINT) AS pos FROM close")
 def close_pool(spark, d):
     return nb.close_subjects(_topk(spark, d), _members(spark, d), n=POOL, k=TOPK)
