@@ -105,13 +105,15 @@ def run_predictions(examples: DataFrame, candidates: DataFrame, vocab: DataFrame
     cands = explode_runs(sc.allowed_logits(candidates, vocab), configs, extra)
     for name, col in (candidate_cols or {}).items():
         cands = cands.withColumn(name, col)
-    cands = bounded_broadcast(cands, MAX_CANDIDATES)
+    small = bounded_broadcast(cands, MAX_CANDIDATES)
     e = spread(examples.select(*dict.fromkeys([key, "uuid"]), "rel"), len(configs), key)
     for name, col in (example_cols or {}).items():
         e = e.withColumn(name, col)
-    logits = e.join(cands, "rel").select("run_id", key, "token", logit_fn().alias("logit"))
-    top = sc.masked_topk(logits, None, k, keys=("run_id", key))
-    return sc.prediction_arrays(top, keys=("run_id", key), k=k)
+    logits = e.join(small, "rel").select("run_id", key, "token", logit_fn().alias("logit"))
+    keys = ("run_id", key)
+    # with the candidates broadcast, an example's rows follow one another in one task
+    top = sc.topk_arrays(logits, None, k, keys) if small is cands else sc.placed_topk_arrays(logits, key, k, keys)
+    return top.select(*keys, "preds", F.transform("preds", F.lower).alias("preds_l"), "probs")
 
 
 def run_metrics(preds: DataFrame, examples: DataFrame, targets: F.Column, configs: list[tuple],

@@ -11,13 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.session import bounded_broadcast
 
 MAX_VOCAB = 5_000_000
+CHUNK_ROWS = 1 << 18
 
 
 def allowed_logits(logits: DataFrame, vocab: DataFrame | None) -> DataFrame:
@@ -27,24 +31,149 @@ def allowed_logits(logits: DataFrame, vocab: DataFrame | None) -> DataFrame:
     return logits.join(v, "token", "left_semi")
 
 
+def _groups(table: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of each row by ``keys``, and a row of each group."""
+    code = np.zeros(len(table), np.int64)
+    for key in keys:
+        column = table.column(key).combine_chunks().dictionary_encode("encode")
+        code = code * (len(column.dictionary) + 1) + column.indices.to_numpy(zero_copy_only=False)
+        _, code = np.unique(code, return_inverse=True)
+    _, first = np.unique(code, return_index=True)
+    return code, first
+
+
+class _Ranked:
+    """A chunk of logits by key: rows in rank order, and the softmax parts.
+
+    A row without a token stands for candidates that were left out: its logit
+    is the logarithm of their summed exponentials."""
+
+    def __init__(self, table: pa.Table, keys: tuple[str, ...], k: int):
+        self.table, self.keys = table, keys
+        gid, self.first = _groups(table, keys)
+        n = len(self.first)
+        token = table.column("token").combine_chunks().dictionary_encode("encode")
+        names = token.dictionary
+        by_bytes = pc.array_sort_indices(names, null_placement="at_end").to_numpy()
+        place = np.empty(len(names), np.int64)
+        place[by_bytes] = np.arange(len(names))
+        place = place[token.indices.to_numpy(zero_copy_only=False)]
+        rest = pc.is_null(table.column("token")).to_numpy(zero_copy_only=False)
+        logit = table.column("logit").to_numpy()
+        self.top = np.full(n, -np.inf)
+        np.maximum.at(self.top, gid, logit)
+        with np.errstate(invalid="ignore"):
+            mass = np.exp(logit - self.top[gid])
+        self.z = np.bincount(gid, mass, n)
+        order = np.lexsort((place, -logit, rest, gid))
+        starts = np.searchsorted(gid[order], np.arange(n))
+        pos = np.arange(len(order)) - starts[gid[order]]
+        kept = order[(pos < k) & ~rest[order]]
+        self.rows, self.gid, self.logit = kept, gid[kept], logit[kept]
+        self.kept_z = np.bincount(self.gid, mass[kept], n)
+
+    def combined(self) -> pa.Table:
+        """The k best rows of each key and one row for the others."""
+        left = self.z - self.kept_z
+        some = np.flatnonzero(left > 1e-18 * self.z)
+        with np.errstate(divide="ignore"):
+            rest = self.top[some] + np.log(left[some])
+        at = np.concatenate([self.rows, self.first[some]])
+        tokens = self.table.column("token").take(self.rows).combine_chunks()
+        columns = [self.table.column(key).take(at) for key in self.keys]
+        return pa.table([*columns, pa.concat_arrays([tokens, pa.nulls(len(some), tokens.type)]), np.concatenate([self.logit, rest])],
+                        [*self.keys, "token", "logit"])
+
+    def arrays(self) -> pa.Table:
+        """One row a key with the tokens and probabilities in rank order."""
+        ends = pa.array(np.searchsorted(self.gid, np.arange(len(self.first) + 1)), pa.int32())
+        tokens = self.table.column("token").take(self.rows).combine_chunks()
+        probs = np.exp(self.logit - self.top[self.gid]) / self.z[self.gid]
+        out = self.table.select(self.keys).take(self.first)
+        out = out.append_column("preds", pa.ListArray.from_arrays(ends, tokens))
+        return out.append_column("probs", pa.ListArray.from_arrays(ends, pa.array(probs)))
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches in chunks of bounded size."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _fields(rows: DataFrame, keys: tuple[str, ...]) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def combine_logits(logits: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """``keys..., token, logit`` with at most k + 1 rows for each key and chunk
+    of a task: its k best candidates, and a row without a token whose logit is
+    the logarithm of the others' summed exponentials.  Combining again, or all
+    of several parts at once, gives the same ranking and softmax."""
+    rows = logits.select(*keys, "token", F.col("logit").cast("double").alias("logit")).filter(F.col("token").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches):
+            yield from _Ranked(table, keys, k).combined().to_batches()
+
+    return rows.mapInArrow(run, f"{_fields(rows, keys)}, token string, logit double")
+
+
+def topk_arrays(logits: DataFrame, vocab: DataFrame | None, k: int = 20, keys: tuple[str, ...] = ("uuid",)) -> DataFrame:
+    """``keys..., preds, probs``: tokens and probabilities in rank order, by one
+    pass: candidates are combined in the tasks that make them, and a key's
+    few rows are put together behind the shuffle."""
+    parts = combine_logits(allowed_logits(logits, vocab), k, keys)
+    both = parts.groupBy(*keys).agg(F.max("logit").alias("_m"), F.collect_list(F.struct(
+        F.col("token").isNull().alias("rest"), (-F.col("logit")).alias("down"), "token")).alias("_l"))
+    z = F.aggregate("_l", F.lit(0.0), lambda s, x: s + F.exp(-x["down"] - F.col("_m")))
+    both = both.select(*keys, "_m", z.alias("_z"), F.filter(F.slice(F.array_sort("_l"), 1, k), lambda x: ~x["rest"]).alias("_t"))
+    return both.select(*keys, F.col("_t.token").alias("preds"),
+                       F.transform("_t", lambda x: F.exp(-x["down"] - F.col("_m")) / F.col("_z")).alias("probs"),
+                       F.transform("_t", lambda x: -x["down"]).alias("logits"))
+
+
 def masked_topk(logits: DataFrame, vocab: DataFrame | None, k: int = 20,
                 keys: tuple[str, ...] = ("uuid",)) -> DataFrame:
     """Long form top-k: ``keys..., rank, token, logit, prob``.
 
     prob = softmax over the allowed tokens of the key; ranks are 1-based,
-    by logit descending then token ascending.  The windows are partitioned
-    by the example key, so a group is one example's candidate list; the
-    softmax needs all of it, so the ``rank <= k`` filter comes after the sort.
-    """
-    a = allowed_logits(logits, vocab)
-    # one ordering for all three window functions: a single sort per partition
-    w = Window.partitionBy(*keys).orderBy(F.col("logit").desc(), F.col("token").asc())
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    a = a.withColumn("_m", F.max("logit").over(whole))
-    a = a.withColumn("_z", F.sum(F.exp(F.col("logit") - F.col("_m"))).over(whole))
-    a = a.withColumn("rank", F.row_number().over(w))
-    ranked = a.filter(F.col("rank") <= k).withColumn("prob", F.exp(F.col("logit") - F.col("_m")) / F.col("_z"))
-    return ranked.select(*keys, "rank", "token", "logit", "prob")
+    by logit descending then token ascending.  No candidate list is sorted or
+    shuffled whole, see ``combine_logits``."""
+    a = topk_arrays(logits, vocab, k, keys)
+    rows = a.select(*keys, F.posexplode(F.arrays_zip(F.col("preds").alias("token"), F.col("logits").alias("logit"), F.col("probs").alias("prob"))).alias("_i", "_r"))
+    return rows.select(*keys, (F.col("_i") + 1).alias("rank"), "_r.token", "_r.logit", "_r.prob")
+
+
+def placed_topk_arrays(logits: DataFrame, together: str, k: int = 20, keys: tuple[str, ...] = ("uuid",)) -> DataFrame:
+    """``topk_arrays`` where all rows of one value of ``together`` (one of
+    ``keys``, without nulls) follow one another in one task, as behind a join
+    that streams one row for each value: nothing is shuffled.  A value's rows
+    beyond a chunk are combined while they come."""
+    rows = logits.select(*keys, "token", F.col("logit").cast("double").alias("logit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for table in _tables(batches):
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            value = table.column(together).combine_chunks()
+            changes = np.flatnonzero(pc.not_equal(value[1:], value[:-1]).to_numpy(zero_copy_only=False))
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if cut:
+                yield from _Ranked(table.slice(0, cut).combine_chunks(), keys, k).arrays().to_batches()
+            held = table.slice(cut).combine_chunks()
+            if len(held) >= CHUNK_ROWS:
+                held = _Ranked(held, keys, k).combined()
+        if held is not None:
+            yield from _Ranked(held, keys, k).arrays().to_batches()
+
+    return rows.mapInArrow(run, f"{_fields(rows, keys)}, preds array<string>, probs array<double>")
 
 
 def prediction_arrays(topk: DataFrame, keys: tuple[str, ...] = ("uuid",), k: int = 20) -> DataFrame:
