@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from factlens.llm.common import Shared, struct_udf, without
 
@@ -284,11 +284,11 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text")
 
 
 def id_array(ids: Column) -> Column:
-    """Packed ids as array<bigint>."""
-    digits = F.hex(ids)
-
-    def word(i):
-        return F.conv(F.concat(*[F.substr(digits, i * 8 + at, F.lit(2)) for at in (7, 5, 3, 1)]), 16, 10).cast("bigint")
-
-    return F.when(F.length(ids) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.length(ids) / 4).cast("int") - 1), word)
-                  ).otherwise(F.array().cast("array<bigint>"))
+    """Packed ids as array<bigint> (null: empty)."""
+    def unpack(batch: pa.Array) -> pa.Array:
+        packed = batch.fill_null(b"").to_pylist()
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+        flat = np.frombuffer(b"".join(x[:len(x) & -4] for x in packed), "<u4").astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+    return F.arrow_udf(unpack, ArrayType(LongType()), F.ArrowUDFType.SCALAR)(ids)
