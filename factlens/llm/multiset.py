@@ -25,6 +25,8 @@ clauses has likeness 0 to any other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,39 @@ def vectors(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
         F.sum("n").alias("n"))
 
 
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``vectors`` in half the space: the 32-bit words two to a number, the
+    counts' lower 16 bits four to a number, and ``over``, the counts' upper 16
+    bits (two numbers for each of those, lanes 0 and 2, then 1 and 3), null
+    where all are 0."""
+    pairs = [F.shiftleft(F.col(f"e{2 * k}"), 32).bitwiseOR(F.col(f"e{2 * k + 1}")).alias(f"p{k}") for k in range(EQUAL_LANES // 2)]
+    at = [32 * (k // 16) + k % 16 for k in range(WORDS)]
+    high = [F.shiftrightunsigned(f"w{j}", 16).bitwiseAND(F.lit(_LOW)) for j in range(SUMS)]
+    over = F.array(*[h for k in at for h in (high[k], high[k + 16])])
+    some = reduce(lambda a, b: a.bitwiseOR(b), high) != 0
+    low = [F.col(f"w{k}").bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft(F.col(f"w{k + 16}").bitwiseAND(F.lit(_LOW)), 16)).alias(f"c{j}")
+           for j, k in enumerate(at)]
+    return rows.select(*keys, *pairs, *low, "n", F.when(some, over).alias("over"))
+
+
+def packed_digest(lanes: str) -> Column:
+    """``digest`` of a struct of ``packed`` lanes; signs in the packed order."""
+    v = F.col(lanes)
+    digits = F.lower(F.concat(*[F.lpad(F.hex(v[f"p{k}"]), 16, "0") for k in range(EQUAL_LANES // 2)],
+                              *[F.lpad(F.hex(v[f"c{k}"]), 16, "0") for k in range(WORDS)], F.lpad(F.hex(v["n"]), 8, "0")))
+    over = F.coalesce(v["over"], F.array_repeat(F.lit(0).cast("bigint"), SUMS))
+    # (word of counts, upper bits of its lanes 0 and 2, of its lanes 1 and 3)
+    words = F.array(*[F.struct(v[f"c{k}"].alias("c"), F.get(over, F.lit(2 * k)).alias("a"), F.get(over, F.lit(2 * k + 1)).alias("b"))
+                      for k in range(WORDS)])
+
+    def count(w, k):
+        high = F.shiftrightunsigned(w["a"] if k % 2 == 0 else w["b"], 32 * (k // 2)).bitwiseAND(F.lit(0xFFFF))
+        return F.shiftrightunsigned(w["c"], 16 * k).bitwiseAND(F.lit(0xFFFF)) + F.shiftleft(high, 16)
+
+    counts = F.flatten(F.transform(words, lambda w: F.array(*[count(w, k) for k in range(4)])))
+    return F.struct(digits.alias("fingerprint"), F.transform(counts, lambda c: c * 2 - v["n"]).alias("signs"))
+
+
 def fingerprint(v: Column) -> Column:
     """The lanes (fields of ``v``) as hexadecimal digits."""
     def word(k: int) -> Column:  # four counts modulo 2^16
@@ -140,8 +175,8 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = both.select("k", "rn", "next", F.length("text").cast("bigint").alias("n_chars"),
                         F.sha2("edited", 256).alias("edited_sha256"), "text", "edited") \
         .select("k", "rn", "next", "n_chars", "edited_sha256", kinds)
-    found = written(vectors(texts, keys, "text"), "vectors")
-    lanes = F.struct(*_VECTOR).alias("v")
+    found = written(packed(vectors(texts, keys, "text"), keys), "vectors")
+    lanes = F.struct(*[c for c in found.columns if c not in keys]).alias("v")
     own = found.filter(~F.col("is_edited")).select("k", "rn", "next", "n_chars", "edited_sha256", lanes)
     edited = found.filter("is_edited").select(F.col("k").alias("_k"), F.col("rn").alias("_rn"), lanes)
     after = own.filter(F.col("rn") == 1).select(F.col("k").alias("_next"), "v")
@@ -149,4 +184,4 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .join(edited.withColumnRenamed("v", "edited_digest"), (F.col("k") == F.col("_k")) & (F.col("rn") == F.col("_rn"))) \
         .join(after.withColumnRenamed("v", "next_digest"), F.col("next") == F.col("_next"))
     return all_three.select(F.col("k.id").alias("doc_id"), "n_chars", "edited_sha256",
-                            *[digest(c).alias(c) for c in ("own", "edited_digest", "next_digest")])
+                            *[packed_digest(c).alias(c) for c in ("own", "edited_digest", "next_digest")])
