@@ -44,6 +44,8 @@ from factlens.llm.common import without, written
 MIN_CHARS, MIN_WORDS = 200, 50
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _WORD = rf"[{_CJK}]|[^\s{_CJK}\u3000-\u303F\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F]+"
+# for lines without a character from U+2E80 on, where the first of these scripts begins
+_LOW_WORD, _HIGH = r"[^\s\u2E80-\x{10FFFF}]+", r"[\u2E80-\x{10FFFF}]"
 _DOC = ["_id", "_h"]
 
 
@@ -51,6 +53,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn("_id", F.col(doc_id).cast("decimal(20,0)")).withColumn("_h", F.xxhash64(text))
 
 
+def _words(line: Column) -> Column:
+    """Number of words of a line; the scripts are looked up only where a line
+    has characters that can be of one."""
+    return F.when(line.rlike(_HIGH), F.regexp_count(line, F.lit(_WORD))).otherwise(F.regexp_count(line, F.lit(_LOW_WORD)))
+
+
 def _at(doc: Column, pos: Column) -> Column:
     """One number that orders places by document and line (a null id first)."""
     first = F.coalesce(doc, F.lit("-9223372036854775809").cast("decimal(20,0)"))
@@ -110,7 +118,7 @@ def copied_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                     .select(*_DOC, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
                     .select(*_DOC, "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"),
                             (F.length(line) + 1).alias("size"),
-                            F.regexp_count(line, F.lit(_WORD)).alias("words")).distinct(), "lines")
+                            _words(line).alias("words")).distinct(), "lines")
     lines = written(_twice(lines, "a", "b"), "repeated")
     runs = written(_runs(lines, min_chars, min_words), "runs")
     longest = runs.agg(F.max("m")).first()[0] or 0

@@ -166,15 +166,26 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(it
 FROM doc d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
+_LINE_WORD = rf"[{_CJK}]|[^ \t-\r{_CJK}\x{{3000}}-\x{{303F}}\x{{FF01}}\x{{FF0C}}\x{{FF0E}}\x{{FF1A}}\x{{FF1B}}\x{{FF1F}}]+"
+
+
+def _shortest(kind: str, end: str, size: str, least: int) -> str:
+    """The shortest runs from each line and up to each line that reach ``least``."""
+    reach = f"b.pos >= a.pos AND b.{end} >= a.{end} - a.{size} + {least}"
+    return f"""forward_{kind} AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS t FROM line a JOIN line b ON a.doc_id = b.doc_id AND {reach} GROUP BY 1, 2),
+backward_{kind} AS (SELECT b.doc_id, max(a.pos) AS s, b.pos AS t FROM line a JOIN line b ON a.doc_id = b.doc_id AND {reach} GROUP BY 1, 3)"""
+
+
 SQL["op7_line_dedup"] = f"""
-WITH line AS (SELECT doc_id, pos, l, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS e, length(l) + 1 AS size
-     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
-           FROM documents WHERE text IS NOT NULL)),
-forward AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS t FROM line a JOIN line b
-            ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.e >= a.e - a.size + {line_dedup.MIN_CHARS} GROUP BY 1, 2),
-backward AS (SELECT b.doc_id, max(a.pos) AS s, b.pos AS t FROM line a JOIN line b
-             ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.e >= a.e - a.size + {line_dedup.MIN_CHARS} GROUP BY 1, 3),
-run AS (SELECT * FROM forward UNION SELECT * FROM backward),
+WITH line AS (SELECT doc_id, pos, l, size, words, sum(size) OVER (PARTITION BY doc_id ORDER BY pos) AS e,
+                     sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS we
+     FROM (SELECT *, length(l) + 1 AS size, len(regexp_extract_all(l, '{_LINE_WORD}')) AS words FROM
+           (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+            FROM documents WHERE text IS NOT NULL))),
+{_shortest("chars", "e", "size", line_dedup.MIN_CHARS)},
+{_shortest("words", "we", "words", line_dedup.MIN_WORDS)},
+run AS (SELECT * FROM forward_chars UNION SELECT * FROM backward_chars UNION SELECT * FROM forward_words UNION SELECT * FROM backward_words),
 body AS (SELECT r.doc_id, r.s, r.t, string_agg(l.l, chr(10) ORDER BY l.pos) AS body
          FROM run r JOIN line l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.s AND r.t GROUP BY 1, 2, 3),
 first AS (SELECT body, t - s AS m, min((doc_id, s)) AS f FROM body GROUP BY 1, 2 HAVING count(*) > 1),
