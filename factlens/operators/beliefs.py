@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.hashing import TWO_POW_32, h32
+from factlens.operators.nearest import nearest_texts
 from factlens.operators.priming import format_pair, slots
 from factlens.session import bounded_broadcast
 
@@ -153,15 +154,14 @@ def adaptive_priming(scene_objects: DataFrame, scene_containers: DataFrame, cata
                       prompt.alias("prompt"))
 
 
-def nearest_name(held: DataFrame, names: DataFrame) -> DataFrame:
+def nearest_name(held: DataFrame, names: DataFrame, **options) -> DataFrame:
     """For each held item (scene, item_id, held): the scene name at the
-    smallest edit distance, ties to the smaller name.  Names per scene are
-    the scene's objects (a handful), so the fan-out is bounded."""
-    j = held.join(names.select("scene", F.col("name").alias("cand")), "scene")
-    j = j.withColumn("dist", F.levenshtein("cand", "held"))
-    return j.groupBy("scene", "item_id", "held").agg(
-        F.min_by(F.struct("cand", "dist"), F.struct("dist", "cand")).alias("_b")) \
-        .select("scene", "item_id", "held", F.col("_b.cand").alias("nearest"), F.col("_b.dist").alias("distance"))
+    smallest edit distance, ties to the smaller name.  Each distinct text of a
+    scene is looked up once, see ``nearest_texts``."""
+    near = nearest_texts(held.select("scene", F.col("held").alias("text")), names, **options) \
+        .select("scene", F.col("text").alias("held"), F.col("name").alias("nearest"), F.col("dist").alias("distance"))
+    return held.select("scene", "item_id", "held").distinct().join(near, ["scene", "held"]) \
+        .select("scene", "item_id", "held", "nearest", "distance")
 
 
 def location_from_description(description: Column) -> Column:
