@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factlens.operators.bootstrap import mean_band
 from factlens.operators.runs import adjust_p1
 
 # fixed values: results-table rows (corpus, relation slice)
@@ -105,15 +106,25 @@ def facet_series(summary: DataFrame, metric: str = "p_at_1") -> DataFrame:
     number of examples: mean, sample std and count over seeds; the model's
     baseline (the k = 0 run with the smallest seed); the model's first x and
     the facet's last x.  Facets in which no model has a baseline are dropped."""
-    s = adjust_p1(summary).withColumn("v", F.col("p_at_1_adj") if metric == "p_at_1" else F.col(metric))
+    s = _scored(summary, metric)
+    first = F.min_by(F.when(F.col("num_examples") == 0, F.col("v")), F.when(F.col("num_examples") == 0, F.col("random_seed")))
     series = s.groupBy(*FACET, "model", "num_examples").agg(
-        F.avg("v").alias("mean_p1"), F.stddev_samp("v").alias("std_p1"), F.count(F.lit(1)).alias("n_runs"))
-    base = s.filter(F.col("num_examples") == 0).groupBy(*FACET, "model").agg(
-        F.min_by("v", "random_seed").alias("baseline_p1"))
-    xmin = s.groupBy(*FACET, "model").agg(F.min("num_examples").alias("x_min"))
-    xmax = s.groupBy(*FACET).agg(F.max("num_examples").alias("x_max"))
-    out = series.join(base, [*FACET, "model"], "left").join(xmin, [*FACET, "model"]).join(xmax, FACET)
-    return out.join(base.select(*FACET).distinct(), FACET, "left_semi")
+        F.avg("v").alias("mean_p1"), F.stddev_samp("v").alias("std_p1"), F.count(F.lit(1)).alias("n_runs"), first.alias("_base"))
+    # a facet's series are a few rows of the grid
+    facet, line = Window.partitionBy(*FACET), Window.partitionBy(*FACET, "model")
+    out = series.withColumn("x_max", F.max("num_examples").over(facet)).withColumn("_any", F.max(F.col("num_examples") == 0).over(facet)) \
+        .withColumn("x_min", F.min("num_examples").over(line)).withColumn("baseline_p1", F.max("_base").over(line))
+    return out.filter("_any").drop("_any", "_base")
+
+
+def _scored(summary: DataFrame, metric: str) -> DataFrame:
+    return adjust_p1(summary).withColumn("v", F.col("p_at_1_adj") if metric == "p_at_1" else F.col(metric))
+
+
+def facet_bands(summary: DataFrame, metric: str = "p_at_1", replicates: int = 200) -> DataFrame:
+    """The intervals of ``facet_series``' means over seeds, by bootstrap."""
+    run = F.concat_ws("|", *FACET, "model", "num_examples", "random_seed")
+    return mean_band(_scored(summary, metric), [*FACET, "model", "num_examples"], "v", run, replicates)
 
 
 def relation_gains(rel_metrics: DataFrame, relations: DataFrame, ks: tuple[int, ...] = (0, 1, 3, 10),

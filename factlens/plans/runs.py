@@ -14,6 +14,8 @@ from factlens.plans.common import rounded
 from factlens.plans.probe import BASE, FACT_TABLES, Probe
 from factlens.sources.tables import table_path
 from factlens.store import stored
+from factlens.streaming.summaries import merge_sums, run_sums, summary_of_sums
+from factlens.operators.bootstrap import POISSON_STEPS
 from factlens.plans.prompts import BATS_CTE
 
 QUERIES, ORACLE = {}, {}
@@ -190,6 +192,28 @@ def run_summary(spark, d):
     return _summary_out(summary(spark, d))
 
 
+@register("summary_merge", ORACLE["run_summary"])
+def summary_merge(spark, d):
+    """The summary from merged sums: a third of the rows each in three
+    batches, of which the first has wrong metrics for some rows that the third
+    takes back and replaces."""
+    r = run_predictions(spark, d).select("data", *CFG, "uuid", "rel", F.array(*[F.col(m).cast("double") for m in M]).alias("m"))
+    part, wrong = F.pmod(h32("uuid"), F.lit(3)), F.pmod(h32(F.concat("uuid", F.lit("w"))), F.lit(5)) == 0
+    zero = F.transform("m", lambda x: F.lit(0.5))
+    rows = r.withColumn("sign", F.lit(1)).withColumn("part", part).withColumn("wrong", wrong & (F.col("part") == 0))
+    first = rows.filter("part = 0").withColumn("m", F.when(F.col("wrong"), zero).otherwise(F.col("m")))
+    again = rows.filter("wrong")
+    third = rows.filter("part = 2").unionByName(again).unionByName(
+        again.withColumn("m", zero).withColumn("sign", F.lit(-1)))
+    out = []
+    for data, rels, by in ((fx.DATASET, fx.relations(spark), "type"), (fx.BATS_DATASET, None, "rel")):
+        sums = None
+        for batch in (first, rows.filter("part = 1"), third):
+            sums = merge_sums(sums, run_sums(batch.filter(F.col("data") == data)))
+        out.append(summary_of_sums(sums, rels, data, by))
+    return _summary_out(out[0].unionByName(out[1]))
+
+
 UPSERT_SQL = sq.with_(*RUNS_CTES, """batches AS (
   SELECT *, 1 AS ingest_seq FROM summary WHERE num_examples <= 3
   UNION ALL
@@ -340,6 +364,29 @@ def facet_series(spark, d):
                             "x_max"), ["mean_p1", "std_p1", "baseline_p1"])
 
 
+BAND_WEIGHT = " + ".join(f"CAST(h >= {t} AS INTEGER)" for t in POISSON_STEPS)
+BAND_SQL = FACET_SQL[:FACET_SQL.rindex("SELECT s.data")].rstrip() + f""", id AS (
+  SELECT data, priming_type, use_close_examples, model, num_examples, v, concat_ws('|', data, priming_type,
+         CAST(use_close_examples AS VARCHAR), model, CAST(num_examples AS VARCHAR), CAST(random_seed AS VARCHAR)) AS id FROM adj
+), drawn AS (
+  SELECT *, CAST(('0x' || substr(md5(id || '|' || CAST(b AS VARCHAR)), 1, 8)) AS BIGINT) AS h
+  FROM id, (SELECT unnest(range(0, {{BAND_REPLICATES}})) AS b)
+), sums AS (
+  SELECT data, priming_type, use_close_examples, model, num_examples, b, sum(v * ({BAND_WEIGHT})) / nullif(sum({BAND_WEIGHT}), 0) AS m
+  FROM drawn GROUP BY data, priming_type, use_close_examples, model, num_examples, b
+) SELECT data, priming_type, use_close_examples, model, CAST(num_examples AS BIGINT) AS num_examples,
+  round(quantile_cont(m, 0.025), 6) AS lo_p1, round(quantile_cont(m, 0.975), 6) AS hi_p1, count(m) AS n_replicates
+FROM sums GROUP BY data, priming_type, use_close_examples, model, num_examples"""
+BAND_REPLICATES = 200
+
+
+@register("facet_bands", BAND_SQL.replace("{BAND_REPLICATES}", str(BAND_REPLICATES)))
+def facet_bands(spark, d):
+    f = rp.facet_bands(summary(spark, d), replicates=BAND_REPLICATES)
+    return rounded(f.select(*rp.FACET, "model", "num_examples", F.col("lo").alias("lo_p1"), F.col("hi").alias("hi_p1"), "n_replicates"),
+                   ["lo_p1", "hi_p1"])
+
+
 GAIN_RUN = ("bert-large-cased", "nl", True, 0)
 GAIN_KS = (0, 1, 3, 10)
 GAINS_SQL = sq.with_(*RUNS_CTES, f"""rm AS (
