@@ -3,6 +3,10 @@ conversations, pages, benchmark and events tables."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from factlens.functions.hashing import TWO_POW_32, h32
 from factlens.functions.text import WS_CLASS, words
 from factlens.operators import beliefs as bl
 from factlens.operators import commands as cm
+from factlens.operators import continuations as ct
 from factlens.operators import textops as tx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
@@ -257,3 +262,47 @@ def candidate_probs_frame(spark, d):
 )""") + "SELECT scene, obj, candidate, round(best / sum(best) OVER (PARTITION BY scene, obj), 6) AS prob FROM best")
 def candidate_probs(spark, d):
     return rounded(candidate_probs_frame(spark, d), ["prob"])
+
+
+CHUNK = re.compile(".{1,4}")
+
+
+def chunk_count_scorer():
+    """A scorer that reads its prompts: their words' subwords, by how often the
+    prompt has them."""
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key, token, float(n)) for key, text in zip(pdf["text_key"], pdf["prompt"], strict=True)
+                for token, n in Counter(t for w in re.findall("[^ \\n]+", text) for t in CHUNK.findall(w)).items()]
+        return pd.DataFrame(rows, columns=["text_key", "token", "logit"])
+    return score
+
+
+def trie_inputs(spark, d):
+    """Primed sentences (scene, obj, sentence) and candidates (scene, candidate, sub)."""
+    from factlens.plans import beliefs as pb
+    sentences = pb.adaptive_priming(spark, d).select("scene", "obj", F.col("prompt").alias("sentence"))
+    conts = pb._containers(spark, d).select("scene", F.col("name").alias("candidate")).distinct()
+    return sentences, conts.withColumn("sub", F.regexp_extract_all("candidate", F.lit(SUBWORD), 1))
+
+
+@register("candidate_trie_probs", sq.with_(*_sql_prompts(), """cand_sub AS (SELECT DISTINCT scene, candidate, sub FROM cp0)""",
+                                           """edge AS (
+  SELECT scene, candidate, sub[1:pos] AS prefix, sub[pos + 1] AS token, array_to_string(sub[pos + 2:len(sub)], '') AS rest
+  FROM (SELECT *, unnest(range(0, len(sub))) AS pos FROM cand_sub)
+)""", """node AS (SELECT scene, prefix, arg_min(rest, candidate) AS rest FROM edge GROUP BY scene, prefix)""", f"""npr AS (
+  SELECT a.scene, a.obj, n.prefix, array_to_string(list_filter([a.prompt, array_to_string(n.prefix, ''), '{MASK}', n.rest],
+         lambda s: length(s) > 0), ' ') || chr(10) AS prompt
+  FROM ap a JOIN node n ON a.scene = n.scene
+)""", """cnt AS (
+  SELECT prompt, token, CAST(count(*) AS DOUBLE) AS logit FROM (
+    SELECT prompt, unnest(regexp_extract_all(w, '.{1,4}')) AS token FROM (
+      SELECT prompt, unnest(regexp_extract_all(prompt, '[^ \\n]+')) AS w FROM (SELECT DISTINCT prompt FROM npr)))
+  GROUP BY prompt, token
+)""", """soft AS (SELECT prompt, token, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS p
+  FROM cnt WINDOW w AS (PARTITION BY prompt))""", """tb AS (
+  SELECT npr.scene, npr.obj, e.candidate, coalesce(max(soft.p), 0) AS best FROM npr JOIN edge e ON e.scene = npr.scene AND e.prefix = npr.prefix
+  LEFT JOIN soft ON soft.prompt = npr.prompt AND soft.token = e.token GROUP BY npr.scene, npr.obj, e.candidate
+)""") + """SELECT scene, obj, candidate, round(CASE WHEN sum(best) OVER w > 0 THEN best / sum(best) OVER w END, 6) AS prob
+FROM tb WINDOW w AS (PARTITION BY scene, obj)""")
+def candidate_trie_probs(spark, d):
+    return rounded(ct.continuation_probs(*trie_inputs(spark, d), chunk_count_scorer, MASK), ["prob"])
