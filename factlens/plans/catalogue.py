@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["probe", "prompts", "neighbours", "runs", "parsing", "embeddings", "beliefs", "texts"]
+MODULES = ["probe", "prompts", "neighbours", "runs", "parsing", "embeddings", "beliefs", "texts", "shuffles"]
 
 
 def _load():

@@ -13,7 +13,8 @@ from pyspark.sql.utils import AnalysisException
 
 from factlens.functions import parsing as ps
 from factlens.operators.runs import RUN_KEY, upsert
-from factlens.session import ensure_checkpoint_dir
+from factlens.session import bounded_broadcast, ensure_checkpoint_dir
+from factlens.store import persisted
 
 LAMA_SCHEMA = ("uuid string, predicate_id string, pred string, sub string, sub_label string, obj_label string, "
                "masked_sentences array<string>")
@@ -22,6 +23,7 @@ SUMMARY_SCHEMA = ("data string, `p@1` double, `p@3` double, `p@5` double, `p@10`
                   "target_likelihood double, model string, num_examples bigint, priming_type string, "
                   "use_close_examples boolean, random_seed bigint")
 GLOVE_DENOMINATOR = 667
+MAX_SPLITS = 1_000_000
 # run files only: other CSVs in the folder (a summary) must not even be scanned,
 # since the first file's header would define the schema of all of them
 RUN_FILE_GLOB = "pe-*_nl-*_ce-*_rs-*.csv"
@@ -36,16 +38,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of small text files with their 0-based line number within the
-    file (whole-file read: for metadata-sized files such as relation lists,
-    vocabularies and BATS categories)."""
+    file, each file read whole (see ``numbered_lines``)."""
     t = spark.read.text(path, wholetext=True).select(F.url_decode(F.col("_metadata.file_path")).alias("file_path"), "value")
-    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace("value", "\n\\z", ""), "\n")
     return t.select("file_path", F.posexplode(lines).alias("line_no", "line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``read_lines`` for files of any size: a file is read in splits, as Spark
+    cuts it, and a line's number is its place in the split plus the lines of
+    the file's earlier splits (one count a split).  An empty file has no line."""
+    text = spark.read.option("lineSep", "\n").text(path).select(
+        F.url_decode(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = persisted(text.groupBy("file_path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "splits")
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("file_path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return text.join(bounded_broadcast(base, MAX_SPLITS), ["file_path", "block"]).select(
+        "file_path", (F.col("at") + F.col("base")).cast("int").alias("line_no"), "line")
+
+
 def read_relations(spark: SparkSession, path: str) -> DataFrame:
     """Relation metadata; a relation listed twice keeps its last line (S2)."""
-    lines = read_lines(spark, path).filter(F.length("line") > 0)
+    lines = numbered_lines(spark, path).filter(F.length("line") > 0)
     rel = lines.select("file_path", "line_no", F.from_json("line", RELATION_SCHEMA).alias("r"))
     best = rel.groupBy(F.col("r.relation").alias("rel")).agg(
         F.max_by("r", F.struct("file_path", "line_no")).alias("r"))
@@ -60,7 +75,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 def read_bats(spark: SparkSession, root: str) -> DataFrame:
     """BATS category files ``<root>/<dir>/<CAT name>.txt``: ``x<TAB>y1/y2``;
     category = first word of the file name, uuid = category_line (S5, P4)."""
-    lines = read_lines(spark, root.rstrip("/") + "/*/*.txt").filter(F.length("line") > 0)
+    lines = numbered_lines(spark, root.rstrip("/") + "/*/*.txt").filter(F.length("line") > 0)
     name = F.element_at(F.split("file_path", "/"), -1)
     cat = F.element_at(F.split(name, " "), 1)
     parts = F.split("line", "\t")
@@ -71,7 +86,9 @@ def read_bats(spark: SparkSession, root: str) -> DataFrame:
 
 def read_category_names(spark: SparkSession, root: str) -> DataFrame:
     """Category code -> full file stem, from the folder listing (S15)."""
-    lines = spark.read.text(root.rstrip("/") + "/*/*.txt").select(F.col("_metadata.file_name").alias("f")).distinct()
+    # the listing alone: no file is opened
+    lines = spark.read.format("binaryFile").load(root.rstrip("/") + "/*/*.txt") \
+        .select(F.element_at(F.split("path", "/"), -1).alias("f"))
     stem = F.regexp_replace(F.url_decode("f"), r"\.[^.]*$", "")
     return lines.select(F.element_at(F.split(stem, " "), 1).alias("category"), stem.alias("name"))
 

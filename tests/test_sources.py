@@ -80,3 +80,24 @@ def test_solvable_and_episode_sinks(spark):
     fl.append_episode_log(ep, f"{d}/episodes")
     fl.append_episode_log(ep, f"{d}/episodes")
     assert spark.read.parquet(f"{d}/episodes").count() == 2
+
+
+def test_numbered_lines_over_splits_equal_whole_files(spark):
+    d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp"))
+    for i in range(12):
+        _write(f"{d}/small/{i} name.txt", "\n".join(f"{i} line {j}" for j in range(i)) + ("\n" if i % 2 else "\n\n"))
+    os.makedirs(f"{d}/big")
+    with open(f"{d}/big/a.txt", "wb") as f:
+        f.write("".join(f"zeile {j} é\r\n" * (j % 3) + "\n" for j in range(400)).encode() + b"no end")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for path in (f"{d}/small", f"{d}/big"):
+            got = sorted(tuple(r) for r in fl.numbered_lines(spark, path).collect())
+            want = sorted((r.file_path, r.line_no, r.line) for r in fl.read_lines(spark, path).collect())
+            assert got == want
+        assert spark.read.text(f"{d}/big").rdd.getNumPartitions() > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
