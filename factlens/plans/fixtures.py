@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions.hashing import TWO_POW_32, h32
+from factlens.operators.datasets import load_examples
 from factlens.session import bounded_broadcast
 from factlens.sources.tables import table
 
@@ -178,6 +179,33 @@ def gre_facts(spark: SparkSession, d: str) -> DataFrame:
                      .otherwise(F.col("n_name")).alias("obj"))
 
 
+# fixed values: ConceptNet style predicates
+CONCEPTNET_PREDICATES = ["IsA", "HasProperty", "MadeOf"]
+
+
+def conceptnet_raw(spark: SparkSession, d: str) -> DataFrame:
+    """ConceptNet shaped rows: a part, a predicate by its size, its type, and
+    two masked sentences."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    sub = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    names = F.array(*[F.lit(p) for p in CONCEPTNET_PREDICATES])
+    return part.select(F.concat(F.lit("cn_"), F.col("p_partkey").cast("string")).alias("uuid"),
+                       F.element_at(names, (F.pmod(F.col("p_size"), F.lit(3)) + 1).cast("int")).alias("pred"), sub.alias("sub"),
+                       F.col("p_type").alias("obj_label"),
+                       F.array(F.concat(F.lit("The "), sub, F.lit(" is sold .")),
+                               F.concat(F.lit("It is of the kind [MASK] ."))).alias("masked_sentences"))
+
+
+def lama_rows(spark: SparkSession, d: str, data: str) -> DataFrame:
+    """All probe rows (uuid, rel, subj, y, x) of a dataset without relation
+    metadata, by its own normaliser."""
+    if data == "Google_RE":
+        raw = gre_facts(spark, d).select("uuid", "pred", F.col("subj").alias("sub_label"), F.col("obj").alias("obj_label"))
+    else:
+        raw = conceptnet_raw(spark, d).withColumn("sub_label", F.lit(None).cast("string"))
+    return load_examples(data, raw)
+
+
 def bats_category_code(regionkey: F.Column, nationkey: F.Column) -> F.Column:
     return F.concat(F.element_at(F.array(*[F.lit(x) for x in BATS_INITIALS]),
                                  (F.pmod(regionkey, F.lit(4)) + 1).cast("int")),

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.hashing import TWO_POW_32, h32
 from factlens.operators import evaluation as ev
+from factlens.operators import examples as ex
+from factlens.operators import reports as rp
 from factlens.operators import runs as rn
+from factlens.operators.bootstrap import POISSON_STEPS
+from factlens.operators.prompts import relation_label
 from factlens.plans import fixtures as fx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
@@ -15,7 +21,6 @@ from factlens.plans.probe import BASE, FACT_TABLES, Probe
 from factlens.sources.tables import table_path
 from factlens.store import stored
 from factlens.streaming.summaries import merge_sums, run_sums, summary_of_sums
-from factlens.operators.bootstrap import POISSON_STEPS
 from factlens.plans.prompts import BATS_CTE
 
 QUERIES, ORACLE = {}, {}
@@ -58,6 +63,10 @@ def _grid():
 
 
 TREX_GRID, BATS_GRID = _grid()
+# what the results table reads of the two datasets without relation types, and a generation model
+LAMA_GRID = [(m, k, "nl", ce, s) for _, m, k, ce, seed, _ in rp.TABLE_COLUMNS if m is not None
+             for s in ((0, 1) if seed is None else (seed,))] + [("t5-large", 3, "nl", False, 0)]
+LAMA_DATASETS = ("Google_RE", "ConceptNet")
 NOISE = 2.0
 
 
@@ -104,6 +113,16 @@ def _bats_runs(spark, d):
     return b, rn.run_metrics(preds, b, F.col("y"), BATS_GRID, key="uuid"), preds
 
 
+def _lama_runs(spark, d, data):
+    rows = fx.lama_rows(spark, d, data)
+    vocab = fx.vocab(spark, d, rows.select(F.col("y").alias("obj")))
+    e = ex.valid_examples(ex.dedup_examples(rows), vocab)
+    cands = fx.candidate_counts(rows.select("rel", F.col("y").alias("obj")))
+    preds = rn.run_predictions(e, cands, vocab, LAMA_GRID, grid_logit, RUN_EXTRA, key="uuid",
+                               example_cols=example_cols(), candidate_cols=candidate_cols())
+    return rn.run_metrics(preds, e, F.array("y"), LAMA_GRID, key="uuid")
+
+
 def run_predictions(spark, d) -> DataFrame:
     """Stored predictions of all runs: data, config, uuid, rel, targets, preds, probs."""
     def build():
@@ -111,7 +130,11 @@ def run_predictions(spark, d) -> DataFrame:
         _, bm, bp = _bats_runs(spark, d)
         t = tm.select(F.lit(fx.DATASET).alias("data"), *CFG, "uuid", "rel", "targets", "preds", "probs", *M)
         b = bm.select(F.lit(fx.BATS_DATASET).alias("data"), *CFG, "uuid", "rel", "targets", "preds", "probs", *M)
-        return t.unionByName(b)
+        out = t.unionByName(b)
+        for data in LAMA_DATASETS:
+            out = out.unionByName(_lama_runs(spark, d, data).select(
+                F.lit(data).alias("data"), *CFG, "uuid", "rel", "targets", "preds", "probs", *M))
+        return out
     return stored(spark, "runs", [table_path(d, t) for t in FACT_TABLES], build)
 
 
@@ -121,12 +144,25 @@ def relation_summary(spark, d) -> DataFrame:
 
 
 def summary(spark, d) -> DataFrame:
-    """Summary rows: TREx total and per relation type, BATS total and per category."""
+    """Summary rows: TREx total and per relation type, BATS total and per
+    category, Google_RE total and per relation label, ConceptNet total."""
     r = run_predictions(spark, d)
-    rels = fx.relations(spark)
-    t = rn.summarize(r.filter(F.col("data") == fx.DATASET), rels, fx.DATASET, by="type")
-    b = rn.summarize(r.filter(F.col("data") == fx.BATS_DATASET), None, fx.BATS_DATASET, by="rel")
-    return t.unionByName(b)
+    out = [rn.summarize(rows, rels, data, by=by) for data, rows, rels, by in _by_dataset(spark, r)]
+    return _reported(reduce(DataFrame.unionByName, out))
+
+
+def _by_dataset(spark, rows: DataFrame):
+    """(dataset, its rows, relation metadata, what its slices go by)."""
+    of = {d: rows.filter(F.col("data") == d) for d in (fx.DATASET, fx.BATS_DATASET, *LAMA_DATASETS)}
+    yield fx.DATASET, of[fx.DATASET], fx.relations(spark), "type"
+    yield fx.BATS_DATASET, of[fx.BATS_DATASET], None, "rel"
+    yield "Google_RE", of["Google_RE"].withColumn("rel", relation_label(F.col("rel"))), None, "rel"
+    yield "ConceptNet", of["ConceptNet"], None, "rel"
+
+
+def _reported(summary: DataFrame) -> DataFrame:
+    """ConceptNet has no slices."""
+    return summary.filter(~F.col("data").startswith("ConceptNet_"))
 
 
 # ---------------------------------------------------------------- SQL twins
@@ -135,7 +171,8 @@ def _cfg_values(grid, data):
 
 
 CONFIGS_CTE = ("configs(data, model, num_examples, priming_type, use_close_examples, random_seed) AS (VALUES "
-               + _cfg_values(TREX_GRID, fx.DATASET) + ", " + _cfg_values(BATS_GRID, fx.BATS_DATASET) + ")")
+               + ", ".join(_cfg_values(g, d) for g, d in ((TREX_GRID, fx.DATASET), (BATS_GRID, fx.BATS_DATASET),
+                                                          *((LAMA_GRID, d) for d in LAMA_DATASETS))) + ")")
 CK = "model, num_examples, priming_type, use_close_examples, random_seed"
 LOGIT = (f"ln(1.0e0 + k.cnt) * (1.0e0 + c.num_examples / 10.0e0) * (1.0e0 + ({sq.H('c.model')} % 5) / 10.0e0)"
          f" + {NOISE}e0 * xor({sq.H('x.uuid')}, {sq.HS('k.token', 'c.model', 'c.num_examples', 'c.priming_type', 'c.use_close_examples', 'c.random_seed')})"
@@ -145,19 +182,40 @@ RUNS_CTES = [*BASE, sq.EXAMPLES_CTE, BATS_CTE, CONFIGS_CTE, f"""cands AS (SELECT
 bats_rel AS (SELECT rel FROM bats GROUP BY rel HAVING bool_or(solvable)),
 bats_ex AS (SELECT * FROM bats WHERE rel IN (SELECT rel FROM bats_rel)),
 bcands AS (SELECT rel, token, count(*) AS cnt FROM (SELECT rel, unnest(answers) AS token FROM bats_ex) GROUP BY rel, token),
+gre AS (
+  SELECT 'gre_' || CAST(c_custkey AS VARCHAR) AS uuid, [{", ".join(f"'/people/person/{n}'" for n, _ in fx.GRE_TEMPLATES)}][c_custkey % 3 + 1] AS rel,
+         c_name AS subj, CASE WHEN c_custkey % 3 = 1 THEN CAST(1900 + c_custkey % 100 AS VARCHAR) ELSE n_name END AS y,
+         replace([{", ".join(f"'{t}'" for _, t in fx.GRE_TEMPLATES)}][c_custkey % 3 + 1], '{{}}', c_name) AS x
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+),
+cn AS (
+  SELECT 'cn_' || CAST(p_partkey AS VARCHAR) AS uuid, [{", ".join(f"'{n}'" for n in fx.CONCEPTNET_PREDICATES)}][p_size % 3 + 1] AS rel,
+         p_name || ' ' || CAST(p_partkey AS VARCHAR) AS subj, p_type AS y,
+         'The ' || p_name || ' ' || CAST(p_partkey AS VARCHAR) || ' is sold . It is of the kind [MASK] .' AS x FROM part
+),
+lama AS (SELECT 'Google_RE' AS data, * FROM gre UNION ALL SELECT 'ConceptNet', * FROM cn),
+lama_ok AS (SELECT DISTINCT data, y AS token FROM lama WHERE {sq.H('y')} % 5 <> 0),
+lama_cands AS (SELECT data, rel, y AS token, count(*) AS cnt FROM lama SEMI JOIN lama_ok ON lama.data = lama_ok.data AND y = token GROUP BY data, rel, y),
+lama_first AS (SELECT * FROM lama QUALIFY row_number() OVER (PARTITION BY data, rel, subj, y ORDER BY uuid) = 1),
+lama_ex AS (
+  SELECT lama_first.* FROM lama_first SEMI JOIN lama_ok ON lama_first.data = lama_ok.data AND y = token
+  WHERE coalesce(length(y), 0) > 0 AND coalesce(length(subj), 0) > 0 AND {sq.TOKENS('x')} <= 100
+),
 all_ex AS (
   SELECT '{fx.DATASET}' AS data, uuid, rel, [y] AS targets FROM examples
   UNION ALL SELECT '{fx.BATS_DATASET}', uuid, rel, y FROM bats_ex
+  UNION ALL SELECT data, uuid, rel, [y] FROM lama_ex
 ),
 all_cands AS (
   SELECT '{fx.DATASET}' AS data, * FROM cands UNION ALL SELECT '{fx.BATS_DATASET}', * FROM bcands
+  UNION ALL SELECT * FROM lama_cands
 ),
 glogits AS (
   SELECT c.data, c.model, c.num_examples, c.priming_type, c.use_close_examples, c.random_seed, x.uuid, k.token,
          {LOGIT} AS logit
   FROM all_ex x JOIN all_cands k ON x.data = k.data AND x.rel = k.rel JOIN configs c ON c.data = x.data
-  WHERE k.token IN (SELECT token FROM vocab)
-)""", sq.topk_ctes("glogits", "data, " + CK + ", uuid", 20, prefix="g"), f"""runm AS (
+  WHERE k.data IN ({", ".join(f"'{d}'" for d in LAMA_DATASETS)}) OR k.token IN (SELECT token FROM vocab)
+)""", sq.topk_ctes("glogits", "data, " + CK + ", uuid", 20, prefix="g", allowed="true"), f"""runm AS (
   SELECT c.data, c.model, c.num_examples, c.priming_type, c.use_close_examples, c.random_seed, x.uuid, x.rel,
   {sq.metric_exprs('p.preds', 'p.probs', 'x.targets')}
   FROM all_ex x JOIN configs c ON c.data = x.data
@@ -175,6 +233,13 @@ glogits AS (
          {", ".join(f"avg({c})" for c in M)}, count(*)
   FROM relm m WHERE m.data = '{fx.BATS_DATASET}'
   GROUP BY GROUPING SETS ((m.data, {CK}, m.rel), (m.data, {CK}))
+  UNION ALL
+  SELECT m.data || CASE WHEN grouping(m.label) = 1 THEN '' ELSE '_' || m.label END, {CK},
+         {", ".join(f"avg({c})" for c in M)}, count(*)
+  FROM (SELECT *, replace(split_part(rel, '/', -1), '_', '-') AS label FROM relm WHERE data = 'Google_RE') m
+  GROUP BY GROUPING SETS ((m.data, {CK}, m.label), (m.data, {CK}))
+  UNION ALL
+  SELECT m.data, {CK}, {", ".join(f"avg({c})" for c in M)}, count(*) FROM relm m WHERE m.data = 'ConceptNet' GROUP BY m.data, {CK}
 )"""]
 
 SUMMARY_OUT = ("data, model, CAST(num_examples AS BIGINT) AS num_examples, priming_type, use_close_examples, "
@@ -206,12 +271,12 @@ def summary_merge(spark, d):
     third = rows.filter("part = 2").unionByName(again).unionByName(
         again.withColumn("m", zero).withColumn("sign", F.lit(-1)))
     out = []
-    for data, rels, by in ((fx.DATASET, fx.relations(spark), "type"), (fx.BATS_DATASET, None, "rel")):
-        sums = None
-        for batch in (first, rows.filter("part = 1"), third):
-            sums = merge_sums(sums, run_sums(batch.filter(F.col("data") == data)))
+    parts = [list(_by_dataset(spark, b)) for b in (first, rows.filter("part = 1"), third)]
+    for batches in zip(*parts, strict=True):
+        sums = reduce(merge_sums, [run_sums(b) for _, b, _, _ in batches], None)
+        data, _, rels, by = batches[0]
         out.append(summary_of_sums(sums, rels, data, by))
-    return _summary_out(out[0].unionByName(out[1]))
+    return _summary_out(_reported(reduce(DataFrame.unionByName, out)))
 
 
 UPSERT_SQL = sq.with_(*RUNS_CTES, """batches AS (
@@ -277,8 +342,6 @@ def adjusted_scores(spark, d):
 
 
 # ---------------------------------------------------------------- reports
-from factlens.operators import reports as rp  # noqa: E402
-
 
 def _v(x):
     if x is None:

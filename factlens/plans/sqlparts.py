@@ -79,10 +79,11 @@ logits AS (
 )"""
 
 
-def topk_ctes(logits: str = "logits", keys: str = "uuid", k: int = 20, prefix: str = "") -> str:
+def topk_ctes(logits: str = "logits", keys: str = "uuid", k: int = 20, prefix: str = "",
+              allowed: str = "token IN (SELECT token FROM vocab)") -> str:
     """allowed -> softmax -> top-k -> prediction lists, keyed by ``keys``."""
     p = prefix
-    return f"""{p}allowed AS (SELECT * FROM {logits} WHERE token IN (SELECT token FROM vocab)),
+    return f"""{p}allowed AS (SELECT * FROM {logits} WHERE {allowed}),
 {p}mx AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY {keys})) AS e FROM {p}allowed),
 {p}sm AS (SELECT *, e / sum(e) OVER (PARTITION BY {keys}) AS prob FROM {p}mx),
 {p}ranked AS (
