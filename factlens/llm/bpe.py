@@ -38,6 +38,11 @@ _FREE = np.uint64(2**64 - 1)
 WHITE_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: fixed value: the pattern whose matches never cross the ends of ``_CUT``'s pieces
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_CUT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+
+
 def parse_ranks(lines: bytes) -> dict[bytes, int]:
     """Token bytes -> rank of a rank file (one base64 token and rank a line)."""
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x.strip())}
@@ -86,7 +91,8 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.chunk = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+        # texts are cut before the pattern sees them only where it is known not to cross the cuts
+        self.chunk = _CUT if pattern == CUT_PATTERN else self.pattern
         self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.of_byte < 0).any():
             raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
@@ -180,16 +186,21 @@ class ByteBPE:
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks as little-endian 32-bit words.  A chunk is white space
-        or a run of other characters with the blank before it; the pattern
-        never crosses its ends."""
-        split = [self.pattern.findall(c) for c in chunks]
+        or a run of other characters with the blank before it, whose ends
+        ``CUT_PATTERN`` never crosses; with another pattern, one of its matches."""
+        split = [self.pattern.findall(c) for c in chunks] if self.chunk is _CUT else [[c] for c in chunks]
         pieces = list({p for s in split for p in s})
         words = {p: x.astype("<u4").tobytes() for p, x in zip(pieces, self.merge([p.encode() for p in pieces]), strict=True)}
         return [b"".join([words[p] for p in s]) for s in split]
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.chunk is _CUT:
+            return _CUT.findall(text)
+        return [m.group() for m in self.pattern.finditer(text) if m.group()]
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit words."""
-        split = [self.chunk.findall(t) if t else [] for t in texts]
+        split = [self._chunks(t) if t else [] for t in texts]
         wanted = set().union(*split)
         new = list(wanted.difference(self.known))
         if len(self.known) + len(new) > KNOWN_CHUNKS:
