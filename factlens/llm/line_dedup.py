@@ -29,7 +29,8 @@ Results: null texts stay null, an empty text is one empty line, and a text
 that loses all its lines becomes null.  Rows that repeat both id and text are
 one document and get one result; among rows that share an id with different
 texts, equal line numbers are equal places, so neither is a copy of the other.
-A null id comes before all others.
+A null id comes before all others; ids that aren't whole numbers are ordered
+as their type orders them.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from factlens.llm.common import without, written
+from factlens.llm.running import running_totals
 
 MIN_CHARS, MIN_WORDS = 200, 50
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
@@ -50,7 +53,13 @@ _DOC = ["_id", "_h"]
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("_id", F.col(doc_id).cast("decimal(20,0)")).withColumn("_h", F.xxhash64(text))
+    rows = docs.withColumn("_h", F.xxhash64(text))
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        return rows.withColumn("_id", F.col(doc_id).cast("decimal(20,0)"))
+    # ids of another type (texts, say) are numbered in their own order
+    ids = docs.select(F.col(doc_id).alias("_own")).filter(F.col(doc_id).isNotNull()).distinct()
+    numbered = written(running_totals(ids, [], [F.asc("_own")], {"_id": F.lit(1)}), "ids")
+    return rows.join(numbered.select("_own", F.col("_id").cast("decimal(20,0)").alias("_id")), F.col(doc_id) == F.col("_own"), "left").drop("_own")
 
 
 def _words(line: Column) -> Column:
