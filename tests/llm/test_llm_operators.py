@@ -420,6 +420,22 @@ def test_bpe_like_the_library(spark, library, texts):
     assert bpe.encode(docs_of(spark, []), PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_with_a_pattern_that_crosses_blanks(spark, library):
+    pattern = r"\w+ \w+|\w+|\s+|[^\w\s]+"
+    enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    texts = ["the words of the text, two by two", "  a b\n\nc d ", "", None, "don't stop"]
+    rows = {r["doc_id"]: r for r in bpe.round_trip(docs_of(spark, texts), PATH, pattern).collect()}
+    for k, t in enumerate(texts):
+        assert list(np.frombuffer(rows[k]["token_ids"], "<u4")) == enc.encode_ordinary(t or "") and bytes(rows[k]["decoded"]) == (t or "").encode()
+
+
+def test_ids_of_a_long_text_unpack_in_linear_time(spark):
+    ids = np.arange(300_000, dtype="<u4") % 5000
+    rows = spark.createDataFrame([(ids.tobytes(),), (b"",), (None,)], "token_ids binary")
+    got = [r["ids"] for r in rows.select(bpe.id_array(rows["token_ids"]).alias("ids")).collect()]
+    assert got == [ids.tolist(), [], []]
+
+
 def test_long_pieces_merge_in_the_same_order():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"aab": 299, b"aa": 310, b"abab": 301, b"ba": 298, b"bab": 400, b"aba": 297}
     model = bpe.ByteBPE(ranks, P.PATTERN)
@@ -438,6 +454,14 @@ def test_decode_of_unknown_ids(spark):
     assert [r["decoded"] is None for r in bpe.decode(df, PATH).collect()] == [False, True, True]
 
 
+# --- 7 with other ids -----------------------------------------------------
+def test_line_dedup_with_text_ids(spark):
+    run = "\n".join(f"line {i} of a passage that is repeated" for i in range(9))
+    rows = spark.createDataFrame([("b", "x\n" + run), ("a10", run + "\ny"), ("a9", run), (None, "z")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == {"a10": (run + "\ny", 0), "a9": (None, 9), "b": ("x", 9), None: ("z", 0)}
+
+
 # --- queries ---------------------------------------------------------------
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
