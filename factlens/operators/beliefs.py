@@ -24,6 +24,9 @@ MAX_CATALOGUE = 1_000_000
 # fixed values: priming templates by name
 TEMPLATES = {"arrow": "{} -> {}", "semicolon": "{}; {}", "nl": "{} belongs to {}"}
 
+# fixed value: the example of a scene for which the catalogue has none
+FALLBACK_PAIR = ("butter", "fridge")
+
 CATALOGUE_TYPE = "map<string, struct<type: string, locations: array<string>>>"
 
 
@@ -120,12 +123,14 @@ def update(prior: DataFrame, outcomes: DataFrame, order: list[str]) -> DataFrame
 
 
 def adaptive_priming(scene_objects: DataFrame, scene_containers: DataFrame, catalogue: DataFrame,
-                     n: int, template: str, seed: int, max_lines: int = 100) -> DataFrame:
+                     n: int, template: str, seed: int, max_lines: int = 100,
+                     fallback: tuple[str, str] = FALLBACK_PAIR) -> DataFrame:
     """Per (scene, obj): a prompt of ``min(n, N)`` (object -> location)
     examples drawn with replacement, in random order, then the object's own
     open line.  Examples come from catalogue objects absent from the scene
     whose locations meet the scene's containers, each with one such
-    location chosen at random.  N is bounded by the catalogue."""
+    location chosen at random; where there is none (N = 0), ``fallback`` is the
+    one example.  N is bounded by the catalogue."""
     cat = bounded_broadcast(catalogue.select(F.col("name").alias("pobj"), "locations"), MAX_CATALOGUE)
     # every scene meets every catalogue object through its containers: join on
     # location, so only catalogue objects that can be placed in the scene appear
@@ -148,10 +153,10 @@ def adaptive_priming(scene_objects: DataFrame, scene_containers: DataFrame, cata
                                                   max_lines).alias("_l"))
     last = F.trim(format_pair(template, F.col("obj"), F.lit("")))
     out = objs.join(g, ["scene", "obj"], "left")
-    body = F.array_join(F.col("_l.line"), "\n")
-    prompt = F.when(F.coalesce(F.size("_l"), F.lit(0)) > 0, F.concat(body, F.lit("\n"), last)).otherwise(last)
-    return out.select("scene", "obj", F.coalesce(F.size("_l"), F.lit(0)).cast("bigint").alias("n_examples"),
-                      prompt.alias("prompt"))
+    other = F.array(format_pair(template, *[F.lit(x) for x in fallback])) if n > 0 else F.array().cast("array<string>")
+    lines = F.coalesce(F.col("_l.line"), other)
+    return out.select("scene", "obj", F.size(lines).cast("bigint").alias("n_examples"),
+                      F.array_join(F.concat(lines, F.array(last)), "\n").alias("prompt"))
 
 
 def nearest_name(held: DataFrame, names: DataFrame, **options) -> DataFrame:

@@ -74,3 +74,21 @@ def other_solutions(raw_facts: DataFrame, examples: DataFrame, relations: DataFr
     j = examples.join(sols, ["rel", "subj"], "left")
     return j.withColumn("other_solutions", F.array_sort(F.array_except(
         F.coalesce(F.col("_sols"), F.array().cast("array<string>")), F.array(F.col("y"))))).drop("_sols")
+
+
+def known_answers(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Multi-answer rows (rel, subj, answers) with ``y``, the answers in the
+    vocabulary or its lower-cased copy (the answer itself is not lower-cased)
+    in list order, and ``solvable``; a row stays even if no answer is left."""
+    allowed = vocab.select("token").union(vocab.select(F.lower("token").alias("token"))).distinct().withColumn("_ok", F.lit(True))
+    answers = rows.select("rel", "subj", F.posexplode_outer("answers").alias("pos", "a"))
+    answers = answers.join(bounded_broadcast(allowed, MAX_VOCAB), F.col("a") == F.col("token"), "left")
+    kept = answers.groupBy("rel", "subj").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_ok"), F.struct("pos", "a")))).alias("_k"))
+    out = rows.join(kept, ["rel", "subj"]).withColumn("y", F.col("_k.a")).drop("_k")
+    return out.withColumn("solvable", F.size("y") > 0)
+
+
+def solvable_relations(rows: DataFrame) -> DataFrame:
+    """The rows of relations with at least one solvable row."""
+    return rows.join(rows.filter("solvable").select("rel").distinct(), "rel", "left_semi")

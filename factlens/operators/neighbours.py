@@ -249,7 +249,9 @@ def search(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str =
            prune_rows: int = 32_768, near: float = 4.0) -> Search:
     """Top-k candidates j of every subject i, and the share of cells formed."""
     v = _vectors(vectors, id_col, vec_col)
-    n = v.count()
+    n, subjects = v.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    if subjects < n:  # a subject is listed once, whatever the number of its rows
+        v, n = v.groupBy("id").agg(F.min("vec").alias("vec")), subjects
     if n <= prune_rows:
         blocks = max(_least_blocks(v), math.ceil(n / block_rows))
         rows = _hash_blocks(v, blocks).withColumn("floor", F.lit(None).cast("double"))
@@ -303,22 +305,26 @@ def close_subjects(topk: DataFrame, members: DataFrame, n: int = 20, k: int = 30
     ordered by their position in subj's global top-k list (0-based), with
     subjects outside the list at 400, subj itself at 1000, ties by id.
 
-    Exact with bounded work: the unranked fill can only come from the
-    n + k + 1 smallest ids of the relation, so each subject meets at most
-    k ranked + (n + k + 1) fill candidates.
+    Only the n best ranked subjects of the relation are kept, and what is
+    missing of n is added from the relation's n + 1 smallest ids, which are
+    drawn once: without the r < n ranked ones and the subject itself, at least
+    n - r of them are left if the relation has as many.
     """
     m = members.select("rel", F.col("id").alias("subj"))
     mc = members.select("rel", F.col("id").alias("cand"))
-    ranked = (topk.select(F.col("i").alias("subj"), F.col("j").alias("cand"), (F.col("rank") - 1).alias("key"))
-              .join(m, "subj").join(mc, ["rel", "cand"]).filter(F.col("subj") != F.col("cand")))
-    fill_n = n + k + 1
+    near = (topk.select(F.col("i").alias("subj"), F.col("j").alias("cand"), (F.col("rank") - 1).alias("key"))
+            .filter(F.col("i") != F.col("j")).join(m, "subj").join(mc, ["rel", "cand"]))
+    place = Window.partitionBy("rel", "subj").orderBy("key")
+    ranked = near.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= n).drop("_r")
+    full = ranked.groupBy("rel", "subj").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select("rel", "subj")
+    short = m.join(full, ["rel", "subj"], "left_anti")
     wr = Window.partitionBy("rel").orderBy("cand")
-    fill = mc.withColumn("_r", F.row_number().over(wr)).filter(F.col("_r") <= fill_n).drop("_r")
+    fill = mc.withColumn("_r", F.row_number().over(wr)).filter(F.col("_r") <= n + 1).drop("_r")
     fill = bounded_broadcast(fill, MAX_GROUPS)
-    unranked = (m.join(fill, "rel").filter(F.col("subj") != F.col("cand"))
-                 .join(ranked.select("subj", "cand"), ["subj", "cand"], "left_anti")
-                 .withColumn("key", F.lit(UNRANKED)))
-    self_rows = m.select("rel", "subj", F.col("subj").alias("cand"), F.lit(SELF).alias("key"))
+    unranked = (short.join(fill, "rel").filter(F.col("subj") != F.col("cand"))
+                .join(ranked.select("rel", "subj", "cand"), ["rel", "subj", "cand"], "left_anti")
+                .withColumn("key", F.lit(UNRANKED)))
+    self_rows = short.select("rel", "subj", F.col("subj").alias("cand"), F.lit(SELF).alias("key"))
     allc = ranked.select("rel", "subj", "cand", "key").unionByName(unranked.select("rel", "subj", "cand", "key")) \
         .unionByName(self_rows)
     w = Window.partitionBy("rel", "subj").orderBy("key", "cand")

@@ -4,7 +4,9 @@ small tables; the only driver-side step is rendering a bounded table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.operators.bootstrap import mean_band
@@ -150,16 +152,17 @@ def gains_lines(gains: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame
                         *[F.col(f"gain_{k}") * 100 for k in ks]).alias("line"))
 
 
-def contrast(runs: list[DataFrame]) -> DataFrame:
+def contrast(rows: DataFrame, run: Column) -> DataFrame:
     """Examples where the answer is not in the first run's top 3, exactly at
     rank 2 in the second run and at rank 1 in the third and fourth
-    (case-sensitive).  Runs are (uuid, y, preds, probs) and are aligned on
-    uuid."""
-    r = [x.select("uuid", "y", F.col("preds").alias(f"p{i}"), F.col("probs").alias(f"q{i}"))
-         for i, x in enumerate(runs)]
-    j = r[0]
-    for x in r[1:]:
-        j = j.join(x.drop("y"), "uuid")
+    (case-sensitive).  ``rows`` are (uuid, y, preds, probs), ``run`` gives each
+    its run's number (0 to 3; null: none of them); one row for each uuid and
+    run, aligned on uuid by one aggregate."""
+    of = [F.when(F.col("_run") == i, F.struct("preds", "probs")) for i in range(4)]
+    j = rows.withColumn("_run", run).filter(F.col("_run").isNotNull()).groupBy("uuid").agg(
+        F.max(F.when(F.col("_run") == 0, F.col("y"))).alias("y"), *[F.max(x).alias(f"_{i}") for i, x in enumerate(of)])
+    j = reduce(DataFrame.filter, [F.col(f"_{i}").isNotNull() for i in range(4)], j)
+    j = j.select("uuid", "y", *[c for i in range(4) for c in (F.col(f"_{i}.preds").alias(f"p{i}"), F.col(f"_{i}.probs").alias(f"q{i}"))])
     cond = (~F.coalesce(F.array_contains(F.slice("p0", 1, 3), F.col("y")), F.lit(False))) \
         & (F.array_position("p1", F.col("y")) == 2) & (F.array_position("p2", F.col("y")) == 1) \
         & (F.array_position("p3", F.col("y")) == 1)

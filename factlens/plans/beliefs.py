@@ -238,8 +238,8 @@ ADAPTIVE_CTES = [CAT_CTE, ATT_CTE, """objs AS (SELECT DISTINCT scene, obj FROM a
   JOIN pool p ON p.scene = d.scene AND p.idx = {sq.HS("'draw'", 'd.scene', 'd.obj', 'd.j', str(SEED))} % s.n
 )""", """agg AS (SELECT scene, obj, string_agg(line, chr(10) ORDER BY perm, j) AS body, count(*) AS n FROM dl GROUP BY scene, obj)""",
                  """ap AS (
-  SELECT o.scene, o.obj, CAST(coalesce(a.n, 0) AS BIGINT) AS n_examples,
-         CASE WHEN a.body IS NULL THEN trim(o.obj || ' -> ') ELSE a.body || chr(10) || trim(o.obj || ' -> ') END AS prompt
+  SELECT o.scene, o.obj, CAST(coalesce(a.n, 1) AS BIGINT) AS n_examples,
+         coalesce(a.body, 'butter -> fridge') || chr(10) || trim(o.obj || ' -> ') AS prompt
   FROM objs o LEFT JOIN agg a ON o.scene = a.scene AND o.obj = a.obj
 )"""]
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from factlens.functions.hashing import TWO_POW_32, h32
 from factlens.operators.datasets import load_examples
+from factlens.operators.examples import known_answers
 from factlens.session import bounded_broadcast
 from factlens.sources.tables import table
 
@@ -131,17 +132,7 @@ def bats_examples(spark: SparkSession, d: str, vocab_df: DataFrame | None = None
     """Answers kept when in the vocabulary or its lower-cased copy (the answer
     itself is not lower-cased); a row stays even if no answer is left.
     Adds ``y`` (kept answers, in list order) and ``solvable``."""
-    raw = bats_raw(spark, d)
-    v = vocab_df if vocab_df is not None else vocab(spark, d)
-    allowed = v.select("token").union(v.select(F.lower("token").alias("token"))).distinct() \
-        .withColumn("_ok", F.lit(True))
-    allowed = bounded_broadcast(allowed, MAX_CANDIDATES)
-    ex = raw.select("rel", "subj", F.posexplode_outer("answers").alias("pos", "a"))
-    ex = ex.join(allowed, F.col("a") == F.col("token"), "left")
-    kept = ex.groupBy("rel", "subj").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_ok"), F.struct("pos", "a")))).alias("_k"))
-    out = raw.join(kept, ["rel", "subj"]).withColumn("y", F.col("_k.a")).drop("_k")
-    return out.withColumn("solvable", F.size("y") > 0)
+    return known_answers(bats_raw(spark, d), vocab_df if vocab_df is not None else vocab(spark, d))
 
 
 def part_examples(spark: SparkSession, d: str, vocab_df: DataFrame) -> DataFrame:

@@ -44,6 +44,12 @@ class Probe:
         self.examples = stored(spark, "examples", inputs, lambda: ex.valid_examples(self.dedup, self.vocab)
                                .withColumn("eid", F.monotonically_increasing_id()))
 
+    @property
+    def bats(self) -> DataFrame:
+        """The multi-answer examples, stored as the facts are."""
+        return stored(self.spark, "bats", [table_path(self.d, t) for t in FACT_TABLES],
+                      lambda: fx.bats_examples(self.spark, self.d, self.vocab))
+
     def topk(self, k: int = 20) -> DataFrame:
         logits = fx.count_scorer_logits(self.examples, self.facts)
         return sc.masked_topk(logits, self.vocab, k)

@@ -172,15 +172,14 @@ SELECT 'total', CAST(coalesce(sum(n_examples) FILTER (WHERE n_solvable > 0), 0)
 
 @register("bats_solvable", SOLVABLE_SQL)
 def bats_solvable(spark, d):
-    b = fx.bats_examples(spark, d)
-    per = b.groupBy("rel").agg(F.count(F.lit(1)).alias("n_examples"),
-                               F.sum(F.when(F.col("solvable"), 1).otherwise(0)).cast("bigint").alias("n_solvable"))
-    per = per.withColumn("kept", F.col("n_solvable") > 0)
-    total = per.agg(F.coalesce(F.sum(F.when(F.col("kept"), F.col("n_examples"))), F.lit(0)).cast("bigint").alias("n_examples"),
-                    F.coalesce(F.sum("n_solvable"), F.lit(0)).cast("bigint").alias("n_solvable")) \
-        .select(F.lit("total").alias("rel"), "n_examples", "n_solvable", F.lit(True).alias("kept"))
-    return per.select("rel", F.col("n_examples").cast("bigint").alias("n_examples"), "n_solvable", "kept") \
-        .unionByName(total)
+    per = Probe(spark, d).bats.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.count_if("solvable").alias("s"))
+    # the categories' rows and their total by one pass over them
+    out = per.groupingSets([["rel"], []], "rel").agg(
+        F.grouping("rel").alias("total"), F.sum("n").alias("n"), F.sum(F.when(F.col("s") > 0, F.col("n"))).alias("kept_n"), F.sum("s").alias("s"))
+    whole = F.col("total") == 1
+    return out.select(F.when(whole, "total").otherwise(F.col("rel")).alias("rel"),
+                      F.coalesce(F.when(whole, F.col("kept_n")).otherwise(F.col("n")), F.lit(0)).alias("n_examples"),
+                      F.coalesce("s", F.lit(0)).alias("n_solvable"), (whole | (F.col("s") > 0)).alias("kept"))
 
 
 BATS_K, BATS_SEED, BATS_FORMAT = 5, 2, "({}; {})"
@@ -218,10 +217,9 @@ def priming_bats(spark, d):
     solvable rows are drawn, each line with one of its answers."""
     def build():
         v = Probe(spark, d).vocab
-        b = fx.bats_examples(spark, d, v).select("uuid", "rel", "subj", "y", "solvable")
+        b = Probe(spark, d).bats.select("uuid", "rel", "subj", "y", "solvable")
         b = b.unionByName(fx.part_examples(spark, d, v))
-        keep = b.filter("solvable").select("rel").distinct()
-        return b.join(keep, "rel", "left_semi").withColumn("x", F.col("subj"))
+        return ex.solvable_relations(b).withColumn("x", F.col("subj"))
     e = stored(spark, "bats-priming", [table_path(d, t) for t in FACT_TABLES], build)
     return pr.prime_random(e, BATS_K, BATS_SEED, BATS_FORMAT, pool=e.filter("solvable")).select(
         "uuid", "rel", "solvable", "n_primes", "x_primed")

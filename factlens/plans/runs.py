@@ -103,9 +103,7 @@ def _trex_runs(spark, d):
 
 def _bats_runs(spark, d):
     p = Probe(spark, d)
-    b = fx.bats_examples(spark, d, p.vocab)
-    keep = b.groupBy("rel").agg(F.max(F.col("solvable").cast("int")).alias("_s")).filter("_s = 1").select("rel")
-    b = b.join(keep, "rel", "left_semi")
+    b = ex.solvable_relations(p.bats)
     cands = b.select("rel", F.explode("answers").alias("token")).groupBy("rel", "token") \
         .agg(F.count(F.lit(1)).alias("cnt"))
     preds = rn.run_predictions(b, cands, p.vocab, BATS_GRID, grid_logit, RUN_EXTRA, key="uuid",
@@ -496,9 +494,11 @@ WHERE NOT coalesce(list_contains(p0[1:3], r0.y), false) AND coalesce(list_positi
 def run_contrast(spark, d):
     r = run_predictions(spark, d).filter((F.col("data") == fx.DATASET) & (F.col("model") == CONTRAST_MODEL)
                                          & (F.col("random_seed") == 0))
-    runs = [r.filter((F.col("num_examples") == k) & (F.col("priming_type") == pt) & (F.col("use_close_examples") == ce))
-             .select("uuid", F.get("targets", 0).alias("y"), "preds", "probs") for k, pt, ce in CONTRAST_RUNS]
-    c = rp.contrast(runs).join(Probe(spark, d).examples.select("uuid", "x"), "uuid")
+    run = None
+    for i, (k, pt, ce) in enumerate(CONTRAST_RUNS):
+        here = (F.col("num_examples") == k) & (F.col("priming_type") == pt) & (F.col("use_close_examples") == ce)
+        run = F.when(here, i) if run is None else run.when(here, i)
+    c = rp.contrast(r.withColumn("y", F.get("targets", 0)), run).join(Probe(spark, d).examples.select("uuid", "x"), "uuid")
     out = c.select("uuid", "y", "x", *[x for i in range(4) for x in (
         F.array_join(F.slice(f"p{i}", 1, 3), "|").alias(f"top3_{i}"), F.get(f"q{i}", 0).alias(f"prob1_{i}"))])
     return rounded(out, [f"prob1_{i}" for i in range(4)])
@@ -532,7 +532,7 @@ def category_compare(spark, d):
                                  & (F.col("use_close_examples") == ce))
     rows = s.select(F.element_at(F.split("data", "_"), -1).alias("category"), "model", "p_at_1")
     names = fx.bats_category_names(spark, d)
-    b = fx.bats_examples(spark, d, Probe(spark, d).vocab)
+    b = Probe(spark, d).bats
     solv = b.groupBy(F.col("rel").alias("category")).agg(F.avg(F.col("solvable").cast("double")).alias("share"))
     out = rp.category_compare(spark, rows, names, solv, m)
     return rounded(out, ["p_at_1", "solvable_share"])

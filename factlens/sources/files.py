@@ -7,6 +7,8 @@ derived by Spark rather than by listing files on the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -24,6 +26,11 @@ SUMMARY_SCHEMA = ("data string, `p@1` double, `p@3` double, `p@5` double, `p@10`
                   "use_close_examples boolean, random_seed bigint")
 GLOVE_DENOMINATOR = 667
 MAX_SPLITS = 1_000_000
+RUN_KEY_SCHEMA = ("data string, model string, num_examples bigint, priming_type string, use_close_examples boolean, "
+                  "random_seed bigint")
+# fixed values: columns of a prediction file
+RUN_COLUMNS = ["_index", "uuid", "rel", "subj", "x", "y", "x_primed", "y_pred", "y_pred_prob"]
+MAX_CSV_FIELDS = 64
 # run files only: other CSVs in the folder (a summary) must not even be scanned,
 # since the first file's header would define the schema of all of them
 RUN_FILE_GLOB = "pe-*_nl-*_ce-*_rs-*.csv"
@@ -97,22 +104,25 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every prediction CSV below ``root`` whose path is a run path, with the
     run key parsed from the path and list literals parsed to arrays
     (S7, S8, S9, S10).  Other files (a summary kept in the same folder)
-    are ignored.  Adds ``parse_failed`` for literals that did not parse."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("recursiveFileLookup", True).option("pathGlobFilter", RUN_FILE_GLOB).csv(root))
-    df = df.withColumn("file_path", F.url_decode(F.col("_metadata.file_path"))).filter(ps.is_run_path(F.col("file_path")))
+    are ignored.  Adds ``parse_failed`` for literals that did not parse.
+
+    The columns are ``RUN_COLUMNS`` whatever a file has: each file's own first
+    record names its fields (files differ by the options of their runs), other
+    fields are left out and absent ones are null."""
+    fields = [f"c{i}" for i in range(MAX_CSV_FIELDS)]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in fields)).option("multiLine", True).option("escape", '"')
+           .option("recursiveFileLookup", True).option("pathGlobFilter", RUN_FILE_GLOB).csv(root))
+    raw = raw.select(F.url_decode(F.col("_metadata.file_path")).alias("file_path"), F.monotonically_increasing_id().alias("at"),
+                     F.array(*fields).alias("v")).filter(ps.is_run_path(F.col("file_path")))
+    heads = persisted(raw.groupBy("file_path").agg(F.min("at").alias("first"), F.min_by("v", "at").alias("names")), "headers")
+    rows = raw.join(bounded_broadcast(heads, MAX_SPLITS), "file_path").filter(F.col("at") != F.col("first"))
+    place = {c: F.array_position("names", F.lit(c)).cast("int") for c in RUN_COLUMNS}
+    df = rows.select("file_path", *[F.when(place[c] > 0, F.get("v", place[c] - 1)).alias(c) for c in RUN_COLUMNS])
     out = df.select("*", *ps.run_key(F.col("file_path")))
-    failed = F.lit(False)
-    if "y_pred" in df.columns:
-        out = out.withColumn("y_pred", ps.parse_list_literal(F.col("y_pred")))
-        failed = failed | F.col("y_pred").isNull()
-    if "y_pred_prob" in df.columns:
-        out = out.withColumn("y_pred_prob", ps.parse_list_literal(F.col("y_pred_prob"), "double"))
-        failed = failed | F.col("y_pred_prob").isNull()
-    if "y" in df.columns:
-        y = F.when(F.col("y").startswith("["), ps.parse_list_literal(F.col("y"))).otherwise(F.array(F.col("y")))
-        out = out.withColumn("targets", y)
-    return out.withColumn("parse_failed", failed)
+    y = F.when(F.col("y").startswith("["), ps.parse_list_literal(F.col("y"))).otherwise(F.array(F.col("y")))
+    lists = {"y_pred": ps.parse_list_literal(F.col("y_pred")), "y_pred_prob": ps.parse_list_literal(F.col("y_pred_prob"), "double")}
+    failed = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & lists[c].isNull() for c in lists])
+    return out.withColumn("parse_failed", failed).withColumn("targets", y).withColumns(lists)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -147,10 +157,17 @@ def read_solvable(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sinks
-def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_predictions(df: DataFrame, path: str) -> None:
     """Run predictions partitioned by run key (K1): a run is a folder, and a
-    reader filtering on the key prunes the others."""
-    df.write.mode(mode).partitionBy(*RUN_KEY).parquet(path)
+    reader filtering on the key prunes the others.  A run that is written
+    again replaces itself and leaves the other runs alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEY).parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The prediction store by a declared schema: ``columns`` (SQL types) and
+    the run key."""
+    return spark.read.schema(f"{columns}, {RUN_KEY_SCHEMA}").parquet(path)
 
 
 def write_solvable(df: DataFrame, path: str) -> None:

@@ -70,3 +70,11 @@ def test_nearest_name_ties_to_smaller(spark):
 def test_location_from_description(spark):
     df = spark.createDataFrame([("-= Kitchen =-\nYou see a fridge.",)], "d string")
     assert df.select(bl.location_from_description(F.col("d")).alias("l")).first().l == "kitchen"
+
+
+def test_a_scene_without_fitting_objects_is_primed_by_the_fallback(spark):
+    objs = spark.createDataFrame([(1, "cup"), (2, "cup")], "scene long, name string")
+    conts = spark.createDataFrame([(1, "shelf"), (2, "attic")], "scene long, name string")
+    cat = spark.createDataFrame([("plate", ["shelf"]), ("cup", ["attic", "shelf"])], "name string, locations array<string>")
+    got = {r.scene: (r.n_examples, r.prompt) for r in bl.adaptive_priming(objs, conts, cat, 3, "{} -> {}", 0).collect()}
+    assert got == {1: (1, "plate -> shelf\ncup ->"), 2: (1, "butter -> fridge\ncup ->")}

@@ -57,3 +57,11 @@ def test_other_solutions_from_raw_rows(spark):
     assert o[("France", "Spain")] == ["Atlantis", "Italy"]
     assert o[("France", "Italy")] == ["Atlantis", "Spain"]
     assert o[("Bern", "Paris")] == []
+
+
+def test_known_answers_and_solvable_relations(spark):
+    rows = spark.createDataFrame([("r1", "a", ["x", "Q", "y"]), ("r1", "b", ["z"]), ("r2", "c", []), ("r2", "d", None)],
+                                 "rel string, subj string, answers array<string>")
+    known = ex.known_answers(rows, spark.createDataFrame([("X",), ("y",)], "token string"))
+    assert {r.subj: (r.y, r.solvable) for r in known.collect()} == {"a": (["x", "y"], True), "b": ([], False), "c": ([], False), "d": ([], False)}
+    assert {r.subj for r in ex.solvable_relations(known).collect()} == {"a", "b"}

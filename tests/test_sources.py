@@ -101,3 +101,30 @@ def test_numbered_lines_over_splits_equal_whole_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_run_files_with_other_columns_keep_their_names(spark):
+    d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp"))
+    _write(f"{d}/TREx/m/pe-0_nl-nl_ce-False_rs-0.csv", ",uuid,x,y,y_pred,y_pred_prob\n0,u1,a [MASK],p,\"['p']\",[0.5]\n1,u2,b,q,oops,[0.25]\n")
+    _write(f"{d}/TREx/m/pe-1_nl-nl_ce-False_rs-0.csv", ",y,cls_embedding,uuid,y_pred,x_primed\n0,\"['v', 'w']\",\"[1, 2]\",u3,\"['w']\",pp\n")
+    _write(f"{d}/TREx/m/pe-3_nl-nl_ce-False_rs-0.csv", ",uuid,y\n")
+    got = {r.uuid: r for r in fl.read_runs(spark, d).collect()}
+    assert set(got) == {"u1", "u2", "u3"}
+    assert got["u1"].y_pred == ["p"] and got["u1"].y_pred_prob == [0.5] and not got["u1"].parse_failed
+    assert got["u2"].parse_failed and got["u2"].targets == ["q"]
+    u3 = got["u3"]
+    assert u3.targets == ["v", "w"] and u3.y_pred == ["w"] and u3.x_primed == "pp" and u3.x is None and u3.num_examples == 1 and not u3.parse_failed
+
+
+def test_a_run_written_again_replaces_itself(spark):
+    d = tempfile.mkdtemp(dir=os.environ.get("TMPDIR", "/tmp")) + "/preds"
+    schema = "uuid string, p double, " + fl.RUN_KEY_SCHEMA
+
+    def rows(seed, p):
+        return spark.createDataFrame([(f"u{i}", p, "TREx", "m", 3, "nl", False, seed) for i in range(3)], schema)
+
+    fl.write_predictions(rows(0, 0.1).union(rows(1, 0.2)).union(rows(2, 0.3)), d)
+    fl.write_predictions(rows(1, 0.9), d)
+    back = fl.read_predictions(spark, d, "uuid string, p double")
+    assert sorted((r.random_seed, r.p) for r in back.collect()) == [(0, 0.1)] * 3 + [(1, 0.9)] * 3 + [(2, 0.3)] * 3
+    assert [f.dataType.simpleString() for f in back.schema.fields][-1] == "bigint"
