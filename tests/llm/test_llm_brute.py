@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import zstandard
 
-from factlens.llm import langid, secret_scan
+from factlens.llm import langid, license_scan, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,3 +136,54 @@ def test_language_model_against_dense_training(spark):
                 assert r["lang_pred"] == labels[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-9
         else:
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+# --- 9: alignment over the full matrix, all templates ----------------------
+def full_alignment(words, template):
+    """Score of the best local alignment, and the most matches with it."""
+    n = len(words)
+    j = np.arange(n)
+    score, match, best = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), (0, 0)
+    for w in template:
+        same = words == w
+        new, new_match = score[:-1] + np.where(same, 1, -1), match[:-1] + same
+        for other, its in ((score[1:] - 1, match[1:]),):
+            take = (other > new) | ((other == new) & (its > new_match))
+            new, new_match = np.where(take, other, new), np.where(take, its, new_match)
+        # words of the text without a template word: a running best, matches with equal scores compared
+        key = (new + j) * (1 << 20) + new_match
+        top = np.maximum.accumulate(key)
+        new, new_match = (top >> 20) - j, top & ((1 << 20) - 1)
+        alive = new > 0
+        score[1:], match[1:] = np.where(alive, new, 0), np.where(alive, new_match, 0)
+        k = int((score * (1 << 20) + match).argmax())
+        best = max(best, (int(score[k]), int(match[k])))
+    return best
+
+
+def test_license_scan_against_full_alignments_with_all_templates(spark):
+    rng = random.Random(6)
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    filler = ["lorem", "ipsum", "dolor", "the", "of", "this", "software", "amet", "and", "with"]
+    picked = rng.sample([k for k, w in enumerate(known.words) if license_scan.SHORT <= len(w) < 1500], 5)
+    texts, planted = [], []
+    for k in picked:
+        words = license_scan.WORD.findall(license_scan.TEMPLATES[known.names[k]].encode().lower())
+        for _ in range(len(words) // 25):  # replaced, left out and added words
+            i = rng.randrange(len(words))
+            words[i:i + 1] = rng.choice([[b"changed"], [], [words[i], b"added"]])
+        around = [" ".join(rng.choice(filler) for _ in range(30)) for _ in range(2)]
+        texts.append(around[0] + " " + b" ".join(words).decode() + " " + around[1])
+        planted.append(known.names[k])
+    texts.append(" ".join(rng.choice(filler) for _ in range(300)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["license"], x["matched"]) for x in r["licenses"]] for r in license_scan.scan(df).collect()}
+    for i, text in enumerate(texts):
+        words = np.array([known.vocabulary.get(w, -1) for w in license_scan.WORD.findall(text.encode().lower())])
+        found = [(*full_alignment(words, t.tolist()), k) for k, t in enumerate(known.words) if len(t) >= license_scan.SHORT]
+        enough = sorted(((-s, -m / len(known.words[k]), k, m) for s, m, k in found if m >= license_scan.MIN_COVER * len(known.words[k])))
+        if i < len(planted):
+            assert known.names[enough[0][2]] == planted[i]
+            assert [x for x in got[i] if x[0] == planted[i]] == [(planted[i], enough[0][3])]
+        else:
+            assert not enough and got[i] == []
