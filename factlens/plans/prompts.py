@@ -295,3 +295,19 @@ def prompt_length(spark, d):
     bench = table(spark, d, "benchmark").select(token_count(F.col("text")).alias("t"))
     out = mean(docs, "documents").unionByName(mean(conv, "conversations")).unionByName(mean(bench, "benchmark"))
     return rounded(out, ["mean_tokens"])
+
+
+LONG_SQL = f"""WITH v AS (SELECT DISTINCT source AS token FROM documents WHERE {sq.H('source')} % 5 <> 0)
+SELECT doc_id AS uuid, lang AS rel, source AS y, {sq.TOKENS('text')} AS n_tokens FROM documents
+WHERE coalesce(length(source), 0) > 0 AND coalesce(length(lang), 0) > 0 AND {sq.TOKENS('text')} <= 100 AND source IN (SELECT token FROM v)"""
+
+
+@register("long_prompt_filter", LONG_SQL)
+def long_prompt_filter(spark, d):
+    """The validity rule on prompts of any length: documents as prompts, their
+    sources as answers, some of them out of vocabulary."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    rows = docs.select(F.col("doc_id").alias("uuid"), F.col("lang").alias("rel"), F.col("lang").alias("subj"),
+                       F.col("source").alias("y"), F.col("text").alias("x"))
+    vocab = fx.vocab(spark, d, rows.select(F.col("y").alias("obj")))
+    return ex.valid_examples(rows, vocab).select("uuid", "rel", "y", token_count(F.col("x")).cast("bigint").alias("n_tokens"))

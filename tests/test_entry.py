@@ -25,7 +25,7 @@ def test_modules_import_without_a_session():
     import sys
     code = ("import sys; sys.path.insert(0, '.'); import importlib, pkgutil, factlens\n"
             "[importlib.import_module(m.name) for m in pkgutil.walk_packages(factlens.__path__, 'factlens.')]\n"
-            "import re, __spark_entry__ as E; own = lambda d: [k for k in d if not re.match('op[0-9]+_|pipeline$', k)]; assert len(own(E.queries())) == 53 and len(own(E.oracle_sql())) == 53")
+            "import re, __spark_entry__ as E; own = lambda d: [k for k in d if not re.match('op[0-9]+_|pipeline$', k)]; assert len(own(E.queries())) == 54 and len(own(E.oracle_sql())) == 54")
     import os
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     r = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
