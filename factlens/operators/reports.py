@@ -180,17 +180,16 @@ GLOVE_HITS = [
     ("E01", 652), ("E02", 211), ("E03", 333), ("E04", 225), ("E05", 250),
     ("E06", 9), ("E07", 12), ("E08", 6), ("E09", 141), ("E10", 290),
 ]
-GLOVE_DENOMINATOR = 667
 CATEGORY_ORDER = ["I", "D", "L", "E"]
 
 
-def category_compare(spark: SparkSession, model_rows: DataFrame, names: DataFrame, solvable: DataFrame,
-                     share_model: str) -> DataFrame:
-    """Per-category P@1 of a model next to the GloVe baseline, with the
-    category's full name, its solvable share (kept for ``share_model`` only,
-    0 for the others) and the custom I, D, L, E order."""
-    glove = spark.createDataFrame(GLOVE_HITS, "category string, hits bigint").select(
-        "category", F.lit("GloVe").alias("model"), (F.col("hits") / F.lit(float(GLOVE_DENOMINATOR))).alias("p_at_1"))
+def category_compare(model_rows: DataFrame, names: DataFrame, solvable: DataFrame, share_model: str,
+                     baseline: DataFrame) -> DataFrame:
+    """Per-category P@1 of a model next to the GloVe baseline (category,
+    p_at_1: ``read_baseline_counts``), with the category's full name, its
+    solvable share (kept for ``share_model`` only, 0 for the others) and the
+    custom I, D, L, E order."""
+    glove = baseline.select("category", F.lit("GloVe").alias("model"), "p_at_1")
     rows = model_rows.select("category", "model", "p_at_1").unionByName(glove)
     j = rows.join(names, "category", "left").join(solvable, "category", "left")
     order = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), F.substring("category", 1, 1))

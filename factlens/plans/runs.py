@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,8 @@ from factlens.plans import fixtures as fx
 from factlens.plans import sqlparts as sq
 from factlens.plans.common import rounded
 from factlens.plans.probe import BASE, FACT_TABLES, Probe
+from factlens.session import ensure_checkpoint_dir
+from factlens.sources.files import GLOVE_DENOMINATOR, read_baseline_counts
 from factlens.sources.tables import table_path
 from factlens.store import stored
 from factlens.streaming.summaries import merge_sums, run_sums, summary_of_sums
@@ -514,7 +517,7 @@ CATEGORY_SQL = sq.with_(*RUNS_CTES, f"""mrows AS (
 )""", "glove(category, hits) AS (VALUES " + ", ".join(f"('{c}', {h})" for c, h in rp.GLOVE_HITS) + ")",
                         f"""crows AS (
   SELECT category, model, p_at_1 FROM mrows
-  UNION ALL SELECT category, 'GloVe', hits / {float(rp.GLOVE_DENOMINATOR)!r}e0 FROM glove
+  UNION ALL SELECT category, 'GloVe', hits / {float(GLOVE_DENOMINATOR)!r}e0 FROM glove
 )""", f"""names AS (SELECT {CAT_CODE_SQL} AS category, {CAT_CODE_SQL} || ' ' || n_name AS name FROM nation)""",
                         """solv AS (SELECT rel AS category, avg(CASE WHEN solvable THEN 1.0e0 ELSE 0.0e0 END) AS share
   FROM bats GROUP BY rel)""") + f"""SELECT r.category, coalesce(n.name, r.category) AS name, r.model,
@@ -524,6 +527,14 @@ CATEGORY_SQL = sq.with_(*RUNS_CTES, f"""mrows AS (
 FROM crows r LEFT JOIN names n ON r.category = n.category LEFT JOIN solv s ON r.category = s.category"""
 
 
+def _baseline(spark) -> DataFrame:
+    """The baseline counts, written as the text file that they come in and read by its reader."""
+    lines = [f"{category} {hits}" for category, hits in rp.GLOVE_HITS]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/factlens-baseline-{uuid.uuid4().hex}"
+    spark.createDataFrame(lines, "string").coalesce(1).write.text(path)
+    return read_baseline_counts(spark, path)
+
+
 @register("category_compare", CATEGORY_SQL)
 def category_compare(spark, d):
     m, k, pt, ce = CATEGORY_RUN
@@ -534,5 +545,5 @@ def category_compare(spark, d):
     names = fx.bats_category_names(spark, d)
     b = Probe(spark, d).bats
     solv = b.groupBy(F.col("rel").alias("category")).agg(F.avg(F.col("solvable").cast("double")).alias("share"))
-    out = rp.category_compare(spark, rows, names, solv, m)
+    out = rp.category_compare(rows, names, solv, m, _baseline(spark))
     return rounded(out, ["p_at_1", "solvable_share"])
