@@ -464,4 +464,4 @@ def test_line_dedup_with_text_ids(spark):
 
 # --- queries ---------------------------------------------------------------
 def test_every_operator_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
