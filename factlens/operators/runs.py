@@ -113,7 +113,7 @@ def run_predictions(examples: DataFrame, candidates: DataFrame, vocab: DataFrame
     keys = ("run_id", key)
     # with the candidates broadcast, an example's rows follow one another in one task
     top = sc.topk_arrays(logits, None, k, keys) if small is cands else sc.placed_topk_arrays(logits, key, k, keys)
-    return top.select(*keys, "preds", F.transform("preds", F.lower).alias("preds_l"), "probs")
+    return sc.lowered(top).select(*keys, "preds", "preds_l", "probs")
 
 
 def run_metrics(preds: DataFrame, examples: DataFrame, targets: F.Column, configs: list[tuple],

@@ -139,6 +139,11 @@ def topk_arrays(logits: DataFrame, vocab: DataFrame | None, k: int = 20, keys: t
                        F.transform("_t", lambda x: -x["down"]).alias("logits"))
 
 
+def lowered(arrays: DataFrame) -> DataFrame:
+    """``arrays`` with ``preds_l``, the predictions in lower case (for the metrics)."""
+    return arrays.withColumn("preds_l", F.transform("preds", F.lower))
+
+
 def masked_topk(logits: DataFrame, vocab: DataFrame | None, k: int = 20,
                 keys: tuple[str, ...] = ("uuid",)) -> DataFrame:
     """Long form top-k: ``keys..., rank, token, logit, prob``.

@@ -55,7 +55,8 @@ class Probe:
         return sc.masked_topk(logits, self.vocab, k)
 
     def metrics(self) -> DataFrame:
-        preds = sc.prediction_arrays(self.topk())
+        logits = fx.count_scorer_logits(self.examples, self.facts)
+        preds = sc.lowered(sc.topk_arrays(logits, self.vocab)).drop("logits")
         j = self.examples.join(preds, "uuid", "left").withColumn("targets", F.array("y"))
         return ev.example_metrics(j)
 

@@ -116,7 +116,7 @@ def primed_metrics(spark, d):
     chain from facts to metrics by relation."""
     e, ix = _pool(spark, d)
     primed = pr.prime_random(e, k=3, seed=0, priming="nl", index=ix)
-    preds = sc.prediction_arrays(sc.masked_topk(sc.score_prompts(primed, word_count_scorer), Probe(spark, d).vocab))
+    preds = sc.lowered(sc.topk_arrays(sc.score_prompts(primed, word_count_scorer), Probe(spark, d).vocab)).drop("logits")
     m = ev.example_metrics(e.join(preds, "uuid", "left").withColumn("targets", F.array("y")))
     return rounded(ev.relation_metrics(m), ev.METRIC_COLS)
 
