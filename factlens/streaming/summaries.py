@@ -68,11 +68,12 @@ def row_changes(rows: DataFrame, row_key: str) -> DataFrame:
     return keyed.groupBy(*rn.CONFIG_COLS, "row_key").transformWithStateInPandas(LastRow(), CHANGE_SCHEMA, "update", "none")
 
 
-def run_sums(changes: DataFrame) -> DataFrame:
-    """Sums and counts for each run and relation from signed rows.  Decimal
-    sums are exact, so a retraction takes away just what was added."""
+def run_sums(changes: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and counts for each run and relation (and each value of the columns
+    ``apart``) from signed rows.  Decimal sums are exact, so a retraction takes
+    away just what was added."""
     sums = [F.sum(F.get("m", F.lit(i)).cast(_EXACT) * F.col("sign").cast("decimal(1,0)")).cast(_EXACT).alias(s) for i, s in enumerate(SUM_COLS)]
-    return changes.groupBy(*rn.CONFIG_COLS, "rel").agg(F.sum("sign").cast("bigint").alias("n"), *sums)
+    return changes.groupBy(*apart, *rn.CONFIG_COLS, "rel").agg(F.sum("sign").cast("bigint").alias("n"), *sums)
 
 
 def merge_sums(old: DataFrame | None, new: DataFrame) -> DataFrame:
