@@ -4,11 +4,13 @@ sim(i, j) = <s_i, s_j> / |s_j|^2 (the candidate's squared norm: not cosine,
 not symmetric).  Every subject keeps its top k (self included), ordered by
 similarity descending then id ascending.
 
-Exact top-k without emitting all pairs: subjects are put into blocks of at
-most about ``block_rows``, and a cell of two blocks multiplies two bounded
-matrices in numpy.  <s_i, s_j> serves both subjects, so a cell finds the
-candidates of either block's rows in the other and B blocks make B (B + 1) / 2
-cells; a cell returns its k best for each row, and a window keeps k of them.
+Exact top-k without emitting all pairs: subjects are put into blocks, and
+bundles of at most about ``BUNDLE_ROWS`` subjects are the tasks.  A bundle
+keeps a list of the k best so far for each of its rows, reads the rows of the
+blocks that its cells name as a stream, multiplies them in numpy and takes up
+what reaches a row's k-th best.  Only whole lists leave a task, so k rows a
+subject are written whatever the number of blocks, and what is shuffled are
+the vectors, once for each bundle.
 
 Above ``prune_rows`` subjects the blocks are clusters: a subject goes to the
 pivot (a bounded hash sample of subjects) nearest by direction and norm, and a
@@ -17,8 +19,8 @@ and its norm interval, so a pair of blocks bounds all similarities in its cell
 (|s_i| cos(angle between the pivots less both radii) / |s_j|).  The first
 round forms the cells of the nearest blocks, as many as hold ``near`` * k
 subjects; the least k-th best of a block's rows so far is its threshold, and
-the second round forms those cells alone that can reach a threshold, where
-each row returns only what reaches its own k-th best.
+the second round forms those cells alone that can reach a threshold, and goes
+on from the lists of the first.
 
 ``extend_topk`` adds subjects to an index: only new x all cells are formed,
 and the old rows' k-th best are their thresholds.
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,11 @@ CHUNK_ROWS = 1024
 MAX_GROUPS = 1_000_000
 MAX_PIVOTS = 4096
 MAX_CELLS = 1_000_000
-PAIR_SCHEMA = "i long, j long, sim double"
+#: Rows of a task: their lists are held in memory, k entries each.
+BUNDLE_ROWS = 32_768
+#: Rows of a partition where lists are ranked anew.
+RANK_ROWS = 1_000_000
+LIST_SCHEMA = "id long, js array<long>, sims array<double>"
 #: Relative room for the rounding of bounds and products.
 SLACK = 1e-9
 
@@ -61,55 +68,136 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def _pairs(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[pd.DataFrame]:
-    """The k best candidates of each row of q in c that reach the row's ``floor``."""
-    C, Q = _matrix(c["vec"]), _matrix(q["vec"])
-    cid, qid = c["id"].to_numpy(dtype=np.int64), q["id"].to_numpy(dtype=np.int64)
-    nn = np.einsum("ij,ij->i", C, C)
-    inv = np.where(nn > 0, 1.0 / np.where(nn > 0, nn, 1.0), np.nan)
-    floor = q["floor"].to_numpy(dtype=np.float64)
-    floor = np.where(np.isnan(floor), -np.inf, floor - SLACK * np.abs(floor))
-    out = []
-    nc = len(cid)
-    for s in range(0, len(qid), CHUNK_ROWS):
-        S = (Q[s:s + CHUNK_ROWS] @ C.T) * inv[None, :]
+def _dense(vectors: pa.ListArray) -> np.ndarray:
+    """A column of equally long vectors as a matrix."""
+    lengths = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    if vectors.null_count or len(lengths) > 1:
+        raise ValueError("all vectors have to be there, with one length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), int(lengths[0]))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+class _Lists:
+    """The k best candidates so far of at most ``CHUNK_ROWS`` rows."""
+
+    def __init__(self, rows: pa.RecordBatch, k: int):
+        self.ids, self.Q, self.k = _numbers(rows.column("id")), _dense(rows.column("vec")), k
+        floor = _numbers(rows.column("floor")).astype(np.float64)
+        self.floor = np.where(np.isnan(floor), -np.inf, floor - SLACK * np.abs(floor))
+        seeds = rows.column("js")
+        sizes = np.nan_to_num(seeds.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(int)
+        self.found = [(np.repeat(np.arange(len(self.ids)), sizes), _numbers(seeds.flatten()).astype(np.int64),
+                       _numbers(rows.column("sims").flatten()).astype(np.float64))]
+        self.waiting = 0
+        self.merge()
+
+    def merge(self) -> None:
+        """Keeps the k best of what was found; rows that have k know their floor."""
+        r, j, sim = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((j, -sim, r))
+        r, j, sim = r[order], j[order], sim[order]
+        at = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+        last = at == self.k - 1
+        self.floor[r[last]] = np.maximum(self.floor[r[last]], sim[last])
+        keep = at < self.k
+        self.found, self.waiting = [(r[keep], j[keep], sim[keep])], 0
+
+    def add(self, ids: np.ndarray, C: np.ndarray, inv: np.ndarray) -> None:
+        S = (self.Q @ C.T) * inv[None, :]
         S = np.where(np.isnan(S), -np.inf, S)
-        least = floor[s:s + CHUNK_ROWS]
-        if nc > k:
-            least = np.maximum(least, np.partition(S, nc - k, axis=1)[:, nc - k])
-        r, cc = np.nonzero(S >= least[:, None])
-        sv = S[r, cc]
-        order = np.lexsort((cid[cc], -sv, r))
-        r, cc, sv = r[order], cc[order], sv[order]
-        pos = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-        keep = pos < k
-        out.append(pd.DataFrame({"i": qid[s:s + CHUNK_ROWS][r[keep]], "j": cid[cc[keep]], "sim": sv[keep]}))
-    return out
-
-
-def _cell(k: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if rows["a"].iloc[0] == rows["b"].iloc[0]:
-            out = _pairs(one, one, k)
-        else:
-            out = _pairs(one, two, k) + _pairs(two, one, k) if len(one) and len(two) else []
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"i": pd.Series([], dtype="int64"), "j": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
+        hits = S >= self.floor[:, None]
+        if len(ids) > self.k and np.count_nonzero(hits) > 2 * self.k * len(self.ids):
+            least = np.partition(S, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            hits &= S >= least[:, None]
+        r, c = np.nonzero(hits)
+        self.found.append((r, ids[c], S[r, c]))
+        self.waiting += len(r)
+        if self.waiting >= self.k * len(self.ids):
+            self.merge()
+
+    def lists(self) -> pa.RecordBatch:
+        self.merge()
+        r, j, sim = self.found[0]
+        ends = np.searchsorted(r, np.arange(len(self.ids) + 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(j, pa.int64())),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(sim, pa.float64()))], ["id", "js", "sims"])
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, pa.RecordBatch]]:
+    """(bundle, side, block, rows) of each run of equal ones."""
+    keys = np.stack([_numbers(batch.column(c)) for c in ("bundle", "side", "block")], axis=1)
+    starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+    for s, e in zip(starts[:-1], starts[1:], strict=True):
+        if e > s:
+            yield *keys[s].tolist(), batch.slice(s, e - s)
+
+
+def _bundles(k: int):
+    """Lists of each bundle's rows (side 0) from its cells (side 1: candidate
+    block, row block) and its candidates (side 2), which come in this order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lists, cells = None, {}, {}
+        for batch in batches:
+            for bundle, side, block, rows in _runs(batch):
+                if bundle != at:
+                    yield from (one.lists() for block_lists in lists.values() for one in block_lists)
+                    at, lists, cells = bundle, {}, {}
+                if side == 0:
+                    lists.setdefault(block, []).extend(
+                        _Lists(rows.slice(s, CHUNK_ROWS), k) for s in range(0, rows.num_rows, CHUNK_ROWS))
+                elif side == 1:
+                    cells.setdefault(block, []).extend(_numbers(rows.column("id")).tolist())
+                else:
+                    ids, C = _numbers(rows.column("id")).astype(np.int64), _dense(rows.column("vec"))
+                    nn = np.einsum("ij,ij->i", C, C)
+                    inv = np.where(nn > 0, 1.0 / np.where(nn > 0, nn, 1.0), np.nan)
+                    for own in cells.get(block, []):
+                        for one in lists.get(own, []):
+                            one.add(ids, C, inv)
+        yield from (one.lists() for block_lists in lists.values() for one in block_lists)
     return run
 
 
-def _multiply(rows: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """``i, j, sim`` of the cells (a, b), a <= b: rows have block, id, vec, floor."""
-    sides = cells.select(F.col("a").alias("block"), "a", "b", F.lit(0).alias("side")).union(
-        cells.filter(F.col("a") < F.col("b")).select(F.col("b").alias("block"), "a", "b", F.lit(1).alias("side")))
-    dealt = rows.join(bounded_broadcast(sides, 2 * MAX_CELLS), "block").select("a", "b", "side", "id", "vec", "floor")
-    return dealt.groupBy("a", "b").applyInPandas(_cell(k), PAIR_SCHEMA)
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
+def _multiply(rows: DataFrame, cells: DataFrame, k: int, bundles: int, bundle=lambda block: block) -> DataFrame:
+    """``id, js, sims``: the list of every row, by the cells (a, b) of row block
+    and candidate block.  Rows have block, id, vec, floor and the list that they
+    start with (js, sims), or nulls; ``bundle`` gives a block's bundle."""
+    cells = cells.select(bundle(F.col("a")).cast("int").alias("bundle"), "a", F.col("b").alias("block"))
+    shape = ["bundle", "side", "block", "id", "vec", "floor", "js", "sims"]
+    none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("vec", "floor", "js", "sims")}
+    queries = rows.withColumns({"bundle": bundle(F.col("block")).cast("int"), "side": F.lit(0)})
+    named = cells.select("bundle", F.lit(1).alias("side"), "block", F.col("a").cast("bigint").alias("id")).withColumns(none)
+    sides = bounded_broadcast(cells.select("bundle", "block").distinct(), 2 * MAX_CELLS)
+    candidates = rows.select("block", "id", "vec").join(sides, "block").withColumns(
+        {"side": F.lit(2)} | {c: none[c] for c in ("floor", "js", "sims")})
+    dealt = queries.select(shape).union(named.select(shape)).union(candidates.select(shape))
+    # a number of partitions that stays: small vectors make long tasks
+    dealt = dealt.repartition(3 * bundles, "bundle").sortWithinPartitions("bundle", "side", "block")
+    return dealt.mapInArrow(_bundles(k), LIST_SCHEMA)
+
+
+def _start(rows: DataFrame) -> DataFrame:
+    """``rows`` without a floor, with empty lists to start with."""
+    return rows.withColumns({"floor": F.lit(None).cast("double"), "js": F.lit(None).cast("array<bigint>"),
+                             "sims": F.lit(None).cast("array<double>")})
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    """``i, j, rank, sim`` of the lists."""
+    return lists.select(F.col("id").alias("i"), F.posexplode(F.arrays_zip("js", "sims")).alias("_at", "_p")).select(
+        "i", F.col("_p.js").alias("j"), (F.col("_at") + 1).cast("bigint").alias("rank"), F.col("_p.sims").alias("sim"))
+
+
+def _best(pairs: DataFrame, k: int, rows: int) -> DataFrame:
+    """The k best of each i; ``rows`` is about the number of pairs."""
+    # dealt first: the window's limit would sort the pairs as they are read, whole files at a time
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / RANK_ROWS))
     w = Window.partitionBy("i").orderBy(F.col("sim").desc(), F.col("j").asc())
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+    return pairs.repartition(tasks, "i").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
                 .select("i", "j", F.col("rank").cast("bigint").alias("rank"), "sim")
 
 
@@ -129,15 +217,20 @@ def _hash_blocks(v: DataFrame, blocks: int) -> DataFrame:
 
 
 def _least_blocks(v: DataFrame) -> int:
-    """Blocks whose cells are at least two for each core."""
-    return math.ceil(math.sqrt(4 * v.sparkSession.sparkContext.defaultParallelism))
+    """Two blocks for each core."""
+    return 2 * v.sparkSession.sparkContext.defaultParallelism
 
 
 def _all_cells(v: DataFrame, blocks: int) -> DataFrame:
-    every = F.sequence(F.col("a"), F.lit(blocks - 1))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
     return v.sparkSession.range(blocks).select(F.col("id").cast("int").alias("a")).select("a", F.explode(every).alias("b"))
 
 
+def _both_ways(cells: DataFrame) -> DataFrame:
+    """Cells (a, b), a <= b, for the rows of either block."""
+    return cells.union(cells.filter(F.col("a") < F.col("b")).select("b", "a"))
+
+
 class _Clusters:
     """Blocks around pivots, and the bounds of their cells."""
 
@@ -184,6 +277,13 @@ class _Clusters:
                                                 F.max("norm").alias("h")).collect():
             self.size[r["block"]], self.angle[r["block"]], self.low[r["block"]], self.high[r["block"]] = r["n"], r["x"], r["l"], r["h"]
 
+    def bundles(self, rows: int):
+        """Number of bundles of about ``rows`` rows in blocks that follow one
+        another, and the bundle of a block."""
+        of = ((np.cumsum(self.size) - self.size) // rows).astype(int)
+        of = np.unique(of, return_inverse=True)[1]
+        return int(of.max()) + 1, lambda block: F.element_at(F.lit(of.tolist()), block + 1)
+
     def bounds(self, a: int) -> tuple[np.ndarray, np.ndarray]:
         """Upper bounds of sim(a's rows, b's rows) and sim(b's, a's) for all blocks b."""
         unit = np.vstack([self.unit, np.zeros((1, self.unit.shape[1]))]) if len(self.unit) else np.zeros((1, 1))
@@ -253,23 +353,23 @@ def search(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str =
     if subjects < n:  # a subject is listed once, whatever the number of its rows
         v, n = v.groupBy("id").agg(F.min("vec").alias("vec")), subjects
     if n <= prune_rows:
-        blocks = max(_least_blocks(v), math.ceil(n / block_rows))
-        rows = _hash_blocks(v, blocks).withColumn("floor", F.lit(None).cast("double"))
+        blocks = max(_least_blocks(v), math.ceil(n / min(block_rows, BUNDLE_ROWS)))
         cells = blocks * (blocks + 1) // 2
-        return Search(_best(_multiply(rows, _all_cells(v, blocks), k), k), cells, cells)
+        return Search(_ranked(_multiply(_start(_hash_blocks(v, blocks)), _all_cells(v, blocks), k, blocks)), cells, cells)
     known = _Clusters(v, n, block_rows)
+    bundles, bundle = known.bundles(min(BUNDLE_ROWS, math.ceil(n / _least_blocks(v))))
     rows = known.rows.select("id", "vec", "block")
     first = persisted(known.cells(_nearest_blocks(near * k)), "cells")
-    best = persisted(_best(_multiply(rows.withColumn("floor", F.lit(None).cast("double")), first, k), k), "nearest")
-    floored = persisted(rows.join(_floors(best, k), "id", "left"), "floors")
+    best = persisted(_multiply(_start(rows), _both_ways(first), k, bundles, bundle), "nearest")
+    floor = F.when(F.size("js") >= k, F.element_at("sims", k))
+    floored = persisted(rows.join(best.withColumn("floor", floor), "id", "left"), "floors")
     threshold = np.full(known.blocks, -np.inf)
     for r in floored.groupBy("block").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("t")).collect():
         threshold[r["block"]] = r["t"] - SLACK * abs(r["t"]) if math.isfinite(r["t"]) else r["t"]
     rest = persisted(known.cells(_blocks_within(threshold)).join(first, ["a", "b"], "left_anti"), "cells")
     full = int((known.size > 0).sum())
     formed = first.count() + rest.count()
-    both = best.select("i", "j", "sim").unionByName(_multiply(floored, rest, k))
-    return Search(_best(both, k), full * (full + 1) // 2, formed)
+    return Search(_ranked(_multiply(floored, _both_ways(rest), k, bundles, bundle)), full * (full + 1) // 2, formed)
 
 
 def projection_topk(vectors: DataFrame, k: int = 301, id_col: str = "id", vec_col: str = "vec",
@@ -287,14 +387,13 @@ def extend_topk(topk: DataFrame, old: DataFrame, new: DataFrame, k: int = 301, i
     v = _vectors(new, id_col, vec_col).join(o.select("id"), "id", "left_anti").dropDuplicates(["id"])
     v = persisted(v, "new")
     n_old, n_new = o.count(), v.count()
-    few = max(1, math.ceil(n_new / block_rows))
-    many = max(math.ceil(2 * o.sparkSession.sparkContext.defaultParallelism / few), math.ceil(n_old / block_rows))
-    rows = _hash_blocks(o, many).join(_floors(topk, k), "id", "left").unionByName(
-        _hash_blocks(v, few).withColumn("block", F.col("block") + many).withColumn("floor", F.lit(None).cast("double")))
+    few, many = (max(_least_blocks(o), math.ceil(n / min(block_rows, BUNDLE_ROWS))) for n in (n_new, n_old))
+    blank = _start(_hash_blocks(v, few).withColumn("block", F.col("block") + many))
+    rows = _start(_hash_blocks(o, many)).drop("floor").join(_floors(topk, k), "id", "left").unionByName(blank)
     fresh = o.sparkSession.range(many, many + few).select(F.col("id").cast("int").alias("b"))
     cells = fresh.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("a"), "b")
-    pairs = topk.select("i", "j", "sim").unionByName(_multiply(rows, cells, k))
-    return _best(pairs, k)
+    found = _ranked(_multiply(rows, _both_ways(cells), k, many + few)).select("i", "j", "sim")
+    return _best(topk.select("i", "j", "sim").unionByName(found), k, (n_old + n_new) * k)
 
 
 UNRANKED, SELF = 400, 1000

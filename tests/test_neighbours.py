@@ -102,3 +102,15 @@ def test_extended_index_equals_a_full_one(spark):
     assert _lists(got.collect()) == _lists(want.collect())
     same = nb.extend_topk(nb.projection_topk(old, k=11), old, old, k=11)
     assert _lists(same.collect()) == _lists(nb.projection_topk(old, k=11).collect())
+
+
+def test_lists_leave_a_task_whole_and_tasks_stay_many(spark):
+    """Small vectors aren't drawn together into one task, and no pairs of blocks are ranked behind it."""
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(50, 3))
+    found = nb.projection_topk(_frame(spark, range(50), vecs), k=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroups" not in plan
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    got = {i: [j for j, _ in x] for i, x in _lists(found.collect()).items()}
+    assert got == {int(i): [int(j) for j, _ in x] for i, x in _brute(vecs, 4).items()}
