@@ -65,3 +65,15 @@ def test_known_answers_and_solvable_relations(spark):
     known = ex.known_answers(rows, spark.createDataFrame([("X",), ("y",)], "token string"))
     assert {r.subj: (r.y, r.solvable) for r in known.collect()} == {"a": (["x", "y"], True), "b": ([], False), "c": ([], False), "d": ([], False)}
     assert {r.subj for r in ex.solvable_relations(known).collect()} == {"a", "b"}
+
+
+def test_first_occurrence_deals_rows_into_bounded_tasks(spark, monkeypatch):
+    """Above TASK_ROWS rows no task sorts more than its share; the rows are the same, for a frequent and a null key too."""
+    rows = [("P1" if i % 3 else "P2", f"s{i % 7}" if i % 2 else "often", None if i % 5 == 0 else "y", f"u{(i * 37) % 400:03d}", i)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "rel string, subj string, y string, uuid string, v int").repartition(2)
+    want = sorted(map(str, ex.first_occurrence(df, ["rel", "subj", "y"], "uuid", df.columns).collect()))
+    monkeypatch.setattr(ex, "TASK_ROWS", 20)
+    dealt = ex.first_occurrence(df, ["rel", "subj", "y"], "uuid", df.columns)
+    assert sorted(map(str, dealt.collect())) == want
+    assert dealt.rdd.getNumPartitions() == 20
