@@ -12,6 +12,8 @@ The result depends only on the data, provided (g, o) orders rows totally.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ from factlens.store import persisted
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
+#: Rows of a task that draws or shuffles by hash: few bytes, but much work.
+WORK_ROWS = 100_000
+
+
+def spread_work(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows of ``df`` over tasks of at most about ``WORK_ROWS``, two for
+    each core at least: partitions made for their bytes would be too few."""
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / WORK_ROWS))
+    return df.repartition(tasks, key)
+
 
 def group_index(df: DataFrame, group: list[str], order: list[str], col: str = "idx") -> DataFrame:
     ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)

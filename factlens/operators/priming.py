@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.hashing import h32
-from factlens.operators.indexing import group_index
+from factlens.operators.indexing import group_index, spread_work
 from factlens.session import bounded_broadcast, ensure_checkpoint_dir
 
 MASK = "[MASK]"
@@ -57,8 +57,9 @@ def draw_random(examples: DataFrame, k: int, seed: int, index: DataFrame | None
     ``index_pool(examples)`` (e.g. a stored table shared by several runs)."""
     ix = index if index is not None else index_pool(examples)
     m = F.col("n") - F.col("own")
-    d = ix.select("uuid", "rel", "subj", "y", "lo", "own", m.alias("m"),
-                  F.explode(slots(F.least(F.lit(k), m))).alias("j"))
+    rows = spread_work(ix.select("uuid", "rel", "subj", "y", "lo", "own", m.alias("m"), "idx"), ix.count(), "idx")
+    d = rows.select("uuid", "rel", "subj", "y", "lo", "own", "m",
+                  F.explode(slots(F.least(F.lit(k), F.col("m")))).alias("j"))
     u = F.pmod(h32("uuid", "y", F.lit(seed), "j"), F.col("m"))
     return d.select("uuid", "rel", "subj", "y", "j",
                     (u + F.when(u >= F.col("lo"), F.col("own")).otherwise(0)).alias("idx")), ix

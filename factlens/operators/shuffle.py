@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlens.functions.hashing import h32
-from factlens.operators.indexing import group_index
+from factlens.operators.indexing import group_index, spread_work
 
 ROUNDS = 6
 #: a walk leaves n with a chance under 1/2 a step
@@ -69,7 +69,7 @@ def shuffled(df: DataFrame, order: list[str], key: int = 0, batch_rows: int | No
     ``batch_rows``, ``batch``.  ``order`` tells rows apart."""
     rows = group_index(df.withColumn("_all", F.lit(0)), ["_all"], order, "_i").drop("_all")
     n = rows.count()
-    out = rows.withColumn("place", place(F.col("_i"), max(n, 1), key)).drop("_i")
+    out = spread_work(rows, n, "_i").withColumn("place", place(F.col("_i"), max(n, 1), key)).drop("_i")
     return out if batch_rows is None else out.withColumn("batch", F.floor(F.col("place") / batch_rows).cast("bigint"))
 
 

@@ -27,3 +27,9 @@ def test_shuffled_table_and_its_batches(spark):
     for b in (0, 10):
         want = sorted(r.uuid for r in got if r.batch == b)
         assert sorted(r.uuid for r in sh.batch_of(numbered, "idx", 103, b, 10, key=7).collect()) == want
+
+
+def test_places_are_computed_by_many_tasks(spark):
+    """A small table's few partitions don't bound the tasks that hash its rows."""
+    df = spark.createDataFrame([(f"u{i:03d}",) for i in range(50)], "uuid string").coalesce(1)
+    assert sh.shuffled(df, ["uuid"], key=7).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
