@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tests_llm_tools import brute_lines
 
 from factlens.llm import bpe, chat, decontam, langid, license_scan, line_dedup, multiset, queries, secret_scan, simhash, suffix_dedup
@@ -70,6 +71,25 @@ def test_repeated_strings_same_id_null_id_and_empty(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_phrases_of_one_context_go_to_many_tasks(spark):
+    texts = [f"{k} " + "ab " * 700 + str(k) for k in range(8)]
+    rows = docs_of(spark, texts).select("doc_id", F.hash("text").alias("h"), "text")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = suffix_dedup.repeated_strings(rows, 60, 20).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    sizes = [r["count"] for r in found]
+    assert sum(sizes) > 2000 and max(sizes) < 0.5 * sum(sizes)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"]))
+           for r in suffix_dedup.remove_repeats(docs_of(spark, texts), length=60, gap=20).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 60)
+
+
 def test_phrases_of_long_texts_are_cut_in_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
     text = words(random.Random(3), 900).encode()
