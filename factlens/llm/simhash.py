@@ -179,11 +179,13 @@ def links(prints: DataFrame, bound: int = MAX_DISTANCE, hot: int = HOT) -> DataF
         if t < 0:
             continue
         mine = prints.select("h", F.col("h").bitwiseAND(F.lit(_mask(bits))).alias("value"))
-        crowded = mine.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("value")
+        # one row for over ``hot`` fingerprints: small.  Spark takes an exploded side to be as
+        # small as what it is made of, so the planner must not choose what to broadcast
+        crowded = F.broadcast(mine.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("value"))
         probes = _around(mine.select(F.col("h").alias("p"), "value"), "value", bits, t)
         apart = F.bit_count(F.col("h").bitwiseXOR(F.col("p")))
         few = mine.join(crowded, "value", "left_anti")
-        found.append(probes.join(few, (probes["value"] == few["value"]) & (apart <= bound) & (apart > 0)).select("h", "p"))
+        found.append(probes.hint("merge").join(few, (probes["value"] == few["value"]) & (apart <= bound) & (apart > 0)).select("h", "p"))
         # crowded values: members and probes meet at values of the other bits
         rest = F.lit(_mask(other))
         meet = mine.join(crowded, "value").select("value", "h", F.col("h").bitwiseAND(rest).alias("meet"))
@@ -191,7 +193,7 @@ def links(prints: DataFrame, bound: int = MAX_DISTANCE, hot: int = HOT) -> DataF
         visits = probes.join(crowded, "value") \
             .select("value", "p", F.col("p").bitwiseAND(rest).alias("meet"), (F.lit(far) - F.col("d")).alias("left"))
         visits = _around(visits, "meet", other, far, F.col("left")).select("value", "p", "meet")
-        found.append(visits.join(meet, ["value", "meet"]).filter(F.col("h") != F.col("p")).select("h", "p"))
+        found.append(visits.hint("merge").join(meet, ["value", "meet"]).filter(F.col("h") != F.col("p")).select("h", "p"))
     return reduce(DataFrame.unionByName, found).select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
 
 

@@ -3,7 +3,9 @@ and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import base64
 import hashlib
+import itertools
 import random
+import re
 
 import numpy as np
 import public_tokenizers as P
@@ -238,6 +240,17 @@ def test_links_connect_like_all_pairs(spark, bound, hot):
     assert len(set(names.values())) == len(names)
 
 
+def test_links_broadcast_nothing_exploded(spark):
+    frame = simhash.written(spark.range(100).selectExpr("xxhash64(id) as h"), "test")
+    plan = simhash.links(frame)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search(r"[A-Za-z]|$", x).start() for x in plan]
+    assert sum("Generate" in x for x in plan) >= 3
+    for k, x in enumerate(plan):
+        if "BroadcastExchange" in x:
+            below = itertools.takewhile(lambda j: depth[j] > depth[k], range(k + 1, len(plan)))
+            assert not any("Generate" in plan[j] for j in below)
+
+
 def signed_to_unsigned(values):
     return [v & (1 << 64) - 1 for v in values]
 
