@@ -344,6 +344,20 @@ def test_line_dedup_against_all_runs(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_broadcasts_no_runs(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name, real=line_dedup.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    text = "\n".join(f"line {k} of a longer text that comes twice" for k in range(12))
+    rows = line_dedup.dedup_lines(docs_of(spark, [text, "x\n" + text])).collect()
+    assert [r["n_removed"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 12]
+    assert plans["named"].count("SortMergeJoin") == 2 and "BroadcastExchange" not in plans["named"]
+
+
 def test_line_dedup_counts_words(spark):
     short = "\n".join(" ".join("ab1"[(k + j) % 3] for j in range(17)) for k in range(3))  # 51 words
     cjk = "".join(chr(0x4E00 + 7 * k) for k in range(30)) + "。\n\n" + "".join(chr(0x3042 + k) for k in range(21))
